@@ -29,10 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import toxicity
+    from .toxicity import fit, toxicity
 
+    docs = read(spark, sf_dir, "documents")
     learn = F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False))
-    scored = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
+    scored = toxicity(docs, fit(docs, read(spark, sf_dir, "labels"), learn))
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -78,3 +79,88 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM r
 SELECT d.doc_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_shingles, r.m AS component_id, r.m = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    return derivatives(responses(read(spark, sf_dir, "pages")), keep=["page_id"])
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    learn = F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))
+    scored = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest as spans_digest
+    from .pii import personal_data
+
+    return spans_digest(personal_data(read(spark, sf_dir, "documents")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_main_text
+
+    return extract_main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    found = languages(read(spark, sf_dir, "documents"), crc_mod("doc_id", 3) != 1)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+_LATER = (op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)
+QUERIES = {f.__name__: f for f in sorted((*QUERIES.values(), *_LATER), key=lambda f: int(f.__name__[2:].split("_")[0]))}
+
+
+def _warc_sql() -> str:
+    from .warc import BREAKS, DATE, DROPPED, LANGUAGE, LINKS, REFERENCES, TAGS, TITLE
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def urn(key: str) -> str:
+        return f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({key}) AS h))"
+
+    def decoded(x: str) -> str:
+        for name, char in REFERENCES:
+            x = f"replace({x}, {quoted(name)}, {quoted(char)})"
+        return x
+
+    crlf = "chr(13) || chr(10)"
+    text = f"regexp_replace(payload, {quoted(DROPPED)}, '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\n\\f]+', ' ', 'g'), {quoted(BREAKS)}, chr(10), 'g')"
+    text = decoded(f"regexp_replace({text}, {quoted(TAGS)}, '', 'g')")
+    text = f"regexp_replace(regexp_replace({text}, '[ ]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    title = f"trim(regexp_replace({decoded(f'regexp_extract(payload, {quoted(TITLE)}, 1)')}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+    links = f"regexp_extract_all(payload, {quoted(LINKS)}, 1)"
+    fields = (
+        f"'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, {quoted(LANGUAGE)}, 1) || {crlf} || 'payload-length: ' || strlen(payload) || {crlf}"
+        f" || 'payload-digest: ' || source_payload_digest || {crlf} || 'outlinks: ' || len({links})"
+        f" || array_to_string(list_transform({links}, lambda u: {crlf} || 'outlink: ' || u), '') || {crlf}"
+    )
+    return f"""
+WITH r AS (SELECT page_id, {urn("'response|' || page_id || '|' || url")} AS refers_to, url AS target_uri, '{DATE}' AS warc_date, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload) AS source_headers FROM r),
+s AS (SELECT *, 'sha1:' || sha1(payload) AS source_payload_digest, 'sha1:' || sha1(source_headers || {crlf} || {crlf} || payload) AS source_block_digest FROM h),
+c AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, {fields} AS content FROM s
+      UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM s)
+SELECT page_id, refers_to, target_uri, warc_date, source_headers, source_payload_digest, source_block_digest, record_type, content_type, content,
+       {urn("record_type || '|' || refers_to")} AS record_id, CAST(strlen(content) AS BIGINT) AS content_length, 'sha1:' || sha1(content) AS block_digest
+FROM c
+"""
+
+
+ORACLE_SQL["op3_warc"] = _warc_sql()

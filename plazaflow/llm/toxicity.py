@@ -305,46 +305,58 @@ def document_values(model: dict, texts: list[str]) -> tuple[np.ndarray, list[str
     return out, worst
 
 
-def toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    learn: Column,
-    *,
-    per_class: int = 2000,
-    label: str = "toxic",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, score (0 to 1) and the lower-cased word that decides it, for each document.
-
-    ``learn`` says, on ``labels``' doc_id, which labels may be learnt from; of those, at most ``per_class`` documents of
-    each label are the training sample. The share of label 1 is counted over all of them.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, label: str = "toxic") -> dict | None:
+    """The scoring model, learnt from at most ``per_class`` documents of each label among those that ``learn`` admits.
+
+    ``learn`` is a condition on ``labels``' doc_id. The share of label 1 is counted over all admitted labels.
     """
+    sample = labelled_sample(docs, labels, label, learn, per_class)
+    share = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    return train(sample, float(share)) if sample else None
+
+
+def score_texts(model: dict | None, texts: list[str | None]) -> tuple[list[float], list[str]]:
+    """Score and deciding word of each text, computed in runs of bounded length."""
+    texts = [t or "" for t in texts]
+    if model is None:
+        return [0.0] * len(texts), [""] * len(texts)
+    scores: list[float] = []
+    words: list[str] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= RUN_CHARS):
+            size += len(texts[end])
+            end += 1
+        x, worst = document_values(model, texts[at:end])
+        z = np.c_[x, np.ones(len(x))] @ model["fit"]
+        scores += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+        words += worst
+        at = end
+    return scores, words
+
+
+def toxicity(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score (0 to 1) and the lower-cased word that decides it, for each document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labelled_sample(source, labels, label, learn, per_class)
-    counted = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    model = train(sample, float(counted)) if sample else None
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores, words = [], []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= RUN_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                if held.value is None:
-                    scores += [0.0] * (end - at)
-                    words += [""] * (end - at)
-                else:
-                    x, worst = document_values(held.value, texts[at:end])
-                    z = np.c_[x, np.ones(len(x))] @ held.value["fit"]
-                    scores += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
-                    words += worst
-                at = end
+            scores, words = score_texts(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(words, pa.string())], ["doc_id", "score", "worst"])
 
     return source.mapInArrow(work, "doc_id long, score double, worst string")
+
+
+def without_toxic(docs: DataFrame, model: dict | None, *, limit: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, less the rows whose text scores ``limit`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, _ = score_texts(held.value, batch.column(column).to_pylist())
+            yield batch.take(pa.array([k for k, s in enumerate(scores) if s < limit], pa.int64()))
+
+    return docs.mapInArrow(work, docs.schema)
