@@ -134,6 +134,7 @@ def spell(codes: np.ndarray) -> str:
 def sentence_words(texts: list[str]) -> list[list[list[str]]]:
     """Each text's sentences as lists of lower-cased words."""
     out: list[list[list[str]]] = []
+    same: dict[str, str] = {}  # one object a word, however often it occurs
     for at in range(0, len(texts), 100):
         cut = [SENTENCE.split(t) for t in texts[at : at + 100]]
         codes, owner = classes([s for sentences in cut for s in sentences])
@@ -142,7 +143,7 @@ def sentence_words(texts: list[str]) -> list[list[list[str]]]:
         of: dict[int, list[str]] = {}
         for sentence, word in zip(owner[bounds].tolist(), spelled, strict=True):
             if word:
-                of.setdefault(sentence, []).append(word)
+                of.setdefault(sentence, []).append(same.setdefault(word, word))
         number = 0
         for sentences in cut:
             out.append([of[k] for k in range(number, number + len(sentences)) if k in of])
@@ -240,6 +241,7 @@ def train(rows: list[tuple[int, str, int]], share: float, *, landmarks: int = 36
         around = {(w, hash((b, w, c, label))) for s in sentences for b, w, c in zip(["", *s], s, [*s[1:], ""], strict=False) if len(w) > 2}
         (in_toxic if label else in_clean).update({w for w, place in around if place not in told})
         told.update(place for _, place in around)
+    del told
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     odd = {w: _surprise(c, n1, in_clean[w], n0) for w, c in in_toxic.items() if c / n1 > 8 * in_clean[w] / n0}
     witnesses = {w: g for w, g in odd.items() if g >= surprise} or {w: g for w, g in odd.items() if g >= 0.7 * max(odd.values())}
@@ -278,10 +280,12 @@ def train(rows: list[tuple[int, str, int]], share: float, *, landmarks: int = 36
 
 
 def _values(words: list[str], table: np.ndarray) -> np.ndarray:
-    if not words:
-        return np.zeros(0)
-    owner, code, weight = _features(words)
-    return np.bincount(owner, table[code] * weight, minlength=len(words))[: len(words)]
+    out = np.zeros(len(words))
+    for at in range(0, len(words), 10_000):
+        part = words[at : at + 10_000]
+        owner, code, weight = _features(part)
+        out[at : at + len(part)] = np.bincount(owner, table[code] * weight, minlength=len(part))[: len(part)]
+    return out
 
 
 def document_values(model: dict, texts: list[str]) -> tuple[np.ndarray, list[str]]:
