@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import relational  # noqa: F401
+from .plans.registry import COVERS, ORACLE_SQL, QUERIES
+
 FLAGSHIP = "occupancy_curve"
+
+__all__ = ["COVERS", "FLAGSHIP", "ORACLE_SQL", "QUERIES"]
