@@ -3,7 +3,7 @@
 1. Each text becomes its set of word shingles, of which ``bands * rows`` universal hash minima are kept. Texts with the
    same set are one vertex from here on, so exact copies cost nothing more.
 2. Banding: vertices that share a band's key are candidates. A bucket is never expanded into pairs. Its smallest member
-   serves as hub: each vertex is first verified against the hub that its signature puts nearest, then against its others.
+   serves as hub: each vertex is verified against the hub that its signature puts nearest.
 3. What that leaves unconnected within a bucket is compared signature against signature, in blocks of bounded size, the
    members outside the bucket's main component against all; only pairs that may reach the threshold leave a block. So no
    bucket is capped and no link between different components is skipped.
@@ -153,13 +153,13 @@ def _across(cells: DataFrame, least: float, best_only: bool) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*held, strict=True))
-            found = pairs(np.array(columns[5]), np.array(columns[6]), np.array(columns[4]) == 0, np.frombuffer(b"".join(columns[7]), np.uint8).reshape(len(held), -1))
+            found = pairs(np.array(columns[4]), np.array(columns[5]), np.array(columns[3]) == 0, np.frombuffer(b"".join(columns[6]), np.uint8).reshape(len(held), -1))
             found = sorted({(max(p), min(p)) for p in found})
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if held and row[:4] != held[-1][:4]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if held and row[:3] != held[-1][:3]:
                     yield flush()
                     held = []
                 held.append(row)
@@ -167,7 +167,7 @@ def _across(cells: DataFrame, least: float, best_only: bool) -> DataFrame:
             yield flush()
 
     spread = cells.repartition("key", "lc", "rc").sortWithinPartitions("key", "lc", "rc")
-    return spread.select("key", "lc", "rc", F.lit(0).alias("z"), "side", "id", "comp", "signature").mapInArrow(work, "a long, b long").distinct()
+    return spread.select("key", "lc", "rc", "side", "id", "comp", "signature").mapInArrow(work, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -200,22 +200,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def _settled(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` made durable in as few partitions as about ``rows`` rows need, so that small tables don't cost many files."""
+    return durable(df.coalesce(max(8, rows // 50_000 + 1)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each vertex of ``edges`` (a, b) reaches, by alternating star steps.
 
     Large-star hangs a vertex's larger neighbours on its smallest one, small-star its smaller ones and itself. Both take
     a minimum by vertex, aggregated before the shuffle, and a join back. They end when a round changes no edge.
     """
-    current = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    current = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(current)
     while True:
+        rows = before[0]
+        few = max(8, rows // 50_000 + 1)
         ways = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(few)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = durable(small.unionByName(down.withColumnRenamed("m", "b")).distinct())
+        current = _settled(small.unionByName(down.withColumnRenamed("m", "b")).coalesce(few).distinct(), rows)
         after = mark(current)
         if after == before:
             break
@@ -252,11 +259,12 @@ def near_duplicates(
     members = durable(spread.join(hubs.select("key", "hub"), "key"))
 
     stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = durable(_likely(stars, signatures, least))
-    first = likely.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
-    links = durable(_confirmed(first, source, width, percent))
-    tested = first.select("a", "b")
-    labels = durable(components(links))
+    likely = _likely(stars, signatures, least)
+    first = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b")))
+    count = first.count()
+    links = _settled(_confirmed(first, source, width, percent), count)
+    tested = first.select("a", "b").coalesce(max(8, count // 50_000 + 1))
+    labels = _settled(components(links), count)
 
     def label(frame: DataFrame, column: str, name: str) -> DataFrame:
         found = labels.select(F.col("id").alias(column), F.col("comp").alias("_found"))
@@ -266,13 +274,15 @@ def near_duplicates(
         """Confirms pairs that may join different components, and joins those."""
         nonlocal labels, tested
         fresh = durable(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        more = durable(_confirmed(fresh, source, width, percent))
-        tested = tested.unionByName(fresh)
+        new = fresh.count()
+        if not new:
+            return
+        more = _settled(_confirmed(fresh, source, width, percent), new)
+        tested = tested.unionByName(fresh.coalesce(max(8, new // 50_000 + 1)))
         if not more.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b")
-            labels = durable(components(stars.unionByName(more)))
+            labels = _settled(components(stars.unionByName(more)), count + new)
 
-    add(label(label(likely, "a", "ca"), "b", "cb").where("ca <> cb"))
     for best_only in (True, False):
         placed = label(members.select("key", "id"), "id", "comp")
         sizes = placed.groupBy("key", "comp").count()
