@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relational, spatial, stochastic, temporal  # noqa: F401
+from .plans import graph, relational, spatial, stochastic, temporal, text  # noqa: F401
 from .plans.registry import COVERS, ORACLE_SQL, QUERIES
 
 FLAGSHIP = "occupancy_curve"
