@@ -5,8 +5,10 @@
 2. Banding: vertices that share a band's key are candidates. A bucket is never expanded into pairs. Its smallest member
    serves as hub: each vertex is verified against the hub that its signature puts nearest.
 3. What that leaves unconnected within a bucket is compared signature against signature, in blocks of bounded size, the
-   members outside the bucket's main component against all; only pairs that may reach the threshold leave a block. So no
-   bucket is capped and no link between different components is skipped.
+   members outside the bucket's main component against all. A block gives only a spanning forest of its likely pairs, so
+   no pairs are listed. The forests' families are then compared once more in blocks, now with their texts, and each likely
+   pair of different components is confirmed or refuted on the full sets. No bucket is capped, and no link that would
+   join two components is skipped.
 4. Every link is confirmed on the full shingle sets of both texts.
 5. Components come from alternating large-star and small-star steps; a hot vertex costs one pre-aggregated minimum.
 
@@ -20,7 +22,7 @@ id are linked with nothing and kept, with a null component. Columns other than t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,36 +131,38 @@ def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long, near double")
 
 
-def _across(cells: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """Pairs of different components in each cell that may reach the threshold: all, or each left row's best by component.
+def _cells(rows: DataFrame, cell: int) -> DataFrame:
+    """Rows (key, id, comp) of keys with several components, dealt into cells (key, lc, rc) with ``side`` 0 or 1.
 
-    ``cells`` has (key, lc, rc, side, id, comp, signature): left rows are compared with right rows of the same cell. A cell
-    holds a bounded number of rows; a task reads its cells one after another.
+    All rows outside a key's largest component stand on the left, all rows on the right; each side is cut into blocks of
+    about ``cell`` rows, and a cell is a block of either side. So every pair of different components meets in a cell, and
+    pairs within the largest component do not.
     """
+    sizes = rows.groupBy("key", "comp").count()
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("n > most")
+    blocks = lambda n: F.ceil(n / F.lit(cell)).cast("int")
+    open_ = rows.join(main, "key").withColumns({"nl": blocks(F.col("n") - F.col("most")), "nr": blocks(F.col("n"))})
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.where("comp <> main").select("key", "id", "comp", F.lit(0).alias("side"), slot("nl").alias("lc"), every("nr").alias("rc"))
+    right = open_.select("key", "id", "comp", F.lit(1).alias("side"), every("nl").alias("lc"), slot("nr").alias("rc"))
+    return left.unionByName(right)
 
-    def pairs(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        right = ~left
-        for i in np.flatnonzero(left):
-            near = estimate(signatures[right], signatures[i])
-            good = np.flatnonzero((near >= least) & (comps[right] != comps[i]))
-            if best_only and len(good) > 1:
-                good = good[np.argsort(-near[good], kind="stable")]
-                good = good[np.unique(comps[right][good], return_index=True)[1]]
-            out += [(int(ids[i]), int(x)) for x in ids[right][good]]
-        return out
+
+def _by_cell(cells: DataFrame, columns: list[str], pairs: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that ``pairs`` finds in each cell from its rows' ids, components, sides and ``columns``."""
+    names = ["key", "lc", "rc", "side", "id", "comp", *columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True))
-            found = pairs(np.array(columns[4]), np.array(columns[5]), np.array(columns[3]) == 0, np.frombuffer(b"".join(columns[6]), np.uint8).reshape(len(held), -1))
-            found = sorted({(max(p), min(p)) for p in found})
+            _, _, _, side, ids, comps, *rest = zip(*held, strict=True)
+            found = sorted({(max(p), min(p)) for p in pairs(np.array(ids), np.array(comps), np.array(side) == 0, *rest)})
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
                 if held and row[:3] != held[-1][:3]:
                     yield flush()
                     held = []
@@ -167,7 +171,68 @@ def _across(cells: DataFrame, least: float, best_only: bool) -> DataFrame:
             yield flush()
 
     spread = cells.repartition("key", "lc", "rc").sortWithinPartitions("key", "lc", "rc")
-    return spread.select("key", "lc", "rc", "side", "id", "comp", "signature").mapInArrow(work, "a long, b long").distinct()
+    return spread.select(*names).mapInArrow(work, "a long, b long").distinct()
+
+
+def _spanning(least: float) -> Callable[..., list[tuple[int, int]]]:
+    """Edges that connect a cell's rows as its pairs of different components with likely signatures do, without cycles.
+
+    A cell of n rows gives fewer than n edges, however many such pairs it has.
+    """
+
+    def pairs(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, signatures: tuple[bytes, ...]) -> list[tuple[int, int]]:
+        s = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1)
+        right = np.flatnonzero(~left)
+        _, vertex = np.unique(ids, return_inverse=True)
+        tree = np.arange(vertex.max() + 1)
+        out = []
+        for i in np.flatnonzero(left):
+            near = right[(estimate(s[right], s[i]) >= least) & (comps[right] != comps[i])]
+            of = tree[vertex[near]]
+            for t, at in zip(*np.unique(of, return_index=True), strict=True):
+                if t != tree[vertex[i]]:
+                    out.append((int(ids[i]), int(ids[near[at]])))
+                    tree[tree == t] = tree[vertex[i]]
+        return out
+
+    return pairs
+
+
+def _links(least: float, width: int, percent: int) -> Callable[..., list[tuple[int, int]]]:
+    """Confirmed links that join the components of a cell's rows: each left row is held against the others by falling estimate.
+
+    A pair whose components are already joined in the cell is not looked at again; all others with likely signatures are
+    confirmed or refuted on their full sets.
+    """
+
+    def pairs(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, signatures: tuple[bytes, ...], texts: tuple[str, ...]) -> list[tuple[int, int]]:
+        s = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1)
+        right = np.flatnonzero(~left)
+        sets: dict[int, np.ndarray] = {}
+        comp = comps.copy()
+        out = []
+
+        def of(k: int) -> np.ndarray:
+            if ids[k] not in sets:
+                sets[ids[k]] = shingles(texts[k].encode(), width)
+            return sets[ids[k]]
+
+        for i in np.flatnonzero(left):
+            near = estimate(s[right], s[i])
+            order = np.argsort(-near, kind="stable")
+            for k in right[order[: int((near >= least).sum())]]:
+                if comp[k] == comp[i]:
+                    continue
+                a, b = of(i), of(k)
+                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    out.append((int(ids[i]), int(ids[k])))
+                    comp[comp == comp[k]] = comp[i]
+        return out
+
+    return pairs
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -239,13 +304,14 @@ def near_duplicates(
     bands: int = 24,
     rows: int = 5,
     cell: int = 2000,
+    text_cell: int = 400,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
-    A link joins texts whose shingle sets' intersection is at least ``percent`` per cent of their union. ``cell`` bounds
-    the rows of either side that are compared at once in step 3.
+    A link joins texts whose shingle sets' intersection is at least ``percent`` per cent of their union. ``cell`` and
+    ``text_cell`` bound the rows of either side that step 3 compares at once, by signature and by text.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows_of = durable(features(source, width=width, bands=bands, rows=rows))
@@ -263,37 +329,25 @@ def near_duplicates(
     first = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b")))
     count = first.count()
     links = _settled(_confirmed(first, source, width, percent), count)
-    tested = first.select("a", "b").coalesce(max(8, count // 50_000 + 1))
     labels = _settled(components(links), count)
 
-    def label(frame: DataFrame, column: str, name: str) -> DataFrame:
-        found = labels.select(F.col("id").alias(column), F.col("comp").alias("_found"))
-        return frame.join(found, column, "left").withColumn(name, F.coalesce("_found", column)).drop("_found")
-
-    def add(pairs: DataFrame) -> None:
-        """Confirms pairs that may join different components, and joins those."""
-        nonlocal labels, tested
-        fresh = durable(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        new = fresh.count()
-        if not new:
-            return
-        more = _settled(_confirmed(fresh, source, width, percent), new)
-        tested = tested.unionByName(fresh.coalesce(max(8, new // 50_000 + 1)))
+    def placed(frame: DataFrame) -> DataFrame:
+        """``frame`` (key, id) with each id's component so far."""
+        return frame.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+
+    apart = _cells(placed(members.select("key", "id")), cell).join(signatures, "id")
+    tree = durable(_by_cell(apart, ["signature"], _spanning(least)))
+    count += tree.count()
+    if not tree.isEmpty():
+        # what may be similar across components forms families; their texts travel once for each block they meet
+        families = _settled(components(tree), count).select("id", F.col("comp").alias("key"))
+        open_ = _cells(placed(families), text_cell).join(signatures, "id")
+        texts = source.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
+        needed = texts.join(families.select("id"), "id", "left_semi")
+        more = _settled(_by_cell(open_.join(needed, "id"), ["signature", "text"], _links(least, width, percent)), count)
         if not more.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b")
-            labels = _settled(components(stars.unionByName(more)), count + new)
-
-    for best_only in (True, False):
-        placed = label(members.select("key", "id"), "id", "comp")
-        sizes = placed.groupBy("key", "comp").count()
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("n > most")
-        blocks = lambda n: F.ceil(n / F.lit(cell)).cast("int")
-        open_ = placed.join(main, "key").join(signatures, "id").withColumns({"nl": blocks(F.col("n") - F.col("most")), "nr": blocks(F.col("n"))})
-        slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        rest = ["key", "id", "comp", "signature"]
-        left = open_.where("comp <> main").select(*rest, F.lit(0).alias("side"), slot("nl").alias("lc"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rc"))
-        right = open_.select(*rest, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lc"), slot("nr").alias("rc"))
-        add(_across(left.unionByName(right), least, best_only))
+            labels = _settled(components(stars.unionByName(more)), count)
 
     final = vertices.select("print", "id").join(labels, "id", "left").select("print", F.coalesce("comp", "id").alias("component"))
     out = rows_of.select("doc_id", "n_shingles", "print").join(final, "print", "left")
