@@ -164,11 +164,14 @@ def points_in_rings(points: DataFrame, rings: DataFrame, key: str, ring_id: str,
 
 
 def crossing(px: Column, py: Column, qx: Column, qy: Column, line: tuple[float, float, float, float]) -> Column:
-    """Whether the segment p-q crosses the line a-b: the ends of each stand on different sides; touching counts once, parallel never."""
+    """Whether the segment p-q meets the line a-b, ends included; parallel ones never do."""
     ax, ay, bx, by = line
-    side = lambda x, y: (F.lit(bx - ax) * (y - ay) - F.lit(by - ay) * (x - ax)) >= 0
-    other = lambda x, y: (qx - px) * (F.lit(y) - py) - (qy - py) * (F.lit(x) - px) >= 0
-    return (side(px, py) != side(qx, qy)) & (other(ax, ay) != other(bx, by))
+    dx, dy = qx - px, qy - py
+    turn = dx * (by - ay) - dy * (bx - ax)
+    sign = F.signum(turn)
+    along = sign * ((ax - px) * (by - ay) - (ay - py) * (bx - ax))
+    across = sign * ((ax - px) * dy - (ay - py) * dx)
+    return (turn != 0) & along.between(0, F.abs(turn)) & across.between(0, F.abs(turn))
 
 
 def ray_hits(x: Column, y: Column, dx: Column, dy: Column, box: tuple[float, float, float, float]) -> Column:

@@ -182,8 +182,8 @@ _LINES = [("east", (2500.0, 0.0, 2500.0, 9000.0)), ("north", (0.0, 4000.0, 9000.
 @query(
     "J21 G5 P18",
     f"""WITH s AS (SELECT c_nationkey, x, y, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM {_CUST} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)), l AS (SELECT * FROM (VALUES ('east', 2500.0::DOUBLE, 0.0::DOUBLE, 2500.0::DOUBLE, 9000.0::DOUBLE), ('north', 0, 4000, 9000, 4000), ('slant', 0, 0, 9000, 9000)) v(site, ax, ay, bx, b_y))
-    SELECT site, c_nationkey, count(*) AS n FROM s, l WHERE qx IS NOT NULL AND (((bx - ax) * (y - ay) - (b_y - ay) * (x - ax) >= 0) <> ((bx - ax) * (qy - ay) - (b_y - ay) * (qx - ax) >= 0))
-      AND (((qx - x) * (ay - y) - (qy - y) * (ax - x) >= 0) <> ((qx - x) * (b_y - y) - (qy - y) * (bx - x) >= 0)) GROUP BY 1, 2""",
+    SELECT site, c_nationkey, count(*) AS n FROM (SELECT *, (qx - x) * (b_y - ay) - (qy - y) * (bx - ax) AS den, (ax - x) * (b_y - ay) - (ay - y) * (bx - ax) AS t, (ax - x) * (qy - y) - (ay - y) * (qx - x) AS v FROM s, l WHERE qx IS NOT NULL)
+    WHERE den <> 0 AND t / den BETWEEN 0 AND 1 AND v / den BETWEEN 0 AND 1 GROUP BY 1, 2""",
 )
 def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each path crosses each of a fixed list of counting lines."""
