@@ -46,12 +46,14 @@ MARKS = re.compile(r"[.,;:!?。、，！？]")
 
 
 class Block:
-    __slots__ = ("junk", "number", "parent", "path", "tag")
+    """An open element. ``path`` numbers its tag path: equal paths of a page have equal numbers."""
 
-    def __init__(self, tag: str, names: str, parent: Block | None, number: int, junk: bool) -> None:
-        self.tag, self.parent, self.number = tag, parent, number
+    __slots__ = ("depth", "junk", "number", "parent", "path", "tag")
+
+    def __init__(self, tag: str, parent: Block | None, number: int, path: int, junk: bool) -> None:
+        self.tag, self.parent, self.number, self.path = tag, parent, number, path
+        self.depth = parent.depth + 1 if parent else 0
         self.junk = junk or (parent is not None and parent.junk)
-        self.path = (parent.path + "/" if parent else "") + tag + names
 
 
 def _attributes(text: str) -> tuple[str, bool]:
@@ -75,13 +77,14 @@ def _attributes(text: str) -> tuple[str, bool]:
     return names, junk
 
 
-def text_nodes(html: str) -> list[tuple[Block, str, int]]:
-    """Each block-level run of text in page order: its block, its text, and how many of its characters are linked."""
-    root = Block("", "", None, 0, False)
-    stack = [root]
+def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
+    """All blocks, parents first, and each block-level run of text in page order: its block, its text, its linked characters."""
+    blocks = [Block("", None, 0, 0, False)]
+    paths: dict[tuple[int, str], int] = {}
+    stack = [blocks[0]]
     nodes: list[tuple[Block, str, int]] = []
     run: list[str] = []
-    linked = depth = count = 0
+    linked = depth = 0
 
     def flush() -> None:
         nonlocal linked
@@ -148,16 +151,16 @@ def text_nodes(html: str) -> list[tuple[Block, str, int]]:
                     break
                 if stack[k].tag in bound:
                     break
-        count += 1
-        if not found[3].endswith("/") or tag not in INLINE:
-            stack.append(Block(tag, names, stack[-1], count, junk or tag in BOILERPLATE_TAGS))
+        path = paths.setdefault((stack[-1].path, tag + names), len(paths) + 1)
+        blocks.append(Block(tag, stack[-1], len(blocks), path, junk or tag in BOILERPLATE_TAGS))
+        stack.append(blocks[-1])
     flush()
-    return nodes
+    return blocks, nodes
 
 
 def ratios(nodes: list[tuple[Block, str, int]], width: int = 2) -> list[float]:
     """The smoothed tag-path ratio of each node, fused with its path's own."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for block, text, linked in nodes:
         s = sums[block.path]
         s[0] += 1
@@ -176,7 +179,8 @@ def ratios(nodes: list[tuple[Block, str, int]], width: int = 2) -> list[float]:
 
 def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, link_limit: float = 0.6) -> str:
     """The article's text. Content nodes exceed ``spread`` deviations under the mean ratio; the article holds ``share`` of them."""
-    nodes = [n for n in text_nodes(html or "") if not n[0].junk]
+    blocks, nodes = text_nodes(html or "")
+    nodes = [n for n in nodes if not n[0].junk]
     if not nodes:
         return ""
     values = ratios(nodes)
@@ -187,30 +191,26 @@ def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, lin
     total = sum(len(t) for _, t, _ in content)
     if not total:
         return ""
-    mass: dict[int, int] = defaultdict(int)
-    blocks: dict[int, Block] = {}
+    mass = [0] * len(blocks)
     for block, text, _ in content:
-        walk: Block | None = block
-        while walk:
-            mass[walk.number] += len(text)
-            blocks[walk.number] = walk
-            walk = walk.parent
-    depth = lambda b: 0 if b.parent is None else 1 + depth(b.parent)
-    holders = [b for n, b in blocks.items() if mass[n] >= share * total]
+        mass[block.number] += len(text)
+    for block in reversed(blocks):
+        if block.parent:
+            mass[block.parent.number] += mass[block.number]
+    holders = [b for b in blocks if mass[b.number] >= share * total]
     named = [b for b in holders if b.tag in ("article", "main")]
-    holder = max(named, key=lambda b: (b.tag == "article", -depth(b))) if named else max(holders, key=depth)
+    holder = max(named, key=lambda b: (b.tag == "article", -b.depth)) if named else max(holders, key=lambda b: b.depth)
     # a single paragraph does not hold an article: its parent does, with the blocks beside it
     while holder.tag in ("p", "blockquote", "li", "td", *HEADINGS) and holder.parent:
         holder = holder.parent
+    within, header = [False] * len(blocks), [False] * len(blocks)
+    for block in blocks:
+        above = block.parent.number if block.parent else None
+        within[block.number] = block is holder or (above is not None and within[above])
+        header[block.number] = block is not holder and (block.tag == "header" or (above is not None and header[above])) and within[block.number]
 
     def inside(block: Block) -> bool:
-        header = False
-        leaf = block.tag
-        walk: Block | None = block
-        while walk and walk is not holder:
-            header = header or walk.tag == "header"
-            walk = walk.parent
-        return walk is holder and (not header or leaf in HEADINGS)
+        return within[block.number] and (not header[block.number] or block.tag in HEADINGS)
 
     kept, links = [], defaultdict(lambda: [0, 0])
     for block, text, linked in nodes:

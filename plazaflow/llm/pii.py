@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -179,7 +179,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return joined.select("doc_id", "base", F.array_sort(F.when(F.col("found").isNull(), F.col("base")).otherwise(F.concat("base", "found"))).alias("spans"))
 
 
-def joined_spans(column: str):  # noqa: ANN201
+def joined_spans(column: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -187,7 +187,10 @@ def joined_spans(column: str):  # noqa: ANN201
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, a count of fixed spans of each kind, base_sha256 and spans from :func:`personal_data`'s rows."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
 
 
