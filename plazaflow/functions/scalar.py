@@ -139,3 +139,13 @@ def utm(lat: Column, lon: Column, zone: int = 11) -> tuple[Column, Column]:
         east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.lit(500000.0) + 0.9996 * radius * east, 0.9996 * radius * north
+
+
+def value_noise(x: Column, y: Column, scale: float, seed: int, side: int = 63) -> Column:
+    """Smooth noise in [0, 1): keyed values on a lattice that repeats every ``side`` cells, blended by smooth steps."""
+    fx, fy = x / scale, y / scale
+    i, j = F.floor(fx), F.floor(fy)
+    sx, sy = smoothstep(fx - i), smoothstep(fy - j)
+    at = lambda a, b: uniform(seed, F.pmod(i + a, F.lit(side)).cast("long"), F.pmod(j + b, F.lit(side)).cast("long"))
+    low, high = at(0, 0) * (1 - sx) + at(1, 0) * sx, at(0, 1) * (1 - sx) + at(1, 1) * sx
+    return low * (1 - sy) + high * sy

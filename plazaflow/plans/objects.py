@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import learn as L
 from ..operators import solids as D
 from ..operators import spatial as P
 from ..sources import readers
 from ..streaming import events as E
 from .registry import Tables, query
-from .spatial import _CUST, _customers, _suppliers
+from .spatial import _CUST, _SUPP, _customers, _suppliers
+from .stochastic import _u
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -156,3 +158,71 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = counts.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("v", 2).alias("v"))
+
+
+_CORNER = {(a, b): _u(7, f"((CAST(floor(x / 700) AS BIGINT) + {a} + 6300) % 63)::VARCHAR", f"((CAST(floor(y / 700) AS BIGINT) + {b} + 6300) % 63)::VARCHAR") for a in (0, 1) for b in (0, 1)}
+
+
+@query(
+    "F16",
+    f"""SELECT s_suppkey, round((a * (1 - sx) + b * sx) * (1 - sy) + (c * (1 - sx) + d * sx) * sy, 9) AS noise FROM (
+      SELECT s_suppkey, {_CORNER[0, 0]} AS a, {_CORNER[1, 0]} AS b, {_CORNER[0, 1]} AS c, {_CORNER[1, 1]} AS d, tx * tx * (3 - 2 * tx) AS sx, ty * ty * (3 - 2 * ty) AS sy
+      FROM (SELECT *, x / 700 - floor(x / 700) AS tx, y / 700 - floor(y / 700) AS ty FROM {_SUPP}))""",
+)
+def value_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppliers(Tables(spark, sf_dir)).select("s_suppkey", F.round(S.value_noise(F.col("x"), F.col("y"), 700.0, 7), 9).alias("noise"))
+
+
+@query("S5 S7 P17", "SELECT CAST(n_nationkey AS VARCHAR) AS block, CAST(n_regionkey AS INTEGER) AS C000, CAST(length(n_name) AS INTEGER) AS SA01 FROM nation")
+def gzip_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gzip CSV with a header, written and read back."""
+    path = _shared(spark, "jobs")
+    table = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").alias("block"), F.col("n_regionkey").alias("C000"), F.length("n_name").alias("SA01"), F.col("n_name").alias("note"))
+    table.write.csv(path, header=True, compression="gzip")
+    return readers.jobs_csv(spark, path, ["block"])
+
+
+@query("S6 P2", "SELECT 'g' || c_custkey AS GEO, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS B01_E001 FROM customer WHERE c_nationkey < 5")
+def piped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piped table with blanks for nulls: estimate columns of the wanted places."""
+    path = _shared(spark, "estimates")
+    c = Tables(spark, sf_dir).customer
+    geo = F.concat(F.lit("g"), "c_custkey")
+    c.select(geo.alias("GEO"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("B01_E001"), F.lit(1).alias("B01_M001")).write.csv(path, header=True, sep="|", nullValue="null")
+    wanted = c.where("c_nationkey < 5").select(geo.alias("GEO"))
+    return readers.estimates_table(spark, path).join(wanted, "GEO", "left_semi")
+
+
+@query("S8 S9", "SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS title FROM region")
+def padded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tab-separated table with padded headers and values."""
+    path = _shared(spark, "padded")
+    r = Tables(spark, sf_dir).region
+    padded = r.select(F.concat(F.lit(" "), "r_regionkey", F.lit(" ")).alias(" code "), F.concat("r_name", F.lit("  ")).alias("title "))
+    padded.write.csv(path, header=True, sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.padded_table(spark, path)
+
+
+@query("S10 K1", "SELECT n_name AS key, n_regionkey AS region, n_nationkey AS number FROM nation")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object of objects a region, written as JSON and read back as rows."""
+    path = _shared(spark, "maps")
+    entry = F.struct("n_name", F.struct(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("number")))
+    maps = Tables(spark, sf_dir).nation.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    maps.select("value").write.text(path)
+    lines = spark.read.text(path)
+    return lines.select(F.explode(F.from_json("value", "map<string,struct<region:int,number:int>>"))).select("key", "value.*")
+
+
+@query("S11 D4", "SELECT CAST(n_nationkey AS INTEGER) AS id, 6760000.0::DOUBLE / 2 AS area FROM nation WHERE n_nationkey % 5 <> 0")
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written as one GeoJSON document and read back; shapes of fewer than three points are dropped."""
+    path = _shared(spark, "features")
+    x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    point = lambda a, b: F.array(x + a, y + b)
+    good = F.array(point(0, 0), point(2600, 0), point(0, 2600))
+    ring = F.when(F.col("n_nationkey") % 5 == 0, F.slice(good, 1, 2)).otherwise(good)
+    feature = F.struct(F.struct(F.col("n_nationkey").alias("id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    Tables(spark, sf_dir).nation.agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).write.text(path)
+    found = readers.features(spark, path, "id:int")
+    return found.select(F.col("props.id").alias("id"), F.abs(P.ring_area(F.col("rings")[0])).alias("area"))

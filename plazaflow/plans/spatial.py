@@ -193,7 +193,14 @@ def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("c_nationkey", F.explode(hit).alias("site")).groupBy("site", "c_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("J22", None)
+def _occluded(x0: int, y0: int, x1: int, y1: int) -> str:
+    a, b = "CASE WHEN 5000 - x = 0 THEN 1e-12 ELSE 5000 - x END", "CASE WHEN 5000 - y = 0 THEN 1e-12 ELSE 5000 - y END"
+    low = f"greatest(least(({x0} - x) / ({a}), ({x1} - x) / ({a})), least(({y0} - y) / ({b}), ({y1} - y) / ({b})), 0.0)"
+    high = f"least(greatest(({x0} - x) / ({a}), ({x1} - x) / ({a})), greatest(({y0} - y) / ({b}), ({y1} - y) / ({b})), 1.0)"
+    return f"{low} <= {high}"
+
+
+@query("J22", f"SELECT c_custkey, {_occluded(1000, 1000, 1800, 2500)} OR {_occluded(4000, 3000, 5200, 3600)} OR {_occluded(6500, 7000, 7200, 9000)} AS hidden FROM {_CUST}")
 def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a fixed list of boxes stands between each point and a viewpoint."""
     boxes = [(1000.0, 1000.0, 1800.0, 2500.0), (4000.0, 3000.0, 5200.0, 3600.0), (6500.0, 7000.0, 7200.0, 9000.0)]
@@ -223,7 +230,11 @@ def spatial_binning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(taken, ["i", "j"], "left_anti").select("kind", "i", "j", F.least("w", F.lit(3)).cast("long").alias("w"))
 
 
-@query("A22", None)
+@query(
+    "A22",
+    f"""WITH c AS (SELECT c_nationkey, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t, count(*) AS n FROM {_CUST} GROUP BY 1),
+    r AS (SELECT c_nationkey, n, (x - mx) * cos(t) + (y - my) * sin(t) AS u, (y - my) * cos(t) - (x - mx) * sin(t) AS v FROM {_CUST} JOIN c USING (c_nationkey)) SELECT c_nationkey, n, round(max(u) - min(u), 4) AS length, round(max(v) - min(v), 4) AS width FROM r GROUP BY 1, 2""",
+)
 def principal_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.principal_extent(_customers(Tables(spark, sf_dir)), "c_nationkey")
     return e.select("c_nationkey", "n", F.round("length", 4).alias("length"), F.round("width", 4).alias("width"))
