@@ -32,7 +32,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s,;:!?\"'()\[\]{}<>|]*[0-9@][^\s,;:!?\"'\[\]{}<>|]*")
+# a token is entered at its start only, and read once
+_APART = r"\s,;:!?\"'()\[\]{}<>|"
+TOKEN = re.compile(rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+")
 WORDS_BEFORE = re.compile(r"[^\W\d_]+")
 #: Characters of context that are looked at before a mention.
 CONTEXT = 60

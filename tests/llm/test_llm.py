@@ -262,6 +262,16 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert rows[0].n_phone == 1 and rows[0].spans.startswith("phone:18:")
 
 
+def test_matching_is_linear_in_odd_texts():
+    import time
+
+    began = time.time()
+    for text in ("a" * 300_000 + " 1", "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "@" * 300_000, "1" * 300_000, "(" * 300_000 + "1"):
+        pii.base_spans(text)
+        list(pii.TOKEN.finditer(text))
+    assert time.time() - began < 20
+
+
 def test_digest_counts_each_kind(spark):
     rows = {r.doc_id: r for r in QUERIES["op5_personal_data"](spark, MEDIUM).collect()}
     for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect():
