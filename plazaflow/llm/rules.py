@@ -2,8 +2,8 @@
 
 Fixed rules come first: counts of words, symbols, duplicate lines and repeated three-word windows. A text that passes them
 is compared with references of each language, histograms of character classes and of common words summed over all
-documents of that language: the Jensen-Shannon distance to the nearest language must stay under a limit for both. Each
-comparison has a minimum length, under which a histogram says too little and the text passes it.
+documents of that language: the Jensen-Shannon distance to the nearest language must stay under a limit for both, where
+the words' is corrected for the divergence that a sample of that size has by chance. Each comparison has a minimum length, under which a histogram says too little and the text passes it.
 
 Words for the histograms are told apart by a hash into ``SLOTS``; a language's most frequent slots are its common words,
 all others share one bin. So references are as large for any corpus; each task sums its own, and the sums meet by language.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -100,10 +101,11 @@ class References:
         return np.append(counts[common], counts.sum() - counts[common].sum()) / max(1, counts.sum())
 
     def divergence(self, classes: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-        """Distances to the nearest reference."""
+        """Distances to the nearest reference, that of words less what a sample of their number shows by chance."""
         by_class = distance(classes / max(1, classes.sum()), self.classes).min()
         by_word = min(float(distance(self.binned(words, c), w)) for c, w in zip(self.common, self.words, strict=True))
-        return float(by_class), by_word
+        chance = len(self.words[0]) / (8 * log(2) * max(1, words.sum()))
+        return float(by_class), sqrt(max(0.0, by_word**2 - chance))
 
 
 def references(docs: DataFrame, *, common: int = COMMON) -> References:
@@ -138,7 +140,7 @@ def quality_rules(
     docs: DataFrame,
     *,
     max_class_distance: float = 0.3,
-    max_word_distance: float = 0.39,
+    max_word_distance: float = 0.33,
     min_chars: int = 200,
     min_words: int = 100,
     id_col: str = "doc_id",
