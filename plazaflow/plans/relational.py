@@ -446,13 +446,13 @@ def largest_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("l_linestatus").agg(F.count(F.when(F.col("q") < 20, 1)).alias("below"), F.max(F.when(F.col("c") <= 5000, F.col("q"))).alias("threshold"))
 
 
-@query("U1 U6", "SELECT l_suppkey AS k, avg(l_quantity) AS inten, 'own' AS src FROM lineitem GROUP BY 1 UNION ALL SELECT s_suppkey, coalesce(a.q, 128), 'est' FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.l_suppkey = s_suppkey")
+@query("U1 U6", "SELECT l_suppkey AS k, round(avg(l_quantity), 6) AS inten, 'own' AS src FROM lineitem GROUP BY 1 UNION ALL SELECT s_suppkey, coalesce(round(a.q, 6), 128), 'est' FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.l_suppkey = s_suppkey")
 def union_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated rows beside measured ones, filled from their group's mean, else by a default."""
     t = Tables(spark, sf_dir)
     own = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("inten"), F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("q"))
     est = t.supplier.select(F.col("s_suppkey").alias("k")).join(own.select("k", "q"), "k", "left").select("k", F.coalesce("q", F.lit(128.0)).alias("inten"), F.lit("est").alias("src"))
-    return own.select("k", "inten", F.lit("own").alias("src")).unionByName(est)
+    return own.select("k", F.round("inten", 6).alias("inten"), F.lit("own").alias("src")).unionByName(est.withColumn("inten", F.round("inten", 6)))
 
 
 @query("U5 K7", "SELECT coalesce(a.d, b.d) AS d, coalesce(a.t, b.t) AS t, greatest(a.n, b.n) AS n FROM (SELECT CAST(ts AS DATE) AS d, event_type AS t, count(*) AS n FROM events WHERE value < 60 GROUP BY 1, 2) a FULL JOIN (SELECT CAST(ts AS DATE) AS d, event_type AS t, count(*) AS n FROM events WHERE value >= 40 GROUP BY 1, 2) b ON a.d = b.d AND a.t = b.t")
