@@ -3,9 +3,10 @@
 A page is read into text nodes, each with its path of block tags from the root, classes included. Per path, text length,
 sentence marks and linked text are summed; the path's ratio is its text per node, raised by marks and lowered by links.
 The nodes' ratios in page order are smoothed with their neighbours', fused with the path's own, and nodes of paths above a
-threshold relative to the page's spread are content nodes. The block that holds most of their text is the article; its
-other blocks belong to it too (a short paragraph is still a paragraph), save those of boilerplate tags, classes or roles
-and lists of links.
+threshold relative to the page's spread are content nodes. The article is the ``article`` elements or the ``main`` that
+hold most of their text; on a page without, it is the smallest block that holds all of them, widened below the body while
+the block around it has more text, and to the body for headings and prose beside it. All blocks of the article belong to
+it (a short paragraph is still a paragraph), save those of boilerplate tags, classes or roles and lists of links.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a line
 feed. Null, empty and textless pages give an empty text. Unclosed, misnested and cut-off markup is read as browsers do in
@@ -42,6 +43,7 @@ BOILERPLATE_WORDS = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation footer masthead sidebar aside"
     " widget widgets related recommended promo promotion sponsor sponsored share sharing social toolbar pagination pager copyright legal disclaimer".split()
 )
+PROSE = frozenset(("p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", *HEADINGS))
 MARKS = re.compile(r"[.,;:!?。、，！？]")
 
 
@@ -177,8 +179,46 @@ def ratios(nodes: list[tuple[Block, str, int]], width: int = 2) -> list[float]:
     return out
 
 
+def outermost(blocks: list[Block], tag: str) -> list[Block]:
+    """The blocks of a tag that no other of it encloses."""
+    inner = [False] * len(blocks)
+    for block in blocks:
+        inner[block.number] = block.parent is not None and (block.parent.tag == tag or inner[block.parent.number])
+    return [b for b in blocks if b.tag == tag and not inner[b.number]]
+
+
+def widened(blocks: list[Block], nodes: list[tuple[Block, str, int]], content: list[tuple[Block, str, int]], link_limit: float) -> Block:
+    """The article of a page that names none: the smallest block of all content nodes, and what stands beside it."""
+    banner = [False] * len(blocks)
+    for block in blocks:
+        top = block.tag == "header" and block.parent is not None and block.parent.tag in ("", "html", "body")
+        banner[block.number] = top or (block.parent is not None and banner[block.parent.number])
+    text = [n for n in nodes if not banner[n[0].number] and n[2] <= link_limit * len(n[1])]
+    inner = [n for n in content if not banner[n[0].number]] or content
+    # how many texts, content nodes, and prose or headings are in each block
+    counts = [[0, 0, 0] for _ in blocks]
+    for block, _, _ in text:
+        counts[block.number][0] += 1
+        counts[block.number][2] += block.tag in PROSE
+    for block, _, _ in inner:
+        counts[block.number][1] += 1
+    for block in reversed(blocks):
+        if block.parent:
+            above = counts[block.parent.number]
+            for k, n in enumerate(counts[block.number]):
+                above[k] += n
+    holder = max((b for b in blocks if counts[b.number][1] == len(inner)), key=lambda b: b.depth)
+    up = holder
+    while up.parent:
+        up = up.parent
+        more = 2 if up.tag in ("", "html", "body") else 0
+        if counts[up.number][more] > counts[holder.number][more]:
+            holder = up
+    return holder
+
+
 def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, link_limit: float = 0.6) -> str:
-    """The article's text. Content nodes exceed ``spread`` deviations under the mean ratio; the article holds ``share`` of them."""
+    """The article's text. Content nodes exceed ``spread`` deviations under the mean ratio; named articles hold ``share`` of them."""
     blocks, nodes = text_nodes(html or "")
     nodes = [n for n in nodes if not n[0].junk]
     if not nodes:
@@ -197,17 +237,17 @@ def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, lin
     for block in reversed(blocks):
         if block.parent:
             mass[block.parent.number] += mass[block.number]
-    holders = [b for b in blocks if mass[b.number] >= share * total]
-    named = [b for b in holders if b.tag in ("article", "main")]
-    holder = max(named, key=lambda b: (b.tag == "article", -b.depth)) if named else max(holders, key=lambda b: b.depth)
-    # a single paragraph does not hold an article: its parent does, with the blocks beside it
-    while holder.tag in ("p", "blockquote", "li", "td", *HEADINGS) and holder.parent:
-        holder = holder.parent
+    articles = [b for b in outermost(blocks, "article") if mass[b.number]]
+    mains = [b for b in outermost(blocks, "main") if mass[b.number] >= share * total]
+    if sum(mass[b.number] for b in articles) >= share * total:
+        holders = set(articles)
+    else:
+        holders = set(mains) or {widened(blocks, nodes, content, link_limit)}
     within, header = [False] * len(blocks), [False] * len(blocks)
     for block in blocks:
         above = block.parent.number if block.parent else None
-        within[block.number] = block is holder or (above is not None and within[above])
-        header[block.number] = block is not holder and (block.tag == "header" or (above is not None and header[above])) and within[block.number]
+        within[block.number] = block in holders or (above is not None and within[above])
+        header[block.number] = block not in holders and (block.tag == "header" or (above is not None and header[above])) and within[block.number]
 
     def inside(block: Block) -> bool:
         return within[block.number] and (not header[block.number] or block.tag in HEADINGS)

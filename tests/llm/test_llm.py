@@ -354,6 +354,24 @@ def test_surroundings_go():
     assert htmltext.main_text(page) == "Title\nFirst one, with words. And more.\nShort.\na < b\nc d\nLast, the end."
 
 
+LINE = "A long line of the list, with marks; it is clearly a part of the article, as anyone can see. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><h1>T</h1><p>intro</p><ul><li>{LINE * 4}</li><li>{LINE * 4}</li></ul></div>", ["T", "intro", LINE * 4, LINE * 4]),
+        (f"<body><section><p>{LINE * 6}</p></section><section><p>{LINE * 2}</p></section></body>", [LINE * 6, LINE * 2]),
+        (f"<body><div><p>{LINE * 6}</p></div><div><p>{LINE * 2}</p></div></body>", [LINE * 6, LINE * 2]),
+        (f"<div><p>Before it.</p><pre>{LINE * 6}</pre><p>After it.</p></div>", ["Before it.", LINE * 6, "After it."]),
+        (f"<body><h2>T</h2><p>Before it.</p><table><tr><td>{LINE * 5}</td><td>{LINE * 5}</td></tr></table><p>After it.</p></body>", ["T", "Before it.", LINE * 5, LINE * 5, "After it."]),
+        (f"<body><main><article><p>{LINE * 6}</p></article><article><p>{LINE * 2}</p></article></main></body>", [LINE * 6, LINE * 2]),
+    ],
+)
+def test_articles_without_a_name_are_whole(page, want):
+    assert htmltext.main_text(page) == "\n".join(" ".join(x.split()) for x in want)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>a", "a < b", "</p></div>", "<!-- x", "<script>x", "<a href='", "&#0;&bogus;", "<div " * 50, "<p>" * 3000 + "deep", "<div>" * 3000 + "deep"])
 def test_odd_markup(page):
     assert isinstance(htmltext.main_text(page), str)
