@@ -8,6 +8,9 @@ hold most of their text; on a page without, it is the smallest block that holds
 the block around it has more text, and to the body for headings and prose beside it. All blocks of the article belong to
 it (a short paragraph is still a paragraph), save those of boilerplate tags, classes or roles and lists of links.
 
+A class or id makes boilerplate by a whole token whose hyphenated parts are all listed words or places. It never does so
+for html, body, an outermost article or main, a block around these, or the block with most of the text of a page without.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a line
 feed. Null, empty and textless pages give an empty text. Unclosed, misnested and cut-off markup is read as browsers do in
 outline: a block ends when an enclosing one does, a paragraph when another block begins. Every row gives one row.
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# every attribute is read with its value, so that no word inside a value passes for a name
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select".split())
@@ -36,52 +40,64 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dial
 #: Elements that end an open one of their own kind, and what bounds the search for it.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # fixed values: tags, roles and class words of what surrounds an article
-BOILERPLATE_TAGS = frozenset("head nav footer aside form button input label fieldset dialog menu figcaption".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside form button input label fieldset dialog menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation footer masthead sidebar aside"
     " widget widgets related recommended promo promotion sponsor sponsored share sharing social toolbar pagination pager copyright legal disclaimer".split()
 )
+#: Words that say where a boilerplate block stands.
+PLACES = frozenset("site page main primary secondary global top bottom left right".split())
 PROSE = frozenset(("p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", *HEADINGS))
 MARKS = re.compile(r"[.,;:!?。、，！？]")
 
 
 class Block:
-    """An open element. ``path`` numbers its tag path: equal paths of a page have equal numbers."""
+    """An open element. ``path`` numbers its tag path: equal paths of a page have equal numbers.
+
+    ``junk`` is boilerplate by tag, role or style, its own or inherited; ``named`` is boilerplate by its own class or id.
+    """
 
-    __slots__ = ("depth", "junk", "number", "parent", "path", "tag")
+    __slots__ = ("depth", "junk", "named", "number", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Block | None, number: int, path: int, junk: bool) -> None:
+    def __init__(self, tag: str, parent: Block | None, number: int, path: int, junk: bool, named: bool) -> None:
         self.tag, self.parent, self.number, self.path = tag, parent, number, path
         self.depth = parent.depth + 1 if parent else 0
         self.junk = junk or (parent is not None and parent.junk)
+        self.named = named
+
+
+def _surrounds(token: str) -> bool:
+    """Whether a class or id token names what surrounds an article."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in PLACES for w in words)
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """A tag's classes for its path, and whether they or its role make it boilerplate."""
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """A tag's classes for its path, whether its role or style make it boilerplate, and whether its classes or id do."""
     if not text or text.isspace():
-        return "", False
-    names, junk = "", False
+        return "", False, False
+    names, junk, named = "", False, False
     for name, a, b, c in ATTRIBUTE.findall(text):
         value = (a or b or c).lower()
         name = name.lower()
         if name in ("class", "id"):
             if name == "class":
                 names = "." + ".".join(sorted(value.split()))
-            junk = junk or any(w in BOILERPLATE_WORDS for w in re.split(r"[^a-z]+", value))
+            named = named or any(map(_surrounds, value.split()))
         elif name == "role":
             junk = junk or value in BOILERPLATE_ROLES
         elif name == "style":
             junk = junk or "display:none" in value.replace(" ", "")
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             junk = True
-    return names, junk
+    return names, junk, named
 
 
 def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
     """All blocks, parents first, and each block-level run of text in page order: its block, its text, its linked characters."""
-    blocks = [Block("", None, 0, 0, False)]
+    blocks = [Block("", None, 0, 0, False, False)]
     paths: dict[tuple[int, str], int] = {}
     stack = [blocks[0]]
     nodes: list[tuple[Block, str, int]] = []
@@ -138,8 +154,10 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
         if tag == "a":
             depth = 1
             continue
-        names, junk = _attributes(found[3])
-        if tag in INLINE and not junk:
+        names, junk, named = _attributes(found[3])
+        if tag in ("html", "body"):
+            junk = named = False
+        if tag in INLINE and not (junk or named):
             continue
         flush()
         depth = 0
@@ -154,7 +172,7 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
                 if stack[k].tag in bound:
                     break
         path = paths.setdefault((stack[-1].path, tag + names), len(paths) + 1)
-        blocks.append(Block(tag, stack[-1], len(blocks), path, junk or tag in BOILERPLATE_TAGS))
+        blocks.append(Block(tag, stack[-1], len(blocks), path, junk or tag in BOILERPLATE_TAGS, named))
         stack.append(blocks[-1])
     flush()
     return blocks, nodes
@@ -187,6 +205,31 @@ def outermost(blocks: list[Block], tag: str) -> list[Block]:
     return [b for b in blocks if b.tag == tag and not inner[b.number]]
 
 
+def surroundings_gone(blocks: list[Block], nodes: list[tuple[Block, str, int]]) -> list[tuple[Block, str, int]]:
+    """The nodes outside boilerplate."""
+    nodes = [n for n in nodes if not n[0].junk]
+    mass = [0] * len(blocks)
+    for block, text, _ in nodes:
+        mass[block.number] += len(text)
+    own = list(mass)
+    for block in reversed(blocks):
+        if block.parent:
+            mass[block.parent.number] += mass[block.number]
+            own[block.parent.number] += 0 if block.named else own[block.number]
+    whole = [b for tag in ("article", "main") for b in outermost(blocks, tag) if not b.junk]
+    spared = [False] * len(blocks)
+    for block in whole:
+        while block and not spared[block.number]:
+            spared[block.number] = True
+            block = block.parent
+    gone = [False] * len(blocks)
+    for block in blocks:
+        named = block.named and not spared[block.number] and (bool(whole) or 2 * own[block.number] <= mass[0])
+        gone[block.number] = named or (block.parent is not None and gone[block.parent.number])
+    kept = [n for n in nodes if not gone[n[0].number]]
+    return kept if kept or whole else nodes
+
+
 def widened(blocks: list[Block], nodes: list[tuple[Block, str, int]], content: list[tuple[Block, str, int]], link_limit: float) -> Block:
     """The article of a page that names none: the smallest block of all content nodes, and what stands beside it."""
     banner = [False] * len(blocks)
@@ -220,7 +263,7 @@ def widened(blocks: list[Block], nodes: list[tuple[Block, str, int]], content: l
 def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, link_limit: float = 0.6) -> str:
     """The article's text. Content nodes exceed ``spread`` deviations under the mean ratio; named articles hold ``share`` of them."""
     blocks, nodes = text_nodes(html or "")
-    nodes = [n for n in nodes if not n[0].junk]
+    nodes = surroundings_gone(blocks, nodes)
     if not nodes:
         return ""
     values = ratios(nodes)

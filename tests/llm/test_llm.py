@@ -372,6 +372,23 @@ def test_articles_without_a_name_are_whole(page, want):
     assert htmltext.main_text(page) == "\n".join(" ".join(x.split()) for x in want)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><p>{}</p></body>', '<body class="sidebar"><p>{}</p></body>', '<article class="post has-comments"><p>{}</p></article>', '<article class="comments"><p>{}</p></article>',
+        '<div id="content" class="widget-area"><p>{}</p></div>', '<div class="widget"><p>{}</p></div>', '<div class="widget"><main><p>{}</p></main></div>', '<div><p title="a hidden valley">{}</p></div>',
+        '<div><p data-hidden="false">{}</p></div>', "<div><p data-x='class=ad' aria-hidden=false>{}</p></div>", "<figure><figcaption>{}</figcaption></figure>",
+    ],
+)
+def test_articles_are_no_boilerplate_by_a_word(page):
+    assert htmltext.main_text(page.format(LINE)) == LINE.strip()
+
+
+@pytest.mark.parametrize("mark", ['class="ad"', 'class="x site-footer"', "id=cookie-notice", "hidden", 'aria-hidden="true"', "role=banner", 'style="display: none"'])
+def test_marked_surroundings_go(mark):
+    assert htmltext.main_text(f"<body><div {mark}><p>Not of the article.</p></div><div><p>{LINE}</p></div></body>") == LINE.strip()
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>a", "a < b", "</p></div>", "<!-- x", "<script>x", "<a href='", "&#0;&bogus;", "<div " * 50, "<p>" * 3000 + "deep", "<div>" * 3000 + "deep"])
 def test_odd_markup(page):
     assert isinstance(htmltext.main_text(page), str)
