@@ -333,6 +333,20 @@ def test_rules_on_odd_rows(spark, odd):
     assert rules.quality_rules(odd).count() == len(ODD) and rules.quality_rules(empty(odd)).count() == 0
 
 
+# --- references and attributes of WARC derivatives
+
+
+def test_references_and_attributes_of_derivatives(spark):
+    page = """<html lang='fr'><head><title>Caf&eacute; &#8217;s &mdash; &#x27;x&#x27;</title></head><body><p>Caf&eacute; &mdash; &#8217;&#x27; a&nbsp;b &amp;lt; &bogus; &amp</p>
+    <a title="a > b" HREF = '/x y'>1</a><a href=/z?a=1>2</a><a data-href="/no" href="/q">3</a><a>4</a><abbr href="/no">5</abbr></body></html>"""
+    rows = spark.createDataFrame([("<r>", "u", "d", "h", page), (None, None, None, None, None), ("<s>", "u", "d", "h", "<html lang=de><a href=")], "record_id string, target_uri string, warc_date string, headers string, payload string")
+    got = {(r.refers_to, r.record_type): r.content for r in warc.derivatives(rows).collect()}
+    assert len(got) == 6 and got[None, "conversion"] == ""
+    assert got["<r>", "metadata"].startswith("title: Café ’s — 'x'\r\nlanguage: fr\r\n") and "language: de\r\n" in got["<s>", "metadata"]
+    assert got["<r>", "metadata"].endswith("outlinks: 3\r\noutlink: /x y\r\noutlink: /z?a=1\r\noutlink: /q\r\n")
+    assert got["<r>", "conversion"].startswith("Café — ’' a b &lt; &bogus; &amp\n")
+
+
 # --- HTML
 
 
