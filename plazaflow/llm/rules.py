@@ -142,7 +142,7 @@ def quality_rules(
     max_class_distance: float = 0.3,
     max_word_distance: float = 0.33,
     min_chars: int = 200,
-    min_words: int = 100,
+    min_words: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",

@@ -329,6 +329,16 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in rows)
 
 
+def test_short_junk_is_judged_by_its_words(spark):
+    rng = random.Random(5)
+    common = "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.6 else f"{rng.choice('bcdfglm')}{rng.choice('aeiou')}{rng.choice('nrst')}{rng.choice('aeiou')}l" for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    docs = [(k, prose(400), "en") for k in range(200)] + [(1000 + k, prose(50 + k), "en") for k in range(50)] + [(2000 + k, junk(50 + k), "en") for k in range(50)]
+    kept = {r.doc_id for r in rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert sum(1000 <= k < 2000 for k in kept) >= 49 and sum(k >= 2000 for k in kept) <= 1
+
+
 def test_rules_on_odd_rows(spark, odd):
     assert rules.quality_rules(odd).count() == len(ODD) and rules.quality_rules(empty(odd)).count() == 0
 
