@@ -4,7 +4,7 @@ Fixed patterns find e-mail and IP addresses, card and phone numbers. These are t
 any other token that looks like an identifier, stands in a lexical pattern: the two words before it. Patterns and values
 form a bipartite graph with counts. Spark scores it in turns: a pattern's confidence for a kind is the share of its
 mentions that are, as far as known, of that kind; a value's is what its patterns leave certain. Patterns of high confidence
-and enough distinct seeds then mark the identifiers that stand in them, if their characters suit the kind. Seeds stay.
+and enough distinct values that are seeds or found with confidence then mark the identifiers that stand in them, if their characters suit the kind. Seeds stay.
 
 The graph is aggregated by (pattern, value) before it is shuffled, so a frequent context costs little. Only mentions
 travel, no texts. Matching is linear in a text's length.
@@ -130,22 +130,38 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, SCAN)
 
 
+def _fits(kind: Column) -> Column:
+    """:func:`suits` for the column ``value``."""
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    plain = ~F.col("value").rlike(r"\p{L}")
+    return (
+        F.when(kind == 0, F.col("value").rlike("^[^@]+@.*[^@]$"))
+        .when(kind == 1, plain & (F.length(F.regexp_replace("value", "[^.]", "")) == 3))
+        .when(kind == 2, plain & digits.between(12, 19))
+        .otherwise(plain & digits.between(7, 15))
+    )
+
+
 def learn_patterns(mentions: DataFrame, *, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
     """(before, kind, confidence) of the patterns that the graph of mentions (kind, value, before) supports.
 
     Mentions without a kind begin unknown; after each round a value belongs to a kind to 1 - Π(1 - confidence) over its patterns.
+    In every round all patterns are admitted anew: seeds count, and values that fit and are believed to ``min_confidence``.
     """
     edges = durable(mentions.where("before <> ''").groupBy("before", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed")))
     sizes = edges.groupBy("before").agg(F.sum("n").alias("total"))
     seeds = edges.where("seed is not null").groupBy("before", F.col("seed").alias("kind")).agg(F.sum("n").cast("double").alias("mass"), F.count("*").alias("seeds"))
-    enough = seeds.where(F.col("seeds") >= min_seeds)
     belief = None
     scored = None
     for step in range(rounds):
-        mass = enough.select("before", "kind", "seeds", "mass")
+        mass = seeds
         if belief is not None:
-            more = edges.where("seed is null").join(belief, "value").groupBy("before", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("more"))
-            mass = mass.join(more, ["before", "kind"], "left").select("before", "kind", "seeds", (F.col("mass") + F.coalesce("more", F.lit(0.0))).alias("mass"))
+            believed = edges.where("seed is null").join(belief, "value")
+            sure = (F.col("p") >= min_confidence) & _fits(F.col("kind"))
+            more = believed.groupBy("before", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("more"), F.sum(sure.cast("long")).alias("found"))
+            zero = lambda c: F.coalesce(c, F.lit(0))
+            mass = mass.join(more, ["before", "kind"], "full").select("before", "kind", (zero("seeds") + zero("found")).alias("seeds"), (zero("mass") + zero("more")).alias("mass"))
+        mass = mass.where(F.col("seeds") >= min_seeds)
         scored = durable(mass.join(sizes, "before").select("before", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / F.col("total")).alias("confidence")))
         if step < rounds - 1:
             doubt = F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))
@@ -156,20 +172,12 @@ def learn_patterns(mentions: DataFrame, *, rounds: int, min_seeds: int, min_conf
 def discovered(rows: DataFrame, *, rounds: int = 3, min_seeds: int = 5, min_confidence: float = 0.8) -> DataFrame:
     """(part, ordinal, found): the spans of :func:`scan`'s rows that learnt patterns add.
 
-    A pattern is used if at least ``min_seeds`` different seed values of one kind stand in it and its confidence reaches
+    A pattern is used if at least ``min_seeds`` different values of one kind, seeds or found with confidence, stand in it and its confidence reaches
     ``min_confidence`` after ``rounds`` rounds of scoring.
     """
     mentions = rows.select("part", "ordinal", F.explode("mentions").alias("m")).select("part", "ordinal", "m.*")
     patterns = learn_patterns(mentions, rounds=rounds, min_seeds=min_seeds, min_confidence=min_confidence)
-    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    plain = ~F.col("value").rlike(r"\p{L}")
-    fits = (
-        F.when(F.col("k") == 0, F.col("value").rlike("^[^@]+@.*[^@]$"))
-        .when(F.col("k") == 1, plain & (F.length(F.regexp_replace("value", "[^.]", "")) == 3))
-        .when(F.col("k") == 2, plain & digits.between(12, 19))
-        .otherwise(plain & digits.between(7, 15))
-    )
-    new = mentions.where("kind is null").drop("kind").join(patterns.select("before", F.col("kind").alias("k"), "confidence"), "before").where(fits)
+    new = mentions.where("kind is null").drop("kind").join(patterns.select("before", F.col("kind").alias("k"), "confidence"), "before").where(_fits(F.col("k")))
     one = new.groupBy("part", "ordinal", "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind"))
     return one.groupBy("part", "ordinal").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
 

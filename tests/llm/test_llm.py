@@ -262,6 +262,13 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert rows[0].n_phone == 1 and rows[0].spans.startswith("phone:18:")
 
 
+def test_discovered_values_admit_further_patterns(spark):
+    docs = [(k, f"Please call us at +1 (555) 010-{1000 + k} today.") for k in range(60)]
+    docs += [(100 + k, f"Please call us at 555-0199-2{k} today. Fax sent from 555-0199-2{k} now.") for k in range(6)] + [(200, "Fax sent from 777-0188-44 now."), (201, "Weight of 777-0188-44 units.")]
+    rows = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert rows[200] == "phone:14:25" and rows[201] == "" and rows[100].count("phone") == 2
+
+
 def test_matching_is_linear_in_odd_texts():
     import time
 
