@@ -1,11 +1,14 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction.
 
 Fixed patterns find e-mail and IP addresses, card and phone numbers. These are the seeds. Every mention of a seed, and of
-any other token that looks like an identifier, stands in a lexical pattern: the two words before it. Patterns and values
+any other token or run of digit groups that looks like an identifier, stands in a lexical pattern: the two words before it. Patterns and values
 form a bipartite graph with counts. Spark scores it in turns: a pattern's confidence for a kind is the share of its
 mentions that are, as far as known, of that kind; a value's is what its patterns leave certain. Patterns of high confidence
 and enough distinct values that are seeds or found with confidence then mark the identifiers that stand in them, if their characters suit the kind. Seeds stay.
 
+Runs join digit groups by up to three spaces, brackets, dots and hyphens, and end at fixed matches. A run with too many
+digits for any kind is cut around the card numbers in it. Tokens inside a run are marked only where the run is not.
+
 The graph is aggregated by (pattern, value) before it is shuffled, so a frequent context costs little. Only mentions
 travel, no texts. Matching is linear in a text's length.
 
@@ -35,13 +38,18 @@ DIGITS = re.compile(r"[0-9]")
 # a token is entered at its start only, and read once
 _APART = r"\s,;:!?\"'()\[\]{}<>|"
 TOKEN = re.compile(rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+")
+# groups are given back whole at a run's end only, so a run is read once
+GROUPS = re.compile(r"(?<![\w@.])\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)+(?![\w@])")
+GROUP = re.compile(r"[0-9]+")
 WORDS_BEFORE = re.compile(r"[^\W\d_]+")
+#: Stands for the kind of a token that a run of digit groups covers: it is not learnt from.
+INSIDE = -1
 #: Characters of context that are looked at before a mention.
 CONTEXT = 60
 
-SCAN = "part int, ordinal long, doc_id long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,before:string,start:long,end:long>>"
+SCAN = "part int, ordinal long, doc_id long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,before:string,start:long,end:long,run:long>>"
 SPAN_T = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-MENTION_T = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+MENTION_T = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("run", pa.int64())]))
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,6 +102,49 @@ def suits(kind: int, value: str) -> bool:
     return value.count(".") == 3 if kind == 1 else 12 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span of digit groups without a bracket that has no other."""
+    return (start + 1 if text[start] == "(" and ")" not in text[start:end] else start), end
+
+
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The spans in a run of digit groups that suit a kind: the run, or the card numbers in it and what is between."""
+    if any(suits(k, text[start:end]) for k in range(4)):
+        yield _trimmed(text, start, end)
+        return
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(text, start, end)]
+    cards, k = [], 0
+    while k < len(groups):
+        digits, last = "", k
+        while last < len(groups) and len(digits) + groups[last][1] - groups[last][0] <= 19:
+            digits += text[slice(*groups[last])]
+            last += 1
+            if len(digits) >= 16 and luhn(digits):
+                cards.append((k, last))
+                break
+        k = cards[-1][1] if cards and cards[-1][0] == k else k + 1
+    if not cards:
+        return
+    at = 0
+    for first, last in [*cards, (len(groups), len(groups))]:
+        if at < first:
+            a, b = _trimmed(text, start if at == 0 else groups[at][0], groups[first - 1][1])
+            if any(suits(k, text[a:b]) for k in range(4)):
+                yield a, b
+        if first < last:
+            yield groups[first][0], groups[last - 1][1]
+        at = last
+
+
+def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of digit groups outside the taken spans (sorted) that suit a kind, in order."""
+    at = 0
+    for start, end in [*taken, (len(text), len(text))]:
+        for m in GROUPS.finditer(text, at, start) if at < start else ():
+            yield from _pieces(text, m.start(), m.end())
+        at = max(at, end)
+
+
 def before(text: str, start: int) -> str:
     return " ".join(WORDS_BEFORE.findall(text[max(0, start - CONTEXT) : start].lower())[-2:])
 
@@ -108,17 +159,22 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 found = base_spans(text) if text else []
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                rows = [{"kind": k, "value": text[s:e], "before": before(text, s), "start": s, "end": e} for k, s, e in found]
+                rows = [{"kind": k, "value": text[s:e], "before": before(text, s), "start": s, "end": e, "run": s} for k, s, e in found]
                 taken = sorted((s, e) for _, s, e in found)
-                next_taken = 0
+                next_taken = next_run = 0
+                joined = list(runs(text, taken)) if text and DIGITS.search(text) else []
+                rows += [{"kind": None, "value": text[s:e], "before": before(text, s), "start": s, "end": e, "run": s} for s, e in joined]
                 for m in TOKEN.finditer(text) if text and (found or DIGITS.search(text) or "@" in text) else ():
                     value = m[0].strip(".-_/\\=+*#$%&")
                     start = m.start() + m[0].find(value) if value else m.start()
                     end = start + len(value)
                     while next_taken < len(taken) and taken[next_taken][1] <= start:
                         next_taken += 1
-                    if value and len(value) <= 64 and not (next_taken < len(taken) and taken[next_taken][0] < end) and any(suits(k, value) for k in range(4)):
-                        rows.append({"kind": None, "value": value, "before": before(text, start), "start": start, "end": end})
+                    while next_run < len(joined) and joined[next_run][1] <= start:
+                        next_run += 1
+                    over = joined[next_run] if next_run < len(joined) and joined[next_run][0] < end else None
+                    if value and over != (start, end) and not (next_taken < len(taken) and taken[next_taken][0] < end) and any(suits(k, value) for k in range(4)):
+                        rows.append({"kind": INSIDE if over else None, "value": value, "before": before(text, start), "start": start, "end": end, "run": over[0] if over else start})
                 mentions.append(rows)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -176,10 +232,14 @@ def discovered(rows: DataFrame, *, rounds: int = 3, min_seeds: int = 5, min_conf
     ``min_confidence`` after ``rounds`` rounds of scoring.
     """
     mentions = rows.select("part", "ordinal", F.explode("mentions").alias("m")).select("part", "ordinal", "m.*")
-    patterns = learn_patterns(mentions, rounds=rounds, min_seeds=min_seeds, min_confidence=min_confidence)
-    new = mentions.where("kind is null").drop("kind").join(patterns.select("before", F.col("kind").alias("k"), "confidence"), "before").where(_fits(F.col("k")))
-    one = new.groupBy("part", "ordinal", "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind"))
-    return one.groupBy("part", "ordinal").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
+    patterns = learn_patterns(mentions.where(f"kind is null or kind <> {INSIDE}"), rounds=rounds, min_seeds=min_seeds, min_confidence=min_confidence)
+    fresh = mentions.where(f"kind is null or kind = {INSIDE}").withColumn("inside", F.col("kind").isNotNull()).drop("kind")
+    new = fresh.join(patterns.select("before", F.col("kind").alias("k"), "confidence"), "before").where(_fits(F.col("k")))
+    one = new.groupBy("part", "ordinal", "run", "inside", "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind"))
+    span = F.struct("kind", "start", "end")
+    whole = F.collect_list(F.when(~F.col("inside"), span))
+    of_run = one.groupBy("part", "ordinal", "run").agg(F.when(F.size(whole) > 0, whole).otherwise(F.collect_list(span)).alias("f"))
+    return of_run.groupBy("part", "ordinal").agg(F.flatten(F.collect_list("f")).alias("found"))
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **learning: float) -> DataFrame:

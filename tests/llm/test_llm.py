@@ -269,6 +269,34 @@ def test_discovered_values_admit_further_patterns(spark):
     assert rows[200] == "phone:14:25" and rows[201] == "" and rows[100].count("phone") == 2
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call (604) 391-7645 now", ["(604) 391-7645"]), ("call +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081"]), ("(at 555 0199 22)", ["555 0199 22"]), ("a12 x1 2 b", []),
+        ("+1 (826) 555-4081 4532015112830366", ["+1 (826) 555-4081", "4532015112830366"]), ("call +1 (826) 555-4081 4532 0151 1283 0366.", ["+1 (826) 555-4081", "4532 0151 1283 0366"]),
+    ],
+)
+def test_runs_of_digit_groups_are_whole(text, want):
+    assert [text[s:e] for s, e in pii.runs(text, sorted((s, e) for _, s, e in pii.base_spans(text)))] == want
+
+
+def test_spaced_identifiers_are_discovered_whole(spark):
+    docs = [(k, f"Please call us at +1 (555) 010-{1000 + k} today.") for k in range(12)]
+    new = ["(604) 391-7645", "+1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081 4532015112830366", "7" * 70 + "@" + "x" * 10]
+    docs += [(100 + k, f"You may call us at {x} today.") for k, x in enumerate(new)]
+    texts = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert texts[100] == "You may call us at <phone> today." and texts[101] == "You may call us at <phone> <ip> today." and "826" not in texts[102]
+
+
+def test_runs_are_linear_in_odd_texts():
+    import time
+
+    began = time.time()
+    for text in ("1 " * 150_000, "1" * 300_000, "+(" * 150_000, "1 2a" * 75_000, "1.-(" * 75_000, "1   " * 75_000 + "a"):
+        list(pii.runs(text, []))
+    assert time.time() - began < 20
+
+
 def test_matching_is_linear_in_odd_texts():
     import time
 
