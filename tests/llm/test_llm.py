@@ -531,6 +531,14 @@ def test_sql_forms(spark, name):
     assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(result.fetchall())
 
 
+def test_contaminated_rows_go_by_row(spark):
+    import corpus_pipeline as p
+
+    leak = max((r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if r.text), key=len)
+    docs = spark.createDataFrame([(None, leak), (None, "no id"), (1, leak), (1, "shares an id"), (2, None)], "doc_id long, text string")
+    assert sorted(map(str, (r.text for r in p.decontamination_stage(spark, docs, SMALL).collect()))) == ["None", "no id", "shares an id"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
