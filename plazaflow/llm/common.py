@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z; word bytes 0-9, a-z and everything past ASCII stay; every other ASCII byte separates words.
 WORD_TABLE = bytes(
@@ -17,15 +20,42 @@ WORD_TABLE = bytes(
 def durable(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage through the reliable checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (tests, local mode) is a temporary
-    one made. A lost executor costs a recomputation of unfinished tasks, never of the finished table.
+    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and all tasks run in the driver's
+    process (tests, local mode) is a temporary one made; a cluster without it is an error, as its machines share no
+    folder of ours. A lost executor costs a recomputation of unfinished tasks, never of the finished table.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plazaflow-"))
+    shared_folder(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder, set from the session's configuration where it is not yet."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plazaflow-"))
+    return context.getCheckpointDir()
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Lowers the session's Arrow batches to ``rows`` rows and ``size`` bytes, so that long texts don't pile up in one."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.match(r"(-?\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * units.get(unit, 1 << 40) <= most:
+            spark.conf.set(key, str(most))
+
+
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a value's text, modulo ``n``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -40,11 +70,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[int, str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_chars: int = 48_000_000) -> list[tuple[int, str, int]]:
     """At most ``per_class`` learning rows of each label with their whole texts, as (doc_id, text, label).
 
     Rows are taken in the order of a hash of doc_id, so the sample is the same on every run. Rows without an id, a
-    text or a label, and labels that contradict each other, are left out. The bound keeps what comes to the driver small.
+    text or a label, and labels that contradict each other, are left out. Of rows that share an id one counts. The bounds,
+    also of ``most_chars`` characters in all, keep what comes to the driver small.
     """
     clean = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
@@ -57,8 +88,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         for value in (0, 1)
     ]
     chosen = ids[0].unionByName(ids[1])
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").collect()
-    seen: dict[int, tuple[int, str, int]] = {}
-    for row in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        seen.setdefault(row.doc_id, (row.doc_id, row.text, row.label))
-    return list(seen.values())
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # of the rows that share an id one is taken, before anything comes to the driver
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    return bounded_texts(one, per_class * 2, most_chars)
+
+
+def bounded_texts(chosen: DataFrame, rows: int, most_chars: int) -> list[tuple[int, str, int]]:
+    """The rows (doc_id, text, label) in the order of a hash of their ids, as many as have ``most_chars`` characters together.
+
+    Lengths are added up in tasks of ``rows`` rows at most, so texts beyond the bound don't reach the driver.
+    """
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = durable(chosen.withColumn("_size", F.length("text")))
+    kept = sizes.select("doc_id", "_size").withColumn("_sum", F.sum("_size").over(order)).where((F.col("_sum") <= most_chars) | (F.col("_sum") == F.col("_size")))
+    found = sizes.join(F.broadcast(kept.select("doc_id")), "doc_id").select("doc_id", "text", "label").collect()
+    return sorted((r.doc_id, r.text, r.label) for r in found[:rows])

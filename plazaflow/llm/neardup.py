@@ -13,7 +13,8 @@
 5. Components come from alternating large-star and small-star steps; a hot vertex costs one pre-aggregated minimum.
 
 A signature of 120 minima misses a pair at the threshold 0.85 in all of 24 bands of 5 with a chance of 7e-7; the signature
-test allows four standard deviations.
+test allows four standard deviations. At 0.80 the chance is 7e-5. Both fall fast above the threshold, and only matter for
+a text without another link into its group.
 
 Words: A-Z lower-cased, split at ASCII white space. A text of fewer words than a shingle is one shingle; null, empty and
 blank texts have none and are linked with nothing. Rows with one id are one vertex and all come back; rows without an
@@ -30,27 +31,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, raw
+from .common import durable, in_batches, raw
 
 FEATURES = "doc_id long, n_shingles long, print binary, signature binary, keys array<long>"
-_words: dict[bytes, int] = {}
+#: Words whose hashes a task keeps, and the longest of them.
+KNOWN_WORDS, KNOWN_BYTES = 50_000, 40
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct word shingles."""
+def shingles(text: bytes | None, width: int, known: dict[bytes, int]) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct word shingles; ``known`` keeps words' hashes while a task runs."""
     words = text.lower().split() if text else []
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    get, codes = _words.get, []
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    get, codes = known.get, []
     for word in words:
         code = get(word)
         if code is None:
             code = xxhash.xxh3_64_intdigest(word)
-            if len(word) <= 40:
-                _words[word] = code
+            if len(word) <= KNOWN_BYTES:
+                known[word] = code
         codes.append(code)
     h = np.array(codes, np.uint64)
     n = len(h) - width + 1
@@ -80,11 +82,11 @@ def features(docs: DataFrame, *, width: int, bands: int, rows: int, seed: int =
     """Each row's shingle count, set fingerprint, one-byte signature and band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        functions = universal(bands * rows, seed)
+        functions, known = universal(bands * rows, seed), {}
         for batch in batches:
             sizes, prints, signatures, keys = [], [], [], []
             for text in raw(batch.column(1)):
-                found = shingles(text, width)
+                found = shingles(text, width, known)
                 sizes.append(len(found))
                 if not len(found):
                     prints.append(None)
@@ -101,7 +103,7 @@ def features(docs: DataFrame, *, width: int, bands: int, rows: int, seed: int =
                 ["doc_id", "n_shingles", "print", "signature", "keys"],
             )
 
-    return docs.mapInArrow(work, FEATURES)
+    return in_batches(docs, work, FEATURES)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +173,7 @@ def _by_cell(cells: DataFrame, columns: list[str], pairs: Callable[..., list[tup
             yield flush()
 
     spread = cells.repartition("key", "lc", "rc").sortWithinPartitions("key", "lc", "rc")
-    return spread.select(*names).mapInArrow(work, "a long, b long").distinct()
+    return in_batches(spread.select(*names), work, "a long, b long").distinct()
 
 
 def _spanning(least: float) -> Callable[..., list[tuple[int, int]]]:
@@ -209,12 +211,13 @@ def _links(least: float, width: int, percent: int) -> Callable[..., list[tuple[i
         s = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1)
         right = np.flatnonzero(~left)
         sets: dict[int, np.ndarray] = {}
+        known: dict[bytes, int] = {}
         comp = comps.copy()
         out = []
 
         def of(k: int) -> np.ndarray:
             if ids[k] not in sets:
-                sets[ids[k]] = shingles(texts[k].encode(), width)
+                sets[ids[k]] = shingles(texts[k].encode(), width, known)
             return sets[ids[k]]
 
         for i in np.flatnonzero(left):
@@ -244,29 +247,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, int] = {}
 
         def of(text: bytes) -> np.ndarray:
             found = recent.get(text)
             if found is None:
                 if len(recent) >= 64:
                     recent.clear()
-                found = recent[text] = shingles(text, width)
+                found = recent[text] = shingles(text, width, known)
             return found
 
         for batch in batches:
             kept = []
             for k, (ta, tb) in enumerate(zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)):
-                sa, sb = shingles(ta, width), of(tb)
+                sa, sb = shingles(ta, width, known), of(tb)
                 common = len(np.intersect1d(sa, sb, assume_unique=True))
                 if common and 100 * common >= percent * (len(sa) + len(sb) - common):
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    return in_batches(both.select("a", "b", "ta", "tb"), work, "a long, b long")
 
 
 def _settled(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` made durable in as few partitions as about ``rows`` rows need, so that small tables don't cost many files."""
+    """``df``, a table of ids, made durable in as few partitions as about ``rows`` rows need, so that it doesn't cost many files.
+
+    What is computed from texts is made durable first, so that the texts are read by as many tasks as there are.
+    """
     return durable(df.coalesce(max(8, rows // 50_000 + 1)))
 
 
@@ -303,7 +310,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 24,
     rows: int = 5,
-    cell: int = 2000,
+    cell: int = 1000,
     text_cell: int = 400,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -328,7 +335,7 @@ def near_duplicates(
     likely = _likely(stars, signatures, least)
     first = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b")))
     count = first.count()
-    links = _settled(_confirmed(first, source, width, percent), count)
+    links = _settled(durable(_confirmed(first, source, width, percent)), count)
     labels = _settled(components(links), count)
 
     def placed(frame: DataFrame) -> DataFrame:
@@ -344,7 +351,7 @@ def near_duplicates(
         open_ = _cells(placed(families), text_cell).join(signatures, "id")
         texts = source.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
         needed = texts.join(families.select("id"), "id", "left_semi")
-        more = _settled(_by_cell(open_.join(needed, "id"), ["signature", "text"], _links(least, width, percent)), count)
+        more = _settled(durable(_by_cell(open_.join(needed, "id"), ["signature", "text"], _links(least, width, percent))), count)
         if not more.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b")
             labels = _settled(components(stars.unionByName(more)), count)
@@ -353,3 +360,29 @@ def near_duplicates(
     out = rows_of.select("doc_id", "n_shingles", "print").join(final, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **options: int) -> DataFrame:
+    """``docs``, all columns whatever their names, with one row of each near-duplicate group: that of the smallest id.
+
+    Rows are compared by their texts, so rows that share an id are not taken for copies and rows without an id are compared
+    too; they stay only where no row of the group has an id. Of rows with the same id and text one stays. Rows without a word
+    are linked with nothing and stay all. Texts are known by a 64-bit hash; where a second one tells two texts of one hash
+    apart, both stay.
+    """
+    spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, check = F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("check")
+    rows = docs.where(spoken).select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), key, check)
+    groups = near_duplicates(docs.where(spoken).select(key, "text"), width=width, percent=percent, id_col="key", **options)
+    of_key = groups.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
+    by_key = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("least"), (F.min("check") < F.max("check")).alias("two"))
+    known = durable(by_key.join(of_key, "key"))
+    first = known.groupBy("component").agg(F.min(F.struct("least.none", "least.id", "least.check", "key")).alias("w"))
+    stay = first.select("w.key", "w.id", "w.check").withColumnRenamed("id", "least_id")
+    two = rows.join(known.where("two").select("key"), "key", "left_semi")
+    won = rows.join(stay, (rows["key"] == stay["key"]) & (rows["check"] == stay["check"]) & rows["id"].eqNullSafe(stay["least_id"]), "left_semi")
+    won = won.join(known.where("two").select("key"), "key", "left_anti")
+    one = won.groupBy("key", "check", "id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    silent = docs.where(~spoken)
+    return silent.unionByName(one.select("row.*")).unionByName(two.select("row.*"))

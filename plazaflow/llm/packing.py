@@ -13,6 +13,7 @@ text are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,53 +24,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, in_batches
 
-#: Splits text as the byte-level vocabulary's own pattern does, for texts of the characters that SAFE knows.
-SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# fixed value: the public pattern by which byte-level vocabularies of this kind split a text
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters other than these may be of different classes in the two libraries.
 UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e\xa1\xbf\xc0-\xd6\xd8-\xf6\xf8-ɏЀ-ҁҊ-ԯ‐-‧]")
-#: Words kept with their ids in each worker, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Longer texts are encoded in runs, cut before a space between a word's end and a letter, where a split is certain.
+RUN_CHARS = 1 << 20
+CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z])")
 
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32())] + [(c, pa.int64()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")])
-_encoders: dict[tuple[str, str], Callable[[str], list[int]]] = {}
+_encoders: dict[tuple[str, str], Callable[[str], np.ndarray]] = {}
 
 
-def encoder(tokenizer: str, ranks: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the vocabulary file ``tokenizer``; ``ranks`` is the same vocabulary as merge ranks.
+def runs(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``RUN_CHARS`` characters that the vocabulary's pattern splits as it does the whole."""
+    at = 0
+    while len(text) - at > RUN_CHARS:
+        cut = CUT.search(text, at + RUN_CHARS)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def encoder(tokenizer: str, ranks: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text by the vocabulary file ``tokenizer``, without its closing ids; ``ranks`` is the same vocabulary as merge ranks.
 
-    Most words repeat, so a word's ids are kept. Words not seen yet are merged by rank, which gives the same ids many
-    times faster. A text with characters for which the two libraries' classes could differ goes to the tokenizer whole.
+    Merging by rank gives the same ids many times faster. Texts with characters for which the two libraries' classes could
+    differ go to the tokenizer, which is loaded for the first of them. Strings of special tokens are their ids, as the
+    tokenizer has it. One encoder is kept in a worker; it holds the vocabulary and nothing of the texts.
     """
     if (tokenizer, ranks) in _encoders:
         return _encoders[tokenizer, ranks]
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer)
-    whole.encode_special_tokens = True
+    with open(tokenizer, encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    bpe = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=merges, special_tokens={})
-    merged = bpe.encode_ordinary
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        if UNSAFE.search(text):
-            return whole.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        extend, get = ids.extend, known.get
-        for word in SPLIT.findall(text):
-            found = get(word)
-            if found is None:
-                found = merged(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[word] = found
-            extend(found)
-        return ids
+    merged = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+    loaded: list = []
+
+    def slow(text: str) -> list[int]:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(tokenizer))
+        return loaded[0].encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> np.ndarray:
+        parts = []
+        for part in apart.split(text) if apart else (text,):
+            if part in special:
+                parts.append(np.array([special[part]], np.uint32))
+            else:
+                parts += [np.array(slow(run) if UNSAFE.search(run) else merged(run), np.uint32) for run in runs(part)]
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
     return _encoders.setdefault((tokenizer, ranks), encode)
 
@@ -144,7 +159,7 @@ def pack_documents(
         encode, next_id, rows = encoder(tokenizer, ranks), _first_id(0), []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), closing_id], "<u4")
+                ids = np.append(encode(text or ""), np.uint32(closing_id)).astype("<u4")
                 for k, (at, n) in enumerate(pieces(len(ids), sequence_length)):
                     rows.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
                 if len(rows) >= block_rows:
@@ -169,14 +184,14 @@ def pack_documents(
         return work
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    level = durable(source.mapInArrow(first, OUT))
+    level = durable(in_batches(source, first, OUT))
     settled = [level.where("sequence_id is not null")]
     rest = level.where("sequence_id is null")
     left, depth = rest.count(), 1
     while left:
         blocks = -(-left // block_rows)
         last = blocks == 1
-        level = durable(rest.repartition(blocks).mapInArrow(again(depth, None if last else nearly_full), OUT))
+        level = durable(in_batches(rest.repartition(blocks), again(depth, None if last else nearly_full), OUT))
         settled.append(level.where("sequence_id is not null"))
         rest = level.where("sequence_id is null")
         before, left = left, rest.count()
@@ -201,9 +216,9 @@ def sequences(packed: DataFrame, docs: DataFrame, tokenizer: str, ranks: str, *,
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = [*encode(text or ""), closing_id]
+                ids = np.append(encode(text or ""), np.uint32(closing_id))
                 for k, (at, n) in enumerate(pieces(len(ids), sequence_length)):
-                    for column, value in zip(out, (doc_id, k, ids[at : at + n]), strict=True):
+                    for column, value in zip(out, (doc_id, k, ids[at : at + n].astype(np.int32)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
 

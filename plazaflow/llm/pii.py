@@ -18,6 +18,7 @@ Null and empty texts have no spans. Every row gives one row, repeated ids includ
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, in_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,10 +45,8 @@ GROUP = re.compile(r"[0-9]+")
 WORDS_BEFORE = re.compile(r"[^\W\d_]+")
 #: Stands for the kind of a token that a run of digit groups covers: it is not learnt from.
 INSIDE = -1
-#: Characters of context that are looked at before a mention.
-CONTEXT = 60
 
-SCAN = "part int, ordinal long, doc_id long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,before:string,start:long,end:long,run:long>>"
+SCAN = "part int, ordinal long, doc_id long, h1 long, h2 long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,before:string,start:long,end:long,run:long>>"
 SPAN_T = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 MENTION_T = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("run", pa.int64())]))
 
@@ -145,25 +144,35 @@ def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         at = max(at, end)
 
 
-def before(text: str, start: int) -> str:
-    return " ".join(WORDS_BEFORE.findall(text[max(0, start - CONTEXT) : start].lower())[-2:])
+class Context:
+    """The two words before a place in a text, lower-cased and whole, however far; the text is read once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.words: list[tuple[int, int]] | None = None
+
+    def before(self, start: int) -> str:
+        if self.words is None:
+            self.words = [m.span() for m in WORDS_BEFORE.finditer(self.text)]
+        k = bisect_left(self.words, (start, 0))
+        return " ".join(self.text[a : min(b, start)] for a, b in self.words[max(0, k - 2) : k]).lower()
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Each row's fixed spans and identifier-like mentions with their contexts."""
+    """Each row's fixed spans and identifier-like mentions with their contexts; ``docs`` has doc_id, text, h1 and h2."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ordinal = TaskContext.get().partitionId(), 0
         for batch in batches:
             bases, mentions = [], []
             for text in batch.column(1).to_pylist():
-                found = base_spans(text) if text else []
+                found, context = base_spans(text) if text else [], Context(text or "")
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                rows = [{"kind": k, "value": text[s:e], "before": before(text, s), "start": s, "end": e, "run": s} for k, s, e in found]
+                rows = [{"kind": k, "value": text[s:e], "before": context.before(s), "start": s, "end": e, "run": s} for k, s, e in found]
                 taken = sorted((s, e) for _, s, e in found)
                 next_taken = next_run = 0
                 joined = list(runs(text, taken)) if text and DIGITS.search(text) else []
-                rows += [{"kind": None, "value": text[s:e], "before": before(text, s), "start": s, "end": e, "run": s} for s, e in joined]
+                rows += [{"kind": None, "value": text[s:e], "before": context.before(s), "start": s, "end": e, "run": s} for s, e in joined]
                 for m in TOKEN.finditer(text) if text and (found or DIGITS.search(text) or "@" in text) else ():
                     value = m[0].strip(".-_/\\=+*#$%&")
                     start = m.start() + m[0].find(value) if value else m.start()
@@ -174,16 +183,16 @@ def scan(docs: DataFrame) -> DataFrame:
                         next_run += 1
                     over = joined[next_run] if next_run < len(joined) and joined[next_run][0] < end else None
                     if value and over != (start, end) and not (next_taken < len(taken) and taken[next_taken][0] < end) and any(suits(k, value) for k in range(4)):
-                        rows.append({"kind": INSIDE if over else None, "value": value, "before": before(text, start), "start": start, "end": end, "run": over[0] if over else start})
+                        rows.append({"kind": INSIDE if over else None, "value": value, "before": context.before(start), "start": start, "end": end, "run": over[0] if over else start})
                 mentions.append(rows)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0), pa.array(bases, SPAN_T), pa.array(mentions, MENTION_T)],
-                ["part", "ordinal", "doc_id", "base", "mentions"],
+                [pa.array([part] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), *(batch.column(i) for i in (0, 2, 3)), pa.array(bases, SPAN_T), pa.array(mentions, MENTION_T)],
+                ["part", "ordinal", "doc_id", "h1", "h2", "base", "mentions"],
             )
             ordinal += n
 
-    return docs.mapInArrow(work, SCAN)
+    return in_batches(docs, work, SCAN)
 
 
 def _fits(kind: Column) -> Column:
@@ -244,7 +253,8 @@ def discovered(rows: DataFrame, *, rounds: int = 3, min_seeds: int = 5, min_conf
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **learning: float) -> DataFrame:
     """doc_id, base (fixed spans) and spans (those and discovered ones) per document, sorted by kind number and start."""
-    rows = durable(scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    none = F.lit(None).cast("long")
+    rows = durable(scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), none.alias("h1"), none.alias("h2"))))
     joined = rows.select("part", "ordinal", "doc_id", "base").join(discovered(rows, **learning), ["part", "ordinal"], "left")
     return joined.select("doc_id", "base", F.array_sort(F.when(F.col("found").isNull(), F.col("base")).otherwise(F.concat("base", "found"))).alias("spans"))
 
@@ -274,34 +284,37 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def masked(docs: DataFrame, *, broadcast_rows: int = 200_000, **learning: float) -> DataFrame:
+def masked(docs: DataFrame, *, broadcast_bytes: int = 8 << 20, **learning: float) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, where there is one, counted anew.
 
-    Fixed spans are found where the text is. Discovered ones come by document: broadcast if they are at most
-    ``broadcast_rows`` documents, else by a shuffled join. They need a doc_id; rows that share one have theirs united.
+    Fixed spans are found where the text is. Discovered ones come by the text itself, known by two 64-bit hashes, as equal
+    texts have equal spans: so rows without an id get theirs, and rows that share one only their own. They are broadcast
+    if they take ``broadcast_bytes`` at most, else joined by a shuffle; both ways give the same rows. A column may have any name.
     """
-    rows = durable(scan(docs.select(F.col("doc_id").cast("long"), "text")))
-    named = rows.select("part", "ordinal", "doc_id").join(discovered(rows, **learning), ["part", "ordinal"]).where("doc_id is not null")
-    found = durable(named.groupBy(F.col("doc_id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("_found")))
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    both = docs.join(F.broadcast(found) if few else found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    hashes = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    rows = durable(scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", hashes[0].alias("h1"), hashes[1].alias("h2"))))
+    spans = rows.select("part", "ordinal", "h1", "h2").join(discovered(rows, **learning), ["part", "ordinal"])
+    found = durable(spans.groupBy("h1", "h2").agg(F.array_sort(F.max("found")).alias("found")))
+    size = found.agg(F.sum(F.lit(32) + 24 * F.size("found"))).first()[0] or 0
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+    both = carried.join(F.broadcast(found) if size <= broadcast_bytes else found, ["h1", "h2"], "left").select("row", "found")
     names = docs.columns
     column = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, changed = batch.column(column).to_pylist(), False
-            for k, (text, more) in enumerate(zip(texts, batch.column(len(names)).to_pylist(), strict=True)):
+            columns = batch.column(0).flatten()
+            texts, changed = columns[column].to_pylist(), False
+            for k, (text, more) in enumerate(zip(texts, batch.column(1).to_pylist(), strict=True)):
                 spans = base_spans(text) if text else []
-                spans += [(s["kind"], s["start"], s["end"]) for s in more or [] if text and s["end"] <= len(text)]
+                spans += [(s["kind"], s["start"], s["end"]) for s in more or []]
                 if spans:
                     texts[k], changed = mask(text, spans), True
-            columns = list(batch.columns[: len(names)])
             if changed:
                 columns[column] = pa.array(texts, pa.string())
                 if counted is not None:
                     columns[counted] = pa.array([None if t is None else len(t) for t in texts], columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.mapInArrow(work, docs.schema)
+    return in_batches(both, work, docs.schema)

@@ -93,12 +93,29 @@ def test_ids_equal_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(_vocabulary()[0])
-    t.encode_special_tokens = True
     encode = packing.encoder(*_vocabulary())
     texts = [r[1] or "" for r in ODD] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts += ["".join(RNG.choice("ab '’\n\t\r\x1c\x85 st ll 12²½é́漢字-_") for _ in range(40)) for _ in range(3000)]
     for text in texts:
-        assert encode(text) == t.encode(text, add_special_tokens=False).ids, repr(text)
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("cut", [10, 1 << 20])
+def test_special_tokens_and_long_texts_as_the_tokenizer_has_them(monkeypatch, cut):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RUN_CHARS", cut)
+    t, encode = Tokenizer.from_file(_vocabulary()[0]), packing.encoder(*_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|> \n z", "<|endoftext", LONG[:5000], "it's 12 o'clock.  Well,  so \n\n on 3 a.b c, d " * 30, "é² a b <|endoftext|> c"]
+    texts += ["".join(RNG.choice(["a", "b ", " c", "  ", "1", ", ", ".", "'s", "<|endoftext|>", "é", "\n"]) for _ in range(60)) for _ in range(500)]
+    for text in texts:
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+        assert "".join(packing.runs(text)) == text
+
+
+def test_packed_lengths_count_special_tokens(spark):
+    rows = packing.pack_documents(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), *_vocabulary()).collect()
+    assert [(r.length, r.ids_crc32) for r in rows] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()))]
 
 
 def check_packing(rows, lengths):
