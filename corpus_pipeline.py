@@ -1,19 +1,19 @@
 """A training corpus from raw documents: clean of toxic texts, copies, benchmark passages and personal data, and packed.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+Each stage works on all that its predecessor kept. All but the last return the columns of documents, whatever others
+there are. Rows count, not ids: rows that share an id and rows without one are treated by their own texts.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaflow.llm.common import crc_mod, read
-from plazaflow.llm.decontam import contamination
-from plazaflow.llm.neardup import near_duplicates
+from plazaflow.llm.common import crc_mod, read, shared_folder
+from plazaflow.llm.decontam import without_contaminated
+from plazaflow.llm.neardup import one_of_each_group
 from plazaflow.llm.packing import pack_documents
 from plazaflow.llm.pii import masked
 from plazaflow.llm.queries import _vocabulary
@@ -27,25 +27,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    groups = near_duplicates(docs, width=5, percent=80)
-    stay = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null")
-    kept = with_id.join(stay, "doc_id", "left_semi")
-    if with_id.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the row with the smallest id stays; rows without words stay all."""
+    return one_of_each_group(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go.
-
-    A row goes by its own text, known by a 64-bit hash, so rows without an id go too and clean ones that share an id stay.
-    """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = contamination(keyed, read(spark, sf_dir, "benchmark"), window=10, id_col="_key")
-    leaks = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    return without_contaminated(docs, read(spark, sf_dir, "benchmark"), window=10)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,14 +63,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The last stage keeps its result in the checkpoint folder, so the files in between are deleted when it is done.
     """
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="plazaflow-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     packed = STAGES[-1][1](spark, docs, sf_dir)
+    context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return packed
