@@ -1,19 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text nodes, each with its path of block tags from the root, classes included. Per path, text length,
-sentence marks and linked text are summed; the path's ratio is its text per node, raised by marks and lowered by links.
-The nodes' ratios in page order are smoothed with their neighbours', fused with the path's own, and nodes of paths above a
-threshold relative to the page's spread are content nodes. The article is the ``article`` elements or the ``main`` that
-hold most of their text; on a page without, it is the smallest block that holds all of them, widened below the body while
-the block around it has more text, and to the body for headings and prose beside it. All blocks of the article belong to
-it (a short paragraph is still a paragraph), save those of boilerplate tags, classes or roles and lists of links.
+sentence marks and linked text are summed; the path's ratio is the root of its text per node, raised by marks, lowered by
+links, by text that stands bare in a container, and by a class or id that names surroundings. The nodes' ratios in page
+order are smoothed with their neighbours' and fused with the path's own; a heading has that of what follows it. The
+threshold is the split of a page's ratios, by text, into two groups that differ most; where they differ by less than
+``APART`` times, all nodes are content.
 
-A class or id makes boilerplate by a whole token whose hyphenated parts are all listed words or places. It never does so
-for html, body, an outermost article or main, a block around these, or the block with most of the text of a page without.
+The article is the container whose content nodes have most text over that of the others in it. Everything inside it
+belongs to it, short paragraphs, captions and notes too, save menus (blocks of nothing but links) and blocks that a class
+or id names surroundings and whose ratio is under the threshold. Headings, paragraphs and lists beside it belong to it up
+to the body. If it is the body itself, its containers are judged one by one. No tag and no class makes an article.
+
+Never part of it are elements that are no text of the page by their kind: scripts, styles, forms and their controls, nav,
+aside, footer and dialog, hidden ones, those with such a role, and of a header all but its headings (at the top, all of it).
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a line
 feed. Null, empty and textless pages give an empty text. Unclosed, misnested and cut-off markup is read as browsers do in
-outline: a block ends when an enclosing one does, a paragraph when another block begins. Every row gives one row.
+outline: a block ends when an enclosing one does, a paragraph when another block begins. Reading is linear in a page's
+length. Every row gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,56 +27,70 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from math import exp, sqrt
+from itertools import pairwise
+from math import exp, log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL)
+from .common import in_batches
+
+# possessive throughout: no part of a tag is read twice
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.DOTALL)
 # every attribute is read with its value, so that no word inside a value passes for a name
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas select annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mfenced menclose mstyle mpadded mphantom semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of their own kind, and what bounds the search for it.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# fixed values: tags, roles and class words of what surrounds an article
+# fixed values: tags, roles and class words of what surrounds an article; the words lower a ratio, they decide nothing alone
 BOILERPLATE_TAGS = frozenset("head nav footer aside form button input label fieldset dialog menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr"
-    " notice notices alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation footer masthead sidebar aside"
-    " widget widgets related recommended promo promotion sponsor sponsored share sharing social toolbar pagination pager copyright legal disclaimer".split()
+SURROUNDINGS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr"
+    " notice notices popup overlay newsletter subscribe subscription signup login menu nav navbar navigation footer masthead sidebar aside"
+    " widget widgets related recommended promo promotion sponsor sponsored share sharing social toolbar pagination pager".split()
 )
-#: Words that say where a boilerplate block stands.
+#: Words that say where such a block stands.
 PLACES = frozenset("site page main primary secondary global top bottom left right".split())
-PROSE = frozenset(("p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", *HEADINGS))
+PROSE = frozenset(("p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", "caption", "summary", *HEADINGS))
+#: Blocks that are no containers: an article is never one of them.
+PARTS = PROSE | frozenset("ul ol dl menu table thead tbody tfoot tr figure hgroup details address".split()) - {"td"}
+#: What a path's ratio is multiplied by for bare text in a container, and for a class or id that names surroundings.
+BARE, NAMED = 0.35, 0.05
+#: The smoothed ratio's weight beside the path's own; how many times two groups of ratios differ at least.
+SMOOTHED, APART = 0.25, 3.0
 MARKS = re.compile(r"[.,;:!?。、，！？]")
 
 
 class Block:
     """An open element. ``path`` numbers its tag path: equal paths of a page have equal numbers.
 
-    ``junk`` is boilerplate by tag, role or style, its own or inherited; ``named`` is boilerplate by its own class or id.
+    ``junk`` is no text of the page by tag, role or style, ``named`` names surroundings by class or id; both its own or
+    inherited. ``end`` is the number after its last descendant's.
     """
 
-    __slots__ = ("depth", "junk", "named", "number", "parent", "path", "tag")
+    __slots__ = ("depth", "end", "junk", "named", "number", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: Block | None, number: int, path: int, junk: bool, named: bool) -> None:
         self.tag, self.parent, self.number, self.path = tag, parent, number, path
         self.depth = parent.depth + 1 if parent else 0
         self.junk = junk or (parent is not None and parent.junk)
-        self.named = named
+        self.named = named or (parent is not None and parent.named)
+        self.end = number + 1
 
 
 def _surrounds(token: str) -> bool:
     """Whether a class or id token names what surrounds an article."""
     words = [w for w in re.split(r"[^a-z]+", token) if w]
-    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in PLACES for w in words)
+    return any(w in SURROUNDINGS for w in words) and all(w in SURROUNDINGS or w in PLACES for w in words)
 
 
 def _attributes(text: str) -> tuple[str, bool, bool]:
@@ -100,10 +119,15 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
     blocks = [Block("", None, 0, 0, False, False)]
     paths: dict[tuple[int, str], int] = {}
     stack = [blocks[0]]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, where it is open in the stack
     nodes: list[tuple[Block, str, int]] = []
     run: list[str] = []
     linked = depth = 0
 
+    def close(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(run).split())
@@ -134,11 +158,9 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
             if tag == "a":
                 depth = max(0, depth - 1)
             elif tag not in INLINE and tag not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                if places[tag]:
+                    flush()
+                    close(places[tag][-1])
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
@@ -162,24 +184,22 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
         flush()
         depth = 0
         if tag in ENDS_PARAGRAPH and stack[-1].tag == "p":
-            stack.pop()
-        bound = SIBLINGS.get(tag)
-        if bound:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in bound:
-                    break
+            close(len(stack) - 1)
+        if places[tag] and tag in SIBLINGS and places[tag][-1] > max((places[b][-1] for b in SIBLINGS[tag] if places[b]), default=0):
+            close(places[tag][-1])
         path = paths.setdefault((stack[-1].path, tag + names), len(paths) + 1)
         blocks.append(Block(tag, stack[-1], len(blocks), path, junk or tag in BOILERPLATE_TAGS, named))
+        places[tag].append(len(stack))
         stack.append(blocks[-1])
     flush()
+    for block in reversed(blocks):
+        if block.parent:
+            block.parent.end = max(block.parent.end, block.end)
     return blocks, nodes
 
 
 def ratios(nodes: list[tuple[Block, str, int]], width: int = 2) -> list[float]:
-    """The smoothed tag-path ratio of each node, fused with its path's own."""
+    """The tag-path ratio of each node, its path's own fused with its neighbours'."""
     sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for block, text, linked in nodes:
         s = sums[block.path]
@@ -187,121 +207,115 @@ def ratios(nodes: list[tuple[Block, str, int]], width: int = 2) -> list[float]:
         s[1] += len(text)
         s[2] += len(MARKS.findall(text))
         s[3] += linked
-    own = [(s[1] / s[0]) * (1 + s[2] / s[0]) * (1 - s[3] / max(1, s[1])) for s in (sums[b.path] for b, _, _ in nodes)]
+    of_path = {path: sqrt(s[1] / s[0] * (1 + s[2] / s[0])) * (1 - s[3] / s[1]) for path, s in sums.items()}
+    own = [of_path[b.path] * (1 if b.tag in PROSE else BARE) * (NAMED if b.named else 1) for b, _, _ in nodes]
+    for k in reversed(range(len(own) - 1)):
+        if nodes[k][0].tag in HEADINGS:
+            own[k] = max(own[k + 1 : k + 3])
     kernel = [exp(-(k * k) / (2 * width)) for k in range(-width, width + 1)]
     out = []
     for k in range(len(own)):
         part = [(kernel[d + width], own[k + d]) for d in range(-width, width + 1) if 0 <= k + d < len(own)]
         smooth = sum(w * v for w, v in part) / sum(w for w, _ in part)
-        out.append(sqrt(own[k] * smooth))
+        out.append(own[k] ** (1 - SMOOTHED) * smooth**SMOOTHED)
     return out
 
 
-def outermost(blocks: list[Block], tag: str) -> list[Block]:
-    """The blocks of a tag that no other of it encloses."""
-    inner = [False] * len(blocks)
-    for block in blocks:
-        inner[block.number] = block.parent is not None and (block.parent.tag == tag or inner[block.parent.number])
-    return [b for b in blocks if b.tag == tag and not inner[b.number]]
-
-
-def surroundings_gone(blocks: list[Block], nodes: list[tuple[Block, str, int]]) -> list[tuple[Block, str, int]]:
-    """The nodes outside boilerplate."""
-    nodes = [n for n in nodes if not n[0].junk]
-    mass = [0] * len(blocks)
-    for block, text, _ in nodes:
-        mass[block.number] += len(text)
-    own = list(mass)
-    for block in reversed(blocks):
-        if block.parent:
-            mass[block.parent.number] += mass[block.number]
-            own[block.parent.number] += 0 if block.named else own[block.number]
-    whole = [b for tag in ("article", "main") for b in outermost(blocks, tag) if not b.junk]
-    spared = [False] * len(blocks)
-    for block in whole:
-        while block and not spared[block.number]:
-            spared[block.number] = True
-            block = block.parent
-    gone = [False] * len(blocks)
-    for block in blocks:
-        named = block.named and not spared[block.number] and (bool(whole) or 2 * own[block.number] <= mass[0])
-        gone[block.number] = named or (block.parent is not None and gone[block.parent.number])
-    kept = [n for n in nodes if not gone[n[0].number]]
-    return kept if kept or whole else nodes
-
-
-def widened(blocks: list[Block], nodes: list[tuple[Block, str, int]], content: list[tuple[Block, str, int]], link_limit: float) -> Block:
-    """The article of a page that names none: the smallest block of all content nodes, and what stands beside it."""
-    banner = [False] * len(blocks)
+def threshold(values: list[float], sizes: list[int]) -> float:
+    """Where the logarithms of the values, weighted by ``sizes``, fall into two groups that differ most; 0 if by too little."""
+    points = sorted(zip((log(max(v, 1e-3)) for v in values), sizes, strict=True))
+    total, whole = sum(n for _, n in points), sum(v * n for v, n in points)
+    best, limit, weight, below = 0.0, 0.0, 0, 0.0
+    for (v, n), (after, _) in pairwise(points):
+        weight += n
+        below += v * n
+        apart = (whole - below) / (total - weight) - below / weight
+        if after > v and apart > log(APART) and weight * (total - weight) * apart * apart > best:
+            best, limit = weight * (total - weight) * apart * apart, exp((v + after) / 2)
+    return limit
+
+
+def main_text(html: str | None, *, menu_nodes: int = 3, menu_share: float = 0.9) -> str:
+    """The article's text. A menu is a block of at least ``menu_nodes`` nodes whose text is linked to ``menu_share``."""
+    blocks, found = text_nodes(html or "")
+    header = [0] * len(blocks)  # 1 in a header, 2 in one at the top of the page
     for block in blocks:
-        top = block.tag == "header" and block.parent is not None and block.parent.tag in ("", "html", "body")
-        banner[block.number] = top or (block.parent is not None and banner[block.parent.number])
-    text = [n for n in nodes if not banner[n[0].number] and n[2] <= link_limit * len(n[1])]
-    inner = [n for n in content if not banner[n[0].number]] or content
-    # how many texts, content nodes, and prose or headings are in each block
-    counts = [[0, 0, 0] for _ in blocks]
-    for block, _, _ in text:
-        counts[block.number][0] += 1
-        counts[block.number][2] += block.tag in PROSE
-    for block, _, _ in inner:
-        counts[block.number][1] += 1
-    for block in reversed(blocks):
         if block.parent:
-            above = counts[block.parent.number]
-            for k, n in enumerate(counts[block.number]):
-                above[k] += n
-    holder = max((b for b in blocks if counts[b.number][1] == len(inner)), key=lambda b: b.depth)
-    up = holder
-    while up.parent:
-        up = up.parent
-        more = 2 if up.tag in ("", "html", "body") else 0
-        if counts[up.number][more] > counts[holder.number][more]:
-            holder = up
-    return holder
-
-
-def main_text(html: str | None, *, spread: float = 0.25, share: float = 0.7, link_limit: float = 0.6) -> str:
-    """The article's text. Content nodes exceed ``spread`` deviations under the mean ratio; named articles hold ``share`` of them."""
-    blocks, nodes = text_nodes(html or "")
-    nodes = surroundings_gone(blocks, nodes)
+            top = block.parent.tag in ("", "html", "body")
+            header[block.number] = max(header[block.parent.number], (2 if top else 1) if block.tag == "header" else 0)
+    nodes = [n for n in found if not n[0].junk and (not header[n[0].number] or (header[n[0].number] == 1 and n[0].tag in HEADINGS))]
     if not nodes:
         return ""
     values = ratios(nodes)
-    mean = sum(values) / len(values)
-    deviation = sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    limit = max(0.0, mean - spread * deviation)
-    content = [n for n, v in zip(nodes, values, strict=True) if v >= limit and n[2] <= link_limit * len(n[1])]
-    total = sum(len(t) for _, t, _ in content)
-    if not total:
-        return ""
-    mass = [0] * len(blocks)
-    for block, text, _ in content:
-        mass[block.number] += len(text)
+    limit = threshold(values, [len(t) for _, t, _ in nodes])
+    passes = [v >= limit for v in values]
+
+    # text of content over that of the rest, and nodes, text and linked text, of each block with all below it
+    total, sums = [0] * len(blocks), [[0, 0, 0] for _ in blocks]
+    for (block, text, linked), content in zip(nodes, passes, strict=True):
+        total[block.number] += len(text) if content else -len(text)
+        for k, n in enumerate((1, len(text), linked)):
+            sums[block.number][k] += n
     for block in reversed(blocks):
         if block.parent:
-            mass[block.parent.number] += mass[block.number]
-    articles = [b for b in outermost(blocks, "article") if mass[b.number]]
-    mains = [b for b in outermost(blocks, "main") if mass[b.number] >= share * total]
-    if sum(mass[b.number] for b in articles) >= share * total:
-        holders = set(articles)
-    else:
-        holders = set(mains) or {widened(blocks, nodes, content, link_limit)}
-    within, header = [False] * len(blocks), [False] * len(blocks)
+            # what is named surroundings doesn't count against the block around it
+            outer = block.named and not block.parent.named and total[block.number] < 0
+            total[block.parent.number] += 0 if outer else total[block.number]
+            for k, n in enumerate(sums[block.number]):
+                sums[block.parent.number][k] += n
+    page = [b.tag in ("", "html", "body") for b in blocks]
+    menu = [False] * len(blocks)
     for block in blocks:
-        above = block.parent.number if block.parent else None
-        within[block.number] = block in holders or (above is not None and within[above])
-        header[block.number] = block not in holders and (block.tag == "header" or (above is not None and header[above])) and within[block.number]
-
-    def inside(block: Block) -> bool:
-        return within[block.number] and (not header[block.number] or block.tag in HEADINGS)
-
-    kept, links = [], defaultdict(lambda: [0, 0])
-    for block, text, linked in nodes:
-        links[block.path][0] += linked
-        links[block.path][1] += len(text)
-    for block, text, _ in nodes:
-        on_path, of_path = links[block.path]
-        if inside(block) and not (on_path > link_limit * of_path and block.tag not in HEADINGS):
+        n, text, linked = sums[block.number]
+        own = block.tag not in HEADINGS and n >= menu_nodes and linked >= menu_share * text and not page[block.number]
+        menu[block.number] = own or (block.parent is not None and menu[block.parent.number])
+
+    inside = [False] * len(blocks)  # blocks all of whose text belongs to the article
+
+    def select(first: int, end: int) -> None:
+        """Marks the article among the blocks numbered from ``first`` on."""
+        holder = max((b for b in blocks[first:end] if b.tag not in PARTS), key=lambda b: (total[b.number], b.depth), default=None)
+        if holder is None or (total[holder.number] <= 0 and first):
+            return
+        if page[holder.number]:
+            inside[holder.number] = True
+            at = holder.number + 1
+            while at < holder.end:
+                child = blocks[at]
+                if page[at]:
+                    inside[at] = True
+                    at += 1
+                    continue
+                if child.tag in PARTS:
+                    inside[at : child.end] = [True] * (child.end - at)
+                else:
+                    select(at, child.end)
+                at = child.end
+            return
+        inside[holder.number : holder.end] = [True] * (holder.end - holder.number)
+        up = holder.parent
+        while up and not page[up.number] and up.number >= first:
+            at = up.number + 1
+            while at < up.end:
+                if blocks[at].tag in PARTS:
+                    inside[at : blocks[at].end] = [True] * (blocks[at].end - at)
+                at = blocks[at].end
+            up = up.parent
+        # headings right before it, where it has no title of its own
+        if up and page[up.number] and not any(b.tag == "h1" for b in blocks[holder.number : holder.end]):
+            before: list[int] = []
+            at = up.number + 1
+            while at < min(up.end, holder.number) and not blocks[at].end >= holder.end:
+                before.append(at) if blocks[at].tag in HEADINGS else before.clear()
+                at = blocks[at].end
+            for at in before:
+                inside[at] = True
+
+    select(0, len(blocks))
+    kept = []
+    for (block, text, _), content in zip(nodes, passes, strict=True):
+        bare = page[block.number]  # text that stands in the body itself
+        if inside[block.number] and (content or not (bare or block.named or menu[block.number])):
             kept.append(text)
     return "\n".join(kept)
 
@@ -315,4 +329,4 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return source.mapInArrow(work, "page_id long, url string, text string")
+    return in_batches(source, work, "page_id long, url string, text string")
