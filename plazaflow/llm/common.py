@@ -94,10 +94,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return bounded_texts(one, per_class * 2, most_chars)
 
 
-def bounded_texts(chosen: DataFrame, rows: int, most_chars: int) -> list[tuple[int, str, int]]:
+def bounded_texts(chosen: DataFrame, rows: int, most_chars: int) -> list[tuple]:
     """The rows (doc_id, text, label) in the order of a hash of their ids, as many as have ``most_chars`` characters together.
 
-    Lengths are added up in tasks of ``rows`` rows at most, so texts beyond the bound don't reach the driver.
+    Lengths are added up first (``chosen`` has ``rows`` rows at most), so texts beyond the bound don't reach the driver.
     """
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
     sizes = durable(chosen.withColumn("_size", F.length("text")))

@@ -1,9 +1,13 @@
 """Language by blended-spectrum n-gram presence kernels, Nyström landmarks and one-versus-rest kernel ridge regression.
 
 A text is the set of its letter n-grams of lengths 1 to 3, lower-cased, white space and marks folded into one space. Two
-texts' kernel is the number of common n-grams over the geometric mean of their counts. A bounded, documented sample of
-texts of each known language gives the landmarks and the regression. In use, presences of a block of texts times the
-landmarks' presences is one matrix product, and the regression another. n-grams are told apart by a hash into ``SLOTS``.
+texts' kernel is the number of common n-grams over the geometric mean of their counts. n-grams are themselves, as the code
+points in one integer, so a long text has as many as it has and resembles no other for its length alone. A bounded,
+documented sample of texts of each known language gives the landmarks and the regression.
+
+The kernel against the landmarks needs only the n-grams that some landmark has. So a block of texts is a 0/1 matrix over
+these, and its kernel values times the regression's weights are one matrix product with weights that were carried over
+from landmarks to n-grams once: K(x) w = P(x) (Mᵀ w), save for the texts' norms.
 
 A text that is null or has no letter is "und" with score 0; so is every text where nothing could be learnt. Every row
 gives one row. Other columns are ignored.
@@ -11,7 +15,6 @@ gives one row. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS, LONGEST = 4096, 3
-#: Texts of one matrix product, and about how many characters.
-BLOCK, BLOCK_CHARS = 256, 1_000_000
-LETTER = re.compile(r"[^\W\d_]")
+from .common import bounded_texts, in_batches
+
+LONGEST = 3
+#: Texts of one matrix product.
+BLOCK = 64
+#: Bits of a code point.
+POINT = 21
 
 
 def _folded() -> np.ndarray:
@@ -36,24 +42,21 @@ def _folded() -> np.ndarray:
 FOLDED = _folded()
 
 
-def presences(texts: list[str]) -> np.ndarray:
-    """A 0/1 matrix of the n-grams that each text has."""
-    out = np.zeros((len(texts), SLOTS), np.float32)
-    points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
-    row = np.repeat(np.arange(-1, len(texts)), [1, *(len(t) + 1 for t in texts)]).astype(np.int32)
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(c.isalpha() for c in text)
+
+
+def grams(text: str) -> np.ndarray:
+    """The sorted distinct n-grams of a text, each its code points in one integer."""
+    points = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(points < len(FOLDED), FOLDED[np.minimum(points, len(FOLDED) - 1)], points)
-    kept = ~((codes == 32) & (np.r_[np.uint32(0), codes[:-1]] == 32) & (np.r_[np.int32(-2), row[:-1]] == row))
-    codes, row = codes[kept], row[kept]
-    gram = np.zeros(len(codes), np.uint32)
-    for n in range(LONGEST):
-        size = len(codes) - n
-        gram = (gram[:size] + codes[n:] + np.uint32(1)) * np.uint32(0x9E3779B1)
-        gram ^= gram >> np.uint32(15)
-        inside = row[:size] == row[n:] if n else row >= 0
-        inside &= row[:size] >= 0
-        slot = ((gram * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
-        out[row[:size][inside], slot[inside]] = 1
-    return out
+    codes = codes[~((codes == 32) & (np.r_[np.uint32(0), codes[:-1]] == 32))].astype(np.int64)
+    parts, gram = [], np.zeros(len(codes), np.int64)
+    for n in range(min(LONGEST, len(codes))):
+        gram = (gram[: len(codes) - n] << POINT) | codes[n:]
+        parts.append(gram)
+    found = np.sort(np.concatenate(parts))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 class Regression:
@@ -61,28 +64,46 @@ class Regression:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int, ridge: float) -> None:
         self.langs = sorted(set(langs))
-        x = presences(texts)
+        sets = [grams(t) for t in texts]
         by_lang = [[k for k, lang in enumerate(langs) if lang == name] for name in self.langs]
         marks = [k for rank in zip(*(m + [-1] * (len(texts) - len(m)) for m in by_lang), strict=True) for k in rank if k >= 0][:landmarks]
-        self.marks = x[marks]
-        self.root = np.sqrt(self.marks.sum(axis=1))
-        gram = self.kernel(self.marks).astype(np.float64)
+        self.known = np.unique(np.concatenate([sets[k] for k in marks]))
+        sizes = np.array([len(sets[k]) for k in marks])
+        self.marks = self.presences([sets[k] for k in marks]) / np.sqrt(sizes)[:, None]
+        gram = self.kernel([sets[k] for k in marks])
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         kept = values > 1e-6 * values[-1]
         half = vectors[:, kept] / np.sqrt(values[kept])
-        z = self.kernel(x).astype(np.float64) @ half
-        z = np.c_[z, np.ones(len(z))]
+        z = np.c_[self.kernel(sets) @ half, np.ones(len(sets))]
         y = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
         weight = np.array([1 / len(by_lang[self.langs.index(lang)]) for lang in langs])[:, None]
         w = np.linalg.solve(z.T @ (z * weight) + ridge * np.eye(z.shape[1]), z.T @ (y * weight))
-        self.weights, self.offset = (half @ w[:-1]).astype(np.float32), w[-1]
+        self.alpha, self.offset = half @ w[:-1], w[-1]
+        self.weights = (self.marks.T @ self.alpha).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "known": self.known, "weights": self.weights, "offset": self.offset}
+
+    def presences(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A 0/1 matrix of the landmarks' n-grams that each set has."""
+        out = np.zeros((len(sets), len(self.known)), np.float32)
+        for row, found in zip(out, sets, strict=True):
+            at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+            row[at[self.known[at] == found]] = 1
+        return out
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Kernel values of sets against the landmarks."""
+        blocks = [self.presences(sets[k : k + BLOCK]) @ self.marks.T / np.sqrt([[len(s)] for s in sets[k : k + BLOCK]]) for k in range(0, len(sets), BLOCK)]
+        return np.concatenate(blocks).astype(np.float64)
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.marks.T / (np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] * np.maximum(self.root, 1))
+    def values(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Each set's value for every language."""
+        return self.presences(sets) @ self.weights / np.sqrt([[len(s)] for s in sets]) + self.offset
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each text's best language, and its share of the softmax."""
-        values = self.kernel(presences(texts)) @ self.weights + self.offset
+        values = self.values([grams(t) for t in texts])
         shares = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
         shares /= shares.sum(axis=1, keepdims=True)
         return values.argmax(axis=1), shares.max(axis=1)
@@ -93,6 +114,8 @@ def languages(
     learn: Column,
     *,
     per_lang: int = 250,
+    most_langs: int = 200,
+    most_chars: int = 24_000_000,
     landmarks: int = 160,
     ridge: float = 1e-3,
     id_col: str = "doc_id",
@@ -101,15 +124,19 @@ def languages(
 ) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each document.
 
-    ``learn`` says, on the documents' ``doc_id`` and ``lang``, which may be learnt from; at most ``per_lang`` of each language,
-    in the order of a hash of their ids, are the training sample. Rank limits are applied before the shuffle.
+    ``learn`` says, on the documents' ``doc_id`` and ``lang``, which may be learnt from. The training sample is at most
+    ``per_lang`` documents of each language, in the order of a hash of their ids, of the ``most_langs`` most frequent
+    languages, and ``most_chars`` characters in all. Rank limits are applied before the shuffle.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = source.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(learn, F.lit(False)))
+    named = known.where("text is not null").select("doc_id", "lang")
+    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where("text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
-    rows = source.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).collect()
-    sample = sorted((r.lang, r.doc_id, r.text) for r in rows if r.text is not None and LETTER.search(r.text))
+    ids = named.join(F.broadcast(frequent), "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "lang").distinct()
+    rows = source.where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
+    one = rows.groupBy("doc_id", F.col("lang").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sorted((lang, doc_id, text) for doc_id, text, lang in bounded_texts(one, per_lang * most_langs, most_chars) if has_letter(text))
     model = Regression([t for _, _, t in sample], [lang for lang, _, _ in sample], landmarks, ridge) if sample else None
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -118,17 +145,12 @@ def languages(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            todo = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-            at = 0
-            while at < len(todo):
-                end, size = at, 0
-                while end < len(todo) and end - at < BLOCK and (end == at or size + len(texts[todo[end]]) <= BLOCK_CHARS):
-                    size += len(texts[todo[end]])
-                    end += 1
-                best, share = model([texts[k] for k in todo[at:end]])
-                for k, b, s in zip(todo[at:end], best.tolist(), share.tolist(), strict=True):
+            todo = [k for k, t in enumerate(texts) if has_letter(t)] if model else []
+            for at in range(0, len(todo), BLOCK):
+                block = todo[at : at + BLOCK]
+                best, share = model([texts[k] for k in block])
+                for k, b, s in zip(block, best.tolist(), share.tolist(), strict=True):
                     names[k], scores[k] = model.langs[b], s
-                at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return source.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return in_batches(source.select("doc_id", "text"), work, "doc_id long, lang_pred string, score double")

@@ -5,12 +5,16 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read
 
 
+def _held_out(n: int, rest: int) -> Column:
+    return F.coalesce(crc_mod("doc_id", n) == rest, F.lit(False)).alias("held_out")
+
+
 def _vocabulary() -> tuple[str, str]:
     vocabulary = importlib.import_module("public_tokenizers")
     return vocabulary.path("byte_bpe_50k.json"), vocabulary.path("byte_bpe_50k.tiktoken")
@@ -34,7 +38,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     learn = F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False))
     scored = toxicity(docs, fit(docs, read(spark, sf_dir, "labels"), learn))
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     learn = F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))
     scored = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import languages
 
     found = languages(read(spark, sf_dir, "documents"), crc_mod("doc_id", 3) != 1)
-    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
 _LATER = (op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)

@@ -239,9 +239,43 @@ def test_learners_on_odd_rows(spark, odd, labels):
     assert {r.lang_pred for r in langid.languages(odd, F.lit(False)).collect()} == {"und"}
 
 
-def test_presences_are_sets():
-    x = langid.presences(["ab", "abab", "", "AB"])
-    assert (x[0] == x[3]).all() and x[2].sum() <= 1 and (x[1] >= x[0]).all()
+def test_grams_are_true_sets():
+    x = [set(langid.grams(t).tolist()) for t in ("ab", "abab", "", "AB", "é漢")]
+    assert x[0] == x[3] and len(x[2]) == 1 and x[1] > x[0] and not x[4] & x[0] - x[2]
+    assert len(x[0]) == 3 + 3 + 2  # a, b and the space around; " a", "ab", "b "; " ab", "ab "
+    long, short = langid.grams(LONG), langid.grams(" ".join(LONG.split()[:200]))
+    assert len(long) < 1.2 * len(short)  # a long text of few words has few n-grams
+
+
+def test_language_kernel_equals_brute_force():
+    def brute(text):
+        folded = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text} "))
+        return {folded[k : k + n] for n in (1, 2, 3) for k in range(len(folded) - n + 1)}
+
+    rng = random.Random(8)
+    words = {"en": "the of and house water under 12 being", "es": "el de que casa agua también niño", "de": "der und Häuser Wasser über für, nicht"}
+    texts = [(" ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(3, 30))), lang) for lang in words for _ in range(12)]
+    model = langid.Regression([t for t, _ in texts], [x for _, x in texts], 20, 1e-3)
+    marks = [t for rank in zip(*([t for t, x in texts if x == lang] for lang in sorted(words)), strict=True) for t in rank][:20]
+    some = ["the water of the house", "agua, niño!", "漢字 und Wasser", "x"]
+    want = np.array([[len(brute(a) & brute(b)) / (len(brute(a)) * len(brute(b))) ** 0.5 for b in marks] for a in some])
+    sets = [langid.grams(t) for t in some]
+    assert np.allclose(model.kernel(sets), want, atol=1e-5)
+    assert np.allclose(model.values(sets), want @ model.alpha + model.offset, atol=1e-3)
+    best, _ = model(some[:3])
+    assert [model.langs[b] for b in best] == ["en", "es", "de"]
+
+
+def test_texts_without_letters_have_no_language(spark):
+    docs = [(k, "the house of the water", "en") for k in range(9)] + [(20, "½ ² 3 ⅷ", "en"), (21, "...", "en"), (22, "5ª a", "en"), (23, None, "en"), (24, "", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    assert {k for k, v in got.items() if v == "und"} == {k for k, t, _ in docs if not any(map(str.isalpha, t or ""))}
+
+
+def test_many_names_of_languages_are_bounded(spark):
+    docs = [(k, f"some text number {k}", "en" if k < 50 else f"x{k}") for k in range(90)] + [(3, "another text of a taken id", "en")]
+    got = langid.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), most_langs=1).collect()
+    assert len(got) == 91 and {r.lang_pred for r in got} == {"en"}
 
 
 # --- personal data
