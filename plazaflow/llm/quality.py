@@ -1,16 +1,18 @@
 """Quality by random-indexing word vectors pooled per document and a two-layer network with calibrated probabilities.
 
-A word's index vector has a few fixed entries of +1 and -1; its context vector sums the index vectors of its neighbours
-over the whole corpus. Words are told apart by a hash into ``VOCABULARY`` slots, so the vectors are as large for any
-corpus: each task adds up its own matrix, and the matrices are summed slice by slice in two rounds. Besides words and
-runs of marks, a text's words include signs for what pooling would lose: an all-capitals word, a word like the one
-before, a line like an earlier one, and the text's length class.
-
-A document's vector is the mean of its words' index and context vectors. A bounded, documented sample of labelled
-documents trains a two-layer numpy network; part of that sample is kept back to fit the temperature that calibrates its
-probabilities.
-
-Null and empty texts have the length sign only. Every row gives one row; without labels of both kinds all score 0.5.
+Every word has an index vector, a few entries of +1 and -1 that a hash of the word places. A word of the vocabulary also
+has a context vector, the sum of the index vectors of its neighbours over the whole corpus. The vocabulary is the most
+frequent words of the corpus, at most ``vocabulary`` of them: all words of all documents are counted, and it ends at a
+count, so that no word is in for its spelling. Each task adds up its own matrix of context vectors, and the matrices are
+summed slice by slice in two rounds; so what is sent to the tasks is as large for any corpus.
+
+A document's vector is the mean of its words' index vectors and that of its vocabulary words' context vectors, besides the
+roots of the shares of what pooling would lose: distinct words, words outside the vocabulary, in capitals, like the one before, lines like
+an earlier one, and the document's length. Words are runs of letters and digits, lower-cased, and runs of marks. A bounded, documented
+sample of labelled documents trains a two-layer numpy network; part of that sample is kept back to fit the temperature
+that calibrates its probabilities.
+
+Null and empty texts have a zero vector. Every row gives one row; without labels of both kinds all score 0.5.
 Other columns are ignored.
 """
 
@@ -18,125 +20,156 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, raw
-
-VOCABULARY, SIGNS, DIMENSIONS, ENTRIES, SLICES = 4096, 16, 48, 4, 8
-TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
-CAPITALS, REPEATED, SAME_LINE, LENGTH = 0, 1, 2, 3
-_slots: dict[bytes, tuple[int, bool]] = {}
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each slot's entries."""
-    rng = np.random.default_rng(5)
-    places = np.argsort(rng.random((VOCABULARY, DIMENSIONS)), axis=1)[:, :ENTRIES]
-    return places, rng.choice([-1.0, 1.0], (VOCABULARY, ENTRIES))
-
-
-def slots(text: bytes | None) -> np.ndarray:
-    """The vocabulary slots of a text's words and signs, in order."""
-    out: list[int] = []
-    lines: set[int] = set()
-    before = b""
-    if len(_slots) > 300_000:
-        _slots.clear()
-    for line in (text or b"").split(b"\n"):
-        words = TOKEN.findall(line)
-        if not words:
-            continue
-        if (mark := hash(line)) in lines:
-            out.append(SAME_LINE)
-        lines.add(mark)
-        for word in words:
-            found = _slots.get(word)
-            if found is None:
-                found = SIGNS + zlib.crc32(word.lower()) % (VOCABULARY - SIGNS), len(word) > 1 and word.isupper()
-                if len(word) <= 40:
-                    _slots[word] = found
-            out.append(found[0])
-            if found[1]:
-                out.append(CAPITALS)
-            if word == before:
-                out.append(REPEATED)
-            before = word
-    out.append(LENGTH + min(10, len(out).bit_length()))
-    return np.array(out, np.int64)
-
-
-def context_matrix(docs: DataFrame, window: int) -> np.ndarray:
-    """The context vectors of all slots over all documents; slices are summed by task, then by slice."""
-    size = VOCABULARY // SLICES
+from .common import durable, in_batches, labelled_sample, raw
+
+DIMENSIONS, ENTRIES, SLICES, EXTRA = 64, 4, 8, 6
+#: Words that a task counts before it hands its counts on; words of one sum; steps of a doubling of counts.
+HELD_WORDS, RUN_WORDS, STEPS = 200_000, 100_000, 16
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]++|[^\s0-9A-Za-z\x80-\xff]++")
+CAPITALS = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])(?=[0-9\x80-\xff]*+[A-Z])[0-9A-Z\x80-\xff]{2,}+(?![a-z])")
+SUMS = "slice int, salt int, sums binary"
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    return TOKEN.findall(text.lower()) if text else []
+
+
+def index_vectors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each word's entries."""
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64)[:, None]
+    return (h >> 6 * np.arange(ENTRIES)) % DIMENSIONS, 1.0 - 2 * ((h >> 24 + np.arange(ENTRIES)) & 1)
+
+
+def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
+    """The words of all documents that occur most often, ``most`` at most, by falling count."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        counts: Counter[bytes] = Counter()
+        handed = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for text in raw(batch.column(0)):
+                counts.update(tokens(text))
+                if len(counts) >= HELD_WORDS:
+                    yield handed()
+                    counts.clear()
+        yield handed()
+
+    counted = durable(in_batches(docs.select("text"), partial, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * STEPS)
+    left, least = most, None
+    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    rows = counted.where(level >= least).collect()
+    return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))]
+
+
+def context_matrix(docs: DataFrame, words: list[bytes], window: int) -> np.ndarray:
+    """The context vectors of the vocabulary over all documents; slices are summed by task, then by slice."""
+    size = -(-max(1, len(words)) // SLICES)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: k for k, w in enumerate(held.value)}
+        total = np.zeros(size * SLICES * DIMENSIONS, np.float32)
+        run: list[bytes] = []
+        ends: list[int] = []
+
+        def add() -> None:
+            places, signs = index_vectors(run)
+            of = np.fromiter(map(number.get, run, repeat(-1)), np.int64, len(run)) * DIMENSIONS
+            text = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+            for step in range(1, min(window, len(run) - 1) + 1):
+                near = text[step:] == text[:-step]  # nothing reaches across texts
+                for word, by in ((np.arange(len(run) - step), np.arange(step, len(run))), (np.arange(step, len(run)), np.arange(len(run) - step))):
+                    kept = near & (of[word] >= 0)
+                    np.add.at(total, (of[word[kept]][:, None] + places[by[kept]]).reshape(-1), signs[by[kept]].reshape(-1).astype(np.float32))
 
-        places, signs = index_vectors()
-        total = np.zeros(VOCABULARY * DIMENSIONS)
         for batch in batches:
-            held: list[np.ndarray] = []
-            count = 0
-            texts = raw(batch.column(0))
-            for k, text in enumerate(texts):
-                found = slots(text)
-                held += [found, np.full(window, -1)]  # nothing reaches across texts
-                count += len(found)
-                if count > 300_000 or k == len(texts) - 1:
-                    flat = np.concatenate(held)
-                    for step in range(1, window + 1):
-                        for of, by in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
-                            both = (of >= 0) & (by >= 0)
-                            of, by = of[both], by[both]
-                            for j in range(ENTRIES):
-                                total += np.bincount(of * DIMENSIONS + places[by, j], signs[by, j], minlength=len(total))
-                    held, count = [], 0
+            for text in raw(batch.column(0)):
+                found = tokens(text)
+                # a long text goes in parts that share the window
+                for at in range(0, len(found), RUN_WORDS):
+                    run += found[at : at + RUN_WORDS]
+                    ends.append(len(run))
+                    if len(run) >= RUN_WORDS:
+                        add()
+                        run, ends = [], []
+        if run:
+            add()
         pack = zstandard.ZstdCompressor(level=1)
         blobs = [pack.compress(x.tobytes()) for x in total.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() % 16] * SLICES, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "salt", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, salt, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                more = np.frombuffer(unpack.decompress(blob))
+                more = np.frombuffer(unpack.decompress(blob), np.float32)
                 sums[part, salt] = sums[part, salt] + more if (part, salt) in sums else more
         if sums:
             keys = sorted(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([pack.compress(sums[k].tobytes()) for k in keys], pa.binary())], ["slice", "salt", "sums"])
 
-    schema = "slice int, salt int, sums binary"
-    first = docs.select("text").mapInArrow(partial, schema).repartition("slice", "salt").mapInArrow(add, schema)
-    rows = first.withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(add, schema).collect()
-    out = np.zeros((SLICES, size * DIMENSIONS))
+    first = in_batches(docs.select("text"), partial, SUMS).repartition("slice", "salt").mapInArrow(add_up, SUMS)
+    rows = first.withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(add_up, SUMS).collect()
+    out = np.zeros((SLICES, size * DIMENSIONS), np.float32)
     for row in rows:
-        out[row["slice"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["sums"])))
-    return out.reshape(VOCABULARY, DIMENSIONS)
-
-
-def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Index and context vectors side by side, each of unit length."""
-    places, signs = index_vectors()
-    own = np.zeros((VOCABULARY, DIMENSIONS))
-    np.put_along_axis(own, places, signs / ENTRIES**0.5, axis=1)
-    return np.c_[own, context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)].astype(np.float32)
-
-
-def pooled(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
-    """The mean word vector of each text."""
-    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
-    for k, text in enumerate(texts):
-        counts = np.bincount(slots(text), minlength=VOCABULARY)
-        used = np.flatnonzero(counts)
-        out[k] = counts[used].astype(np.float32) @ vectors[used] / counts.sum()
-    return out
+        out[row["slice"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["sums"])), np.float32)
+    return out.reshape(-1, DIMENSIONS)[: len(words)]
+
+
+class Vectors:
+    """The vocabulary's context vectors, each of unit length, and the pooling of a text's words."""
+
+    def __init__(self, words: list[bytes], context: np.ndarray) -> None:
+        self.words = words
+        self.context = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.number: dict[bytes, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "context": self.context, "number": {}}
+
+    def pooled(self, texts: list[bytes | None]) -> np.ndarray:
+        """The vector of each text."""
+        if not self.number:
+            self.number.update((w, k) for k, w in enumerate(self.words))
+        out = np.zeros((len(texts), 2 * DIMENSIONS + EXTRA), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            found = tokens(text)
+            n = len(found)
+            if not n:
+                continue
+            codes = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, n)
+            for at in range(0, n, RUN_WORDS):
+                places, signs = index_vectors(found[at : at + RUN_WORDS])
+                row[:DIMENSIONS] += np.bincount(places.reshape(-1), signs.reshape(-1), DIMENSIONS)
+                known = codes[at : at + RUN_WORDS]
+                row[DIMENSIONS : 2 * DIMENSIONS] += self.context[known[known >= 0]].sum(axis=0)
+            inside = int((codes >= 0).sum())
+            row[:DIMENSIONS] /= n
+            row[DIMENSIONS : 2 * DIMENSIONS] /= max(1, inside)
+            lines = [x for x in text.split(b"\n") if not x.isspace() and x]
+            again = sum(a == b for a, b in zip(found, found[1:], strict=False))
+            shares = [len(set(found)) / n, 1 - inside / n, len(CAPITALS.findall(text)) / n, again / n, 1 - len(set(lines)) / max(1, len(lines))]
+            row[2 * DIMENSIONS :] = *np.sqrt(shares), np.log1p(n) / 10
+        return out
 
 
 class Network:
@@ -147,7 +180,7 @@ class Network:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         order = rng.permutation(len(x))
         held, used = order[: len(x) // 5], order[len(x) // 5 :]
-        z = (x - self.mean) / self.scale
+        z = self.standard(x)
         shape = [(z.shape[1], hidden), (hidden,), (hidden,), ()]
         p = [rng.normal(0, 1 / max(1, s[0] if s else 1) ** 0.5, s) if k in (0, 2) else np.zeros(s) for k, s in enumerate(shape)]
         m, v = [np.zeros(s) for s in shape], [np.zeros(s) for s in shape]
@@ -159,7 +192,7 @@ class Network:
                 h = np.tanh(z[b] @ p[0] + p[1])
                 d = weight[b] * (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y[b]) / len(b)
                 back = d[:, None] * p[2] * (1 - h * h)
-                grads = [z[b].T @ back + 1e-4 * p[0], back.sum(axis=0), h.T @ d + 1e-4 * p[2], d.sum()]
+                grads = [z[b].T @ back + 1e-3 * p[0], back.sum(axis=0), h.T @ d + 1e-3 * p[2], d.sum()]
                 step += 1
                 for k, g in enumerate(grads):
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
@@ -170,8 +203,11 @@ class Network:
             losses = {t: (weight[held] * np.logaddexp(0, -np.clip(sign * out / t, -500, 500))).mean() for t in np.geomspace(0.3, 10, 60)}
             self.temperature = float(min(losses, key=losses.get))
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -5, 5)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
+        return np.tanh(self.standard(x) @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) / self.temperature, -30, 30)))
@@ -183,6 +219,7 @@ def quality(
     learn: Column,
     *,
     per_class: int = 2500,
+    vocabulary: int = 20_000,
     window: int = 2,
     label: str = "quality",
     id_col: str = "doc_id",
@@ -191,17 +228,18 @@ def quality(
     """doc_id and score (0 to 1, higher: label 1 likelier) of each document.
 
     ``learn`` says, on ``labels``' doc_id, which labels may be learnt from; at most ``per_class`` documents of each label are
-    the training sample, weighted back to the labels' own shares.
+    the training sample, weighted back to the labels' own shares. ``vocabulary`` bounds the words with context vectors.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vectors = word_vectors(context_matrix(source, window))
+    words = frequent_words(source, vocabulary)
+    vectors = Vectors(words, context_matrix(source, words, window))
     sample = labelled_sample(source, labels, label, learn, per_class)
     share = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     y = np.array([r[2] for r in sample], float)
     network = None
     if 0 < y.sum() < len(y):
         weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-        network = Network(pooled([r[1].encode() for r in sample], vectors), y, weight)
+        network = Network(vectors.pooled([r[1].encode() for r in sample]).astype(np.float64), y, weight)
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +248,7 @@ def quality(
             if network is None:
                 scores = np.full(batch.num_rows, 0.5)
             else:
-                scores = network(pooled(raw(batch.column(1)), vectors).astype(np.float64)) if batch.num_rows else np.zeros(0)
+                scores = network(vectors.pooled(raw(batch.column(1))).astype(np.float64)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return source.mapInArrow(work, "doc_id long, score double")
+    return in_batches(source, work, "doc_id long, score double")

@@ -199,6 +199,52 @@ def test_quality_on_held_out_rows(spark):
     assert auc([(r.score, r.quality) for r in rows]) > 0.95
 
 
+def test_word_vectors_equal_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(30)] + ["é", "!?", "12"]
+    texts = [" ".join(rng.choice(vocabulary[: rng.randint(1, 33)]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "w1", LONG[:2000]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts: dict = {}
+    for t in texts:
+        for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\s0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")):
+            counts[w.encode()] = counts.get(w.encode(), 0) + 1
+    assert set(quality.frequent_words(docs, 1000)) == set(counts)
+    words = quality.frequent_words(docs, 12)
+    assert 0 < len(words) <= 12 and min(counts[w] for w in words) > max(n for w, n in counts.items() if w not in words)
+
+    def index(word):
+        h, v = zlib.crc32(word), np.zeros(quality.DIMENSIONS)
+        for k in range(4):
+            v[(h >> 6 * k) % 64] += 1 - 2 * ((h >> 24 + k) & 1)
+        return v
+
+    want = np.zeros((len(words), quality.DIMENSIONS))
+    for t in texts:
+        found = quality.tokens((t or "").encode())
+        for at, w in enumerate(found):
+            if w in words:
+                want[words.index(w)] += sum((index(x) for x in [*found[max(0, at - 2) : at], *found[at + 1 : at + 3]]), np.zeros(64))
+    got = quality.context_matrix(docs, words, 2)
+    assert np.allclose(got, want)
+    vectors = quality.Vectors(words, got)
+    text = texts[0] + " W1 W2 XX"
+    found = quality.tokens(text.encode())
+    row = vectors.pooled([text.encode(), None])
+    inside = [words.index(w) for w in found if w in words]
+    assert np.allclose(row[0, :64], sum(index(w) for w in found) / len(found), atol=1e-5) and not row[1].any()
+    assert np.allclose(row[0, 64:128], vectors.context[inside].mean(axis=0), atol=1e-5) and row[0, 130] == pytest.approx((3 / len(found)) ** 0.5)
+
+
+def test_network_learns_and_calibrates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 6))
+    y = (rng.random(2000) < 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1]))).astype(float)
+    p = quality.Network(x, y, np.ones(2000))(x)
+    for lo in (0.0, 0.2, 0.4, 0.6, 0.8):
+        part = (p >= lo) & (p < lo + 0.2)
+        assert part.sum() < 50 or abs(y[part].mean() - p[part].mean()) < 0.1
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
     rows = QUERIES["op8_toxicity"](spark, MEDIUM).join(labels, "doc_id").where("held_out").collect()
