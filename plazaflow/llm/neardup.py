@@ -373,16 +373,16 @@ def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **o
     spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key, check = F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("check")
-    rows = docs.where(spoken).select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), key, check)
+    place = ["key", "check", "none", "id"]
+    named = [key, check, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")]
     groups = near_duplicates(docs.where(spoken).select(key, "text"), width=width, percent=percent, id_col="key", **options)
     of_key = groups.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
-    by_key = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("least"), (F.min("check") < F.max("check")).alias("two"))
+    slim = docs.where(spoken).select(*named).groupBy(*place).agg(F.count("*"))
+    by_key = slim.groupBy("key").agg(F.min(F.struct("none", "id", "check")).alias("least"), (F.min("check") < F.max("check")).alias("two"))
     known = durable(by_key.join(of_key, "key"))
+    # of a group the row of the smallest id, and all rows of a hash that two texts have
     first = known.groupBy("component").agg(F.min(F.struct("least.none", "least.id", "least.check", "key")).alias("w"))
-    stay = first.select("w.key", "w.id", "w.check").withColumnRenamed("id", "least_id")
-    two = rows.join(known.where("two").select("key"), "key", "left_semi")
-    won = rows.join(stay, (rows["key"] == stay["key"]) & (rows["check"] == stay["check"]) & rows["id"].eqNullSafe(stay["least_id"]), "left_semi")
-    won = won.join(known.where("two").select("key"), "key", "left_anti")
-    one = won.groupBy("key", "check", "id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    silent = docs.where(~spoken)
-    return silent.unionByName(one.select("row.*")).unionByName(two.select("row.*"))
+    stay = first.select(*(f"w.{c}" for c in place)).unionByName(slim.join(known.where("two").select("key"), "key").select(*place)).distinct()
+    # repeated rows meet in their tasks before they travel
+    one = docs.where(spoken).select(*named, F.struct(*columns).alias("row")).groupBy(*place).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return docs.where(~spoken).unionByName(one.join(stay, place, "left_semi").select("row.*"))
