@@ -156,7 +156,7 @@ def _warc_sql() -> str:
         f" || array_to_string(list_transform({links}, lambda u: {crlf} || 'outlink: ' || u), '') || {crlf}"
     )
     return f"""
-WITH r AS (SELECT page_id, {urn("'response|' || page_id || '|' || url")} AS refers_to, url AS target_uri, '{DATE}' AS warc_date, coalesce(html, '') AS payload FROM pages),
+WITH r AS (SELECT page_id, {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha1(coalesce(html, ''))")} AS refers_to, url AS target_uri, '{DATE}' AS warc_date, coalesce(html, '') AS payload FROM pages),
 h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload) AS source_headers FROM r),
 s AS (SELECT *, 'sha1:' || sha1(payload) AS source_payload_digest, 'sha1:' || sha1(source_headers || {crlf} || {crlf} || payload) AS source_block_digest FROM h),
 c AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, {fields} AS content FROM s
