@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """Computes a table once into the reliable checkpoint folder, which cuts its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made only where none is set.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made only where none is set and all tasks run
+    in the driver's process. A cluster without it is an error, as its machines share no folder of ours.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plazaflow-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plazaflow-"))
     return df.checkpoint(eager=True)

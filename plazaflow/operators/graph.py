@@ -47,15 +47,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def roots(alias: DataFrame, name: str, to: str) -> DataFrame:
-    """(name, root): where each alias chain ends, by pointer jumping; a cycle ends at its smallest member."""
-    current = settle(alias.select(F.col(name).alias("name"), F.col(to).alias("root")))
-    for _ in range(40):
+    """(name, root): where each alias chain ends, by pointer jumping; a chain that ends in a cycle has its smallest member.
+
+    After as many doublings as the table's size needs every pointer stands at an end or in a cycle; the members of cycles
+    then take the minimum around them, again by doubling. Names are unique; null names are left out.
+    """
+    known = alias.select(F.col(name).alias("name"), F.col(to).alias("root")).where("name is not null and root is not null")
+    current = settle(known)
+    doublings = max(1, current.count().bit_length() + 1)
+    for _ in range(doublings):
         step = current.select(F.col("name").alias("root"), F.col("root").alias("next"))
-        new = settle(current.join(step, "root", "left").select("name", F.when(F.col("next") == F.col("name"), F.least("root", "next")).otherwise(F.coalesce("next", "root")).alias("root"), F.col("root").alias("old")))
+        new = settle(current.join(step, "root", "left").select("name", F.coalesce("next", "root").alias("root"), F.col("root").alias("old")))
         current = new.select("name", "root")
         if new.where("root <> old").isEmpty():
-            break
-    return current
+            break  # all at their ends, or around cycles whose length the jumps divide
+    cycle = settle(known.join(current.select(F.col("root").alias("name")).distinct(), "name", "left_semi").select("name", F.col("root").alias("next"), F.least("name", "root").alias("least")).where("name <> next"))
+    if cycle.isEmpty():
+        return current
+    for _ in range(doublings):
+        step = cycle.select(F.col("name").alias("next"), F.col("next").alias("then"), F.col("least").alias("more"))
+        cycle = settle(cycle.join(step, "next").select("name", F.col("then").alias("next"), F.least("least", "more").alias("least")))
+    return current.join(cycle.select(F.col("name").alias("root"), "least"), "root", "left").select("name", F.coalesce("least", "root").alias("root"))
 
 
 def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -82,11 +94,11 @@ def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int | None = Non
 def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 2_000_000) -> DataFrame:
     """(source, target, dist, nodes) of wanted pairs by a heap search in each task, for graphs that a worker can hold.
 
-    The graph is counted first and sent to the workers only up to ``max_edges``; a larger one is refused here and belongs to
-    :func:`hop_distances`, whose tables may have any size.
+    The graph is counted first and sent to the workers only up to ``max_edges``; for a larger one :func:`paths_by_rounds`
+    does the same on tables of any size. Of paths of one length either may be found.
     """
     if edges.limit(max_edges + 1).count() > max_edges:
-        raise ValueError(f"more than {max_edges} edges: use hop_distances")
+        return paths_by_rounds(edges, pairs)
     near: dict[int, list[tuple[int, float]]] = {}
     for r in edges.select("a", "b", "cost").collect():
         near.setdefault(r.a, []).append((r.b, r.cost))
@@ -121,26 +133,107 @@ def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 2_000
     return wanted.mapInPandas(work, "source long, target long, dist double, nodes array<long>")
 
 
-def ordered_merges(candidates: DataFrame, limit: int = 5_000_000) -> DataFrame:
-    """(node, root) after merging pairs (a, b, saddle) from the highest saddle down, lower node into higher.
+def paths_by_rounds(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, dist, nodes) of wanted pairs, as :func:`dijkstra_paths`, by rounds of joins over all sources at once.
 
-    Each merge depends on those before it, so the pairs, one a pair of touching objects, are walked in order on the driver.
-    They are counted first; more than ``limit`` are refused.
+    Each round relaxes the edges of the nodes that came nearer to their source; then the paths are walked back, a step a round.
     """
-    rows = candidates.select("a", "b", "saddle").orderBy(F.col("saddle").desc(), "a", "b").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} candidate pairs")
-    parent: dict[int, int] = {}
-
-    def find(n: int) -> int:
-        while parent.setdefault(n, n) != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    for r in rows:
-        a, b = find(r.a), find(r.b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    spark = candidates.sparkSession
-    return spark.createDataFrame([(n, find(n)) for n in list(parent)], "node long, root long")
+    wanted = settle(pairs.select("source", "target").distinct())
+    best = settle(wanted.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.col("source").alias("prev")).distinct())
+    front = best
+    while not front.isEmpty():
+        near = front.join(edges.select("a", "b", "cost"), F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("a").alias("prev"))
+        least = near.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("n"))
+        joined = best.join(least, ["source", "node"], "full")
+        better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist")))
+        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+        new = settle(joined.select("source", "node", pick("dist"), pick("prev"), better.alias("moved")))
+        best, front = new.drop("moved"), new.where("moved").drop("moved")
+    ends = best.withColumnRenamed("node", "target").select("source", "target", "dist")
+    open_ = settle(wanted.join(ends, ["source", "target"]).select("source", "target", "dist", F.array("target").alias("nodes")))
+    back, done = best.select("source", F.col("node").alias("at"), "prev"), None
+    while True:
+        here = open_.where(F.col("nodes")[0] == F.col("source"))
+        done = here if done is None else done.unionByName(here)
+        rest = open_.where(F.col("nodes")[0] != F.col("source"))
+        if rest.isEmpty():
+            return done
+        open_ = settle(rest.withColumn("at", F.col("nodes")[0]).join(back, ["source", "at"]).select("source", "target", "dist", F.concat(F.array("prev"), "nodes").alias("nodes")))
+
+
+def ordered_merges(tops: DataFrame, pairs: DataFrame, *, tiny: int, least_reach: float) -> DataFrame:
+    """(node, root) after merging candidate pairs (lo, hi, saddle, factor) from the highest saddle down; only nodes that moved.
+
+    ``tops`` gives each node's top (x, y, z), ``height`` and size ``n``. A group joins the one of the higher top if it has fewer
+    than ``tiny`` points, or if its top is within ``factor`` times the other's height (``least_reach`` at least) of its top. Each
+    merge depends on those before it, but only within a connected part of the candidates: the parts go to tasks.
+    """
+    parts = components(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"{side}_top"))
+    rows = pairs.join(parts.select(F.col("node").alias("lo"), "comp"), "lo").join(end("lo"), "lo").join(end("hi"), "hi")
+    rows = rows.select("comp", "lo", "hi", "saddle", "factor", *(F.col(f"{s}_top.{c}").alias(f"{s}_{c}") for s in ("lo", "hi") for c in ("x", "y", "z", "height", "n")))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        top: dict[int, list[float]] = {}
+        for r in pdf.itertuples():
+            top.setdefault(r.lo, [r.lo_x, r.lo_y, r.lo_z, r.lo_height, r.lo_n])
+            top.setdefault(r.hi, [r.hi_x, r.hi_y, r.hi_z, r.hi_height, r.hi_n])
+        parent = {n: n for n in top}
+
+        def find(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for r in pdf.sort_values(["saddle", "lo", "hi"], ascending=[False, True, True]).itertuples():
+            low, high = find(r.lo), find(r.hi)
+            if low == high:
+                continue
+            if top[low][2] > top[high][2]:
+                low, high = high, low
+            apart = ((top[low][0] - top[high][0]) ** 2 + (top[low][1] - top[high][1]) ** 2) ** 0.5
+            if top[low][4] < tiny or apart <= max(r.factor * top[high][3], least_reach):
+                parent[low] = high
+                top[high][4] += top[low][4]
+        moved = [(n, find(n)) for n in parent if parent[n] != n]
+        return pd.DataFrame(moved, columns=["node", "root"]).astype("int64")
+
+    return rows.groupBy("comp").applyInPandas(walk, "node long, root long")
+
+
+def merge_crowns(
+    points: DataFrame, *, cell: float = 1.0, depth: float = 1.5, flat: float = 0.5, reach: float = 0.5, flat_reach: float = 0.8, tiny: int = 30, least_reach: float = 3.0, passes: int = 8
+) -> DataFrame:
+    """(node, root) of all groups of ``points`` (node, x, y, z, height): pieces of one crown are merged into that of the highest top.
+
+    Groups touch in cells that are the same or neighbours; their saddle is the highest of the lower of both in such cells. A
+    pair is a candidate if the saddle lies less than ``depth`` under the lower top and the tops are near, or if the lower one
+    is tiny. Each pass measures the groups anew; passes end when nothing is joined, at ``passes`` at the latest.
+    """
+    alias = settle(points.select("node").distinct().withColumn("root", F.col("node")))
+    steps = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    for _ in range(passes):
+        grouped = points.join(alias, "node").select("root", "x", "y", "z", "height")
+        best = F.max(F.struct("z", "x", "y", "height")).alias("t")
+        tops = settle(grouped.groupBy("root").agg(best, F.count("*").alias("n")).select(F.col("root").alias("node"), "t.x", "t.y", "t.z", "t.height", "n"))
+        cells = grouped.groupBy(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j"), "root").agg(F.max("z").alias("z"))
+        sent = cells.select("i", "j", F.col("root").alias("other"), F.col("z").alias("oz"), F.explode(steps).alias("d")).select((F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "other", "oz")
+        touching = cells.join(sent, ["i", "j"]).where("root < other").groupBy(F.col("root").alias("a"), F.col("other").alias("b")).agg(F.max(F.least("z", "oz")).alias("saddle"))
+        end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"t{side}"))  # noqa: B023, E731
+        both = touching.join(end("a"), "a").join(end("b"), "b")
+        first = F.col("ta.z") >= F.col("tb.z")
+        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))  # noqa: B023, E731
+        both = both.select(pick("b", "a").alias("lo"), pick("a", "b").alias("hi"), pick("tb", "ta").alias("tlo"), pick("ta", "tb").alias("thi"), "saddle")
+        dip = F.col("tlo.z") - F.col("saddle")
+        apart = F.sqrt(F.pow(F.col("tlo.x") - F.col("thi.x"), 2) + F.pow(F.col("tlo.y") - F.col("thi.y"), 2))
+        factor = F.when(dip < flat, flat_reach).otherwise(reach)
+        near = (dip < depth) & (apart <= F.greatest(factor * F.col("thi.height"), F.lit(least_reach)))
+        pairs = settle(both.where(near | (F.col("tlo.n") < tiny)).select("lo", "hi", "saddle", factor.alias("factor")))
+        if pairs.isEmpty():
+            break
+        moved = settle(ordered_merges(tops, pairs, tiny=tiny, least_reach=least_reach))
+        if moved.isEmpty():
+            break
+        alias = settle(alias.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return alias

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,29 @@ def rank_match(left: DataFrame, right: DataFrame, group: list[str], left_order:
     a = left.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*left_order)))
     b = right.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*right_order)))
     return a.join(b, [*group, "_n"], "left").drop("_n")
+
+
+def multinomial(totals: DataFrame, weights: DataFrame, group: list[str], key: str, weight: str, total: str, u: Callable[[Column], Column]) -> DataFrame:
+    """How many of each group's ``total`` units fall on each key (``n``, zeros left out), each unit drawn on its own.
+
+    ``u`` gives a unit's draw from its number. A unit meets the keys of its group by their ranges of cumulative shares.
+    """
+    units = totals.where(F.col(total) > 0).select(*group, F.explode(F.sequence(F.lit(1), F.col(total).cast("int"))).alias("_unit"))
+    ranges = inverse_cdf(weights.where(F.col(weight) > 0), group, key, weight)
+    # a group's few keys are one row, so that units are not multiplied
+    rows = ranges.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("hi", key))).alias("_keys"))
+    drawn = units.withColumn("_u", u(F.col("_unit"))).join(rows, group)
+    last = F.element_at("_keys", -1)[key]
+    pick = F.coalesce(F.get(F.filter("_keys", lambda k: F.col("_u") < k["hi"]), F.lit(0))[key], last)
+    return drawn.select(*group, pick.alias(key)).groupBy(*group, key).agg(F.count("*").alias("n"))
+
+
+def raked(parts: DataFrame, whole: DataFrame, group: list[str], bin_: str, period: str, weight: str) -> DataFrame:
+    """Each group's weights by period, split within the period as the bins of ``whole`` are, as shares of the group's sum.
+
+    ``whole`` has (bin, period, weight) of all bins; ``parts`` has (group, period, weight). A period without any weight in
+    ``whole`` gives its bins nothing.
+    """
+    same = whole.withColumn("_same", F.sum(weight).over(Window.partitionBy(period))).select(bin_, period, (F.col(weight) / F.greatest(F.col("_same"), F.lit(1.0))).alias("_in"))
+    split = parts.join(F.broadcast(same), period).withColumn("_w", F.col(weight) * F.col("_in"))
+    return split.select(*group, bin_, (F.col("_w") / F.sum("_w").over(Window.partitionBy(*group))).alias("share"))

@@ -81,3 +81,25 @@ def monotone_slopes(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     left = (F.col(y) - F.lag(y).over(w)) / (F.col(x) - F.lag(x).over(w))
     mean = F.when(left * right <= 0, 0.0).otherwise(2 * left * right / (left + right))
     return df.withColumn("slope", F.coalesce(F.when(left.isNull(), right).when(right.isNull(), left).otherwise(mean), F.lit(0.0)))
+
+
+def when_free(taken: DataFrame, wished: DataFrame, key: list[str], *, margin: float = 120.0, day_end: float = 86_340.0) -> DataFrame:
+    """Every wish (key, rank, t0, t1) with ``ok``: whether nothing taken (key, t0, t1) or granted before it, by rank, is within ``margin`` of it.
+
+    Wishes are decided in turn, as each depends on those before it, in one fold over a key's sorted wishes; a wish that
+    ends after ``day_end`` is refused. A key's rows are a person's day, so they are few.
+    """
+    span = lambda a, b: F.struct(a.cast("double").alias("t0"), b.cast("double").alias("t1"))
+    busy = taken.groupBy(*key).agg(F.collect_list(span(F.col("t0"), F.col("t1"))).alias("_busy"))
+    asked = wished.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1")))).alias("_asked"))
+    none = F.expr("cast(array() as array<struct<t0:double,t1:double>>)")
+    start = F.struct(F.coalesce("_busy", none).alias("busy"), F.expr("cast(array() as array<boolean>)").alias("ok"))
+
+    def decide(state: Column, wish: Column) -> Column:
+        clash = F.exists(state["busy"], lambda b: (wish["t1"] + margin >= b["t0"]) & (wish["t0"] - margin <= b["t1"]))
+        free = ~clash & (wish["t1"] <= day_end)
+        return F.struct(F.when(free, F.concat(state["busy"], F.array(span(wish["t0"], wish["t1"])))).otherwise(state["busy"]).alias("busy"), F.concat(state["ok"], F.array(free)).alias("ok"))
+
+    told = asked.join(busy, key, "left").withColumn("_ok", F.aggregate("_asked", start, decide)["ok"])
+    rows = told.select(*key, F.explode(F.arrays_zip(F.col("_asked").alias("w"), F.col("_ok").alias("ok"))).alias("r"))
+    return rows.select(*key, "r.w.rank", "r.w.t0", "r.w.t1", "r.ok")

@@ -310,3 +310,46 @@ def utm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid coordinates of places around 34 N, 118 W."""
     east, north = S.utm(34 + F.col("x") / 100_000, -118 - F.col("y") / 100_000)
     return _suppliers(Tables(spark, sf_dir)).select("s_suppkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+def _holed_sql(table: str, key: str, w: int, h: int, inset: int) -> str:
+    return f"(SELECT {key} AS id, x AS x0, y AS y0, x + {w} AS x1, y + {h} AS y1, x + {inset} AS u0, y + {inset} AS v0, x + {w - inset} AS u1, y + {h - inset} AS v1 FROM {table})"
+
+
+def _common(a: str, b: str) -> str:
+    """Common area of boxes (x0, y0, x1, y1) or their holes (u0, v0, u1, v1)."""
+    (ax, ay), (bx, by) = ({"o": "xy", "i": "uv"}[k[-1]] for k in (a, b))
+    s, t = a[0], b[0]
+    return f"greatest(0, least({s}.{ax}1, {t}.{bx}1) - greatest({s}.{ax}0, {t}.{bx}0)) * greatest(0, least({s}.{ay}1, {t}.{by}1) - greatest({s}.{ay}0, {t}.{by}0))"
+
+
+def _holed(df: DataFrame, key: str, w: float, h: float, inset: float) -> DataFrame:
+    """Polygons with a hole: the outer ring as two halves that touch, and the hole."""
+    x, y = F.col("x"), F.col("y")
+    ring = lambda *points: F.array(*(F.struct((x + F.lit(float(a))).alias("x"), (y + F.lit(float(b))).alias("y")) for a, b in points))
+    halves = ring((0, 0), (w / 2, 0), (w / 2, h), (0, h)), ring((w / 2, 0), (w, 0), (w, h), (w / 2, h))
+    hole = ring((inset, inset), (w - inset, inset), (w - inset, h - inset), (inset, h - inset))
+    return df.select(F.col(key).alias("id"), F.array(*halves, hole).alias("rings"))
+
+
+@query(
+    "G3 J5 J6 J7 J8 J28",
+    f"""WITH a AS {_holed_sql(_CUST, "c_custkey", 160, 120, 30)}, b AS {_holed_sql(_SUPP, "s_suppkey", 700, 500, 90)},
+    o AS (SELECT a.id, b.id AS site, {_common("ao", "bo")} - {_common("ai", "bo")} - {_common("ao", "bi")} + {_common("ai", "bi")} AS both FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+    k AS (SELECT *, 160 * 120 - 100 * 60 - both AS only, 700 * 500 - 520 * 320 - both AS r_only FROM o WHERE both > 1)
+    SELECT id, CASE WHEN max(both) >= 0.3 * 13200 THEN arg_max(site, (round(both, 3), -site)) END AS best, CAST(count(CASE WHEN both >= 50 AND both >= 0.1 * 13200 THEN 1 END) AS BIGINT) AS matches,
+    bool_or(both >= 0.3 * 13200 AND site % 2 <> id % 2) AS taken, round(sum(both) / 13200, 6) AS share, round(sum(both + only + r_only), 2) AS unions, round(sum(only + r_only), 2) AS differences FROM k GROUP BY 1""",
+)
+def region_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best overlap above a share, overlaps above two floors, whether one of another kind covers it, and areas of unions and differences."""
+    t = Tables(spark, sf_dir)
+    o = P.region_overlaps(_holed(_customers(t), "c_custkey", 160, 120, 30), _holed(_suppliers(t), "s_suppkey", 700, 500, 90), 400.0).where("both > 1")
+    best = F.when(F.max("both") >= 0.3 * 13200, F.max_by("r_id", F.struct(F.round("both", 3), -F.col("r_id"))))
+    return o.groupBy("id").agg(
+        best.alias("best"),
+        F.count(F.when((F.col("both") >= 50) & (F.col("both") >= 0.1 * 13200), 1)).alias("matches"),
+        F.max((F.col("both") >= 0.3 * 13200) & (F.col("r_id") % 2 != F.col("id") % 2)).alias("taken"),
+        F.round(F.sum("both") / 13200, 6).alias("share"),
+        F.round(F.sum(F.col("both") + F.col("only") + F.col("r_only")), 2).alias("unions"),
+        F.round(F.sum(F.col("only") + F.col("r_only")), 2).alias("differences"),
+    )

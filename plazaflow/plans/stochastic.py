@@ -202,3 +202,57 @@ def rejection_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.struct(S.uniform(12, F.col("s_suppkey"), i).alias("x"), S.uniform(12, F.col("s_suppkey"), i, draw=1).alias("y")))
     hit = F.get(F.filter(spots, lambda s: s["x"] + s["y"] < 0.6), 0)
     return Tables(spark, sf_dir).supplier.select("s_suppkey", hit.alias("h")).select("s_suppkey", F.coalesce(F.round("h.x", 9), F.lit(0.2)).alias("x"), F.coalesce(F.round("h.y", 9), F.lit(0.2)).alias("y"))
+
+
+@query(
+    "R2 R8",
+    f"""WITH w AS (SELECT c_nationkey AS g, c_mktsegment AS k, CAST(count(*) AS DOUBLE) AS w FROM customer GROUP BY 1, 2), r AS (SELECT g, k, sum(w) OVER (PARTITION BY g ORDER BY k) / sum(w) OVER (PARTITION BY g) AS hi FROM w),
+    n AS (SELECT DISTINCT g, unnest(range(1, 61 + g)) AS unit FROM (SELECT DISTINCT c_nationkey AS g FROM customer)), d AS (SELECT g, unit, {_u(31, 'g::VARCHAR', 'unit::VARCHAR')} AS u FROM n)
+    SELECT g, k, count(*) AS n FROM (SELECT d.g, unit, arg_min(k, hi) AS k FROM d JOIN r ON r.g = d.g AND u < hi GROUP BY 1, 2) GROUP BY 1, 2""",
+)
+def multinomial_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each nation drawn over its segments."""
+    c = Tables(spark, sf_dir).customer
+    w = c.groupBy(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("k")).agg(F.count("*").cast("double").alias("w"))
+    totals = c.select(F.col("c_nationkey").alias("g")).distinct().withColumn("total", F.lit(60) + F.col("g"))
+    return K.multinomial(totals, w, ["g"], "k", "w", "total", lambda unit: S.uniform(31, "g", unit))
+
+
+_MODE = "CASE WHEN c_custkey % 4 = 0 THEN 'rail' WHEN c_custkey % 4 = 1 THEN 'bus' WHEN c_custkey % 4 = 2 THEN 'drive' ELSE 'walk' END"
+
+
+@query(
+    "R6 R4",
+    f"""WITH c AS (SELECT c_custkey, {_MODE} AS mode, c_acctbal, c_custkey * 7 % 360 AS bearing FROM customer),
+    p AS (SELECT c_custkey, mode, n_nationkey AS portal, CASE mode WHEN 'walk' THEN abs((n_nationkey * 15 - bearing + 540) % 360 - 180) / 25.0 WHEN 'bus' THEN abs(c_acctbal / 10 - n_nationkey * 40) / 90.0 WHEN 'drive' THEN abs(c_acctbal / 10 - n_nationkey * 40) / 120.0
+      ELSE abs(c_acctbal / 10 - n_nationkey * 40) / 60.0 END AS k, {_u(32, 'c_custkey::VARCHAR', 'n_nationkey::VARCHAR')} AS u FROM c JOIN nation ON n_nationkey % 4 = CASE mode WHEN 'rail' THEN 0 WHEN 'bus' THEN 1 WHEN 'drive' THEN 2 ELSE 3 END WHERE NOT (mode = 'drive' AND c_acctbal >= 6000))
+    SELECT c.c_custkey, c.mode, best.portal FROM c LEFT JOIN (SELECT c_custkey, arg_min(portal, (k + ln(-ln(u)), portal)) AS portal FROM p GROUP BY 1) best USING (c_custkey)""",
+)
+def portal_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portal of the mode's kind, by distance or by the bearing's miss, each mode with its own scale; own garages need none."""
+    t = Tables(spark, sf_dir)
+    key = F.col("c_custkey")
+    mode = F.when(key % 4 == 0, "rail").when(key % 4 == 1, "bus").when(key % 4 == 2, "drive").otherwise("walk")
+    people = t.customer.select("c_custkey", mode.alias("mode"), "c_acctbal", (key * 7 % 360).alias("bearing"))
+    kinds = F.when(F.col("n_nationkey") % 4 == 0, "rail").when(F.col("n_nationkey") % 4 == 1, "bus").when(F.col("n_nationkey") % 4 == 2, "drive").otherwise("walk")
+    portals = F.broadcast(t.nation.select(F.col("n_nationkey").alias("portal"), kinds.alias("mode")))  # a fixed list of 25
+    far = F.abs(F.col("c_acctbal") / 10 - F.col("portal") * 40)
+    miss = F.abs((F.col("portal") * 15 - F.col("bearing") + 540) % 360 - 180)
+    cost = F.when(F.col("mode") == "walk", miss / 25.0).when(F.col("mode") == "bus", far / 90.0).when(F.col("mode") == "drive", far / 120.0).otherwise(far / 60.0)
+    pairs = people.where("not (mode = 'drive' and c_acctbal >= 6000)").join(portals, "mode")
+    best = K.softmin_choice(pairs, ["c_custkey"], "portal", cost, 1.0, S.uniform(32, "c_custkey", "portal"))
+    return people.select("c_custkey", "mode").join(best, "c_custkey", "left")
+
+
+@query(
+    "R9",
+    """WITH whole AS (SELECT CAST(hour(ts) AS INTEGER) AS bin, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2), site AS (SELECT event_type AS g, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2),
+    s AS (SELECT g, bin, site.w * whole.w / greatest(sum(whole.w) OVER (PARTITION BY g, site.period), 1.0) AS w FROM site JOIN whole USING (period))
+    SELECT g, bin, round(w / sum(w) OVER (PARTITION BY g), 9) AS share FROM s""",
+)
+def raked_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of some users by period, split into hours as all users' are."""
+    e = Tables(spark, sf_dir).events.select("event_type", "user_id", F.hour("ts").alias("bin"), F.floor(F.hour("ts") / 6).cast("int").alias("period"))
+    whole = e.groupBy("bin", "period").agg(F.count("*").cast("double").alias("w"))
+    parts = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("g"), "period").agg(F.count("*").cast("double").alias("w"))
+    return K.raked(parts, whole, ["g"], "bin", "period", "w").withColumn("share", F.round("share", 9))

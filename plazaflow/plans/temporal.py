@@ -208,3 +208,24 @@ def monotone_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = Tables(spark, sf_dir).events.groupBy(F.col("event_type").alias("k"), F.month("ts").cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"))
     c = y.withColumn("y", F.sum("n").over(R.running(["k"], ["x"]))).select("k", "x", "y")
     return T.monotone_slopes(c, ["k"], "x", "y").withColumn("slope", F.round("slope", 6))
+
+
+@query(
+    "T7 T6",
+    f"""WITH RECURSIVE e AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, event_id, event_type, CAST(floor({_SEC}) AS DOUBLE) AS t, CAST(event_id * 37 % 7200 AS DOUBLE) AS dwell FROM events),
+    busy AS (SELECT user_id, day, list({{'t0': t, 't1': t + 900}}) AS busy FROM e WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2),
+    wish AS (SELECT user_id, day, event_id, t AS t0, t + 600 + dwell AS t1, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) AS k FROM e WHERE event_type NOT IN ('purchase', 'signup')),
+    w AS (SELECT wish.*, coalesce(busy.busy, []) AS busy FROM wish LEFT JOIN busy USING (user_id, day)),
+    r AS (SELECT user_id, day, event_id, k, t0, t1, len(list_filter(busy, lambda b: t1 + 120 >= b.t0 AND t0 - 120 <= b.t1)) = 0 AND t1 <= 86340 AS ok, busy FROM w WHERE k = 1
+      UNION ALL SELECT w.user_id, w.day, w.event_id, w.k, w.t0, w.t1, len(list_filter(CASE WHEN r.ok THEN list_append(r.busy, {{'t0': r.t0, 't1': r.t1}}) ELSE r.busy END, lambda b: w.t1 + 120 >= b.t0 AND w.t0 - 120 <= b.t1)) = 0 AND w.t1 <= 86340,
+        CASE WHEN r.ok THEN list_append(r.busy, {{'t0': r.t0, 't1': r.t1}}) ELSE r.busy END FROM r JOIN w ON w.user_id = r.user_id AND w.day = r.day AND w.k = r.k + 1)
+    SELECT user_id, event_id, t0, t1, ok FROM r""",
+)
+def outings_when_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outings of each user's day, granted in turn where they fit between what is taken and granted already."""
+    at = _second_of_day().cast("double")
+    e = Tables(spark, sf_dir).events.select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type", at.alias("t"), (F.col("event_id") * 37 % 7200).cast("double").alias("dwell"))
+    fixed = F.col("event_type").isin("purchase", "signup")
+    taken = e.where(fixed).select("user_id", "day", F.col("t").alias("t0"), (F.col("t") + 900).alias("t1"))
+    wished = e.where(~fixed).select("user_id", "day", F.col("event_id").alias("rank"), F.col("t").alias("t0"), (F.col("t") + 600 + F.col("dwell")).alias("t1"))
+    return T.when_free(taken, wished, ["user_id", "day"]).select("user_id", F.col("rank").alias("event_id"), "t0", "t1", "ok")

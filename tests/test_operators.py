@@ -175,3 +175,129 @@ def test_streams_drain_once(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < out.agg(F.sum("n")).first()[0] <= spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert E.user_sessions(E.read_events(spark, SMALL)).columns == ["user_id", "start", "end", "n"]
+
+
+def test_regions_equal_a_fine_grid():
+    rng = random.Random(3)
+    ring = lambda n: [(rng.randint(0, 40) / 2, rng.randint(0, 40) / 2) for _ in range(n)]
+
+    def inside(rings, x, y):
+        hits = 0
+        for r in rings:
+            for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True):
+                hits += (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax)
+        return hits % 2 == 1
+
+    for _ in range(6):
+        a, b = [ring(5), ring(3)], [ring(4), ring(3)]
+        got = P.region_areas(a, b)
+        step, sums = 0.1, [0, 0, 0]
+        for i in range(200):
+            for j in range(200):
+                p = inside(a, (i + 0.5013) * step, (j + 0.4987) * step), inside(b, (i + 0.5013) * step, (j + 0.4987) * step)
+                sums[0] += p == (True, True)
+                sums[1] += p == (True, False)
+                sums[2] += p == (False, True)
+        assert all(abs(g - s * step * step) < 4 for g, s in zip(got, sums, strict=True))
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    assert P.region_areas([square(0, 0, 10), square(2, 2, 3)], [square(4, 4, 10)]) == (35.0, 56.0, 65.0)
+    assert P.region_areas([square(0, 0, 2)], [square(2, 0, 2)]) == (0.0, 4.0, 4.0) and P.region_areas([], []) == (0.0, 0.0, 0.0)
+
+
+def test_nearest_ends_with_odd_coordinates(spark):
+    from plazaflow.operators.common import settle
+
+    nan = float("nan")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, float("inf"), 0.0), (5, 1e7, 0.0)], "k long, x double, y double")
+    sites = spark.createDataFrame([(9, 3.0, 4.0), (8, None, None), (7, nan, nan)], "s long, x double, y double")
+    got = {r.k: (r.s, r.dist) for r in P.nearest(points, sites, "k", "s", 1.0, settle).collect()}
+    assert got[1] == (9, 5.0) and set(got) == {1, 5}
+    assert P.nearest(points, sites.where("s = 8"), "k", "s", 1.0, settle).count() == 0 and P.nearest(points.where("false"), sites, "k", "s", 1.0, settle).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 12])
+def test_roots_of_cycles(spark, n):
+    cycle = [(f"c{k:02}", f"c{(k + 1) % n:02}") for k in range(n)]
+    tails = [("a0", "a1"), ("a1", "c00"), ("b9", f"c{n - 1:02}"), ("x", "y"), ("y", "z"), ("p", "p"), (None, "x"), ("q", None)]
+    got = {r.name: r.root for r in G.roots(spark.createDataFrame(cycle + tails, "f string, t string"), "f", "t").collect()}
+    want = {**{a: "c00" for a, _ in cycle}, "a0": "c00", "a1": "c00", "b9": "c00", "x": "z", "y": "z", "p": "p"}
+    assert got == want
+
+
+def brute_crowns(points, cell, depth, flat, reach, flat_reach, tiny, least, passes=8):
+    root = {p[0]: p[0] for p in points}
+    for _ in range(passes):
+        groups: dict = {}
+        for n, *p in points:
+            groups.setdefault(root[n], []).append(p)
+        top = {g: max((z, x, y, h) for x, y, z, h in ps) for g, ps in groups.items()}
+        size = {g: len(ps) for g, ps in groups.items()}
+        saddle: dict = {}
+        for a, pa in groups.items():
+            for b, pb in groups.items():
+                for xa, ya, za, _ in pa if a < b else ():
+                    for xb, yb, zb, _ in pb:
+                        if abs(xa // cell - xb // cell) <= 1 and abs(ya // cell - yb // cell) <= 1:
+                            saddle[a, b] = max(saddle.get((a, b), -1e9), min(za, zb))
+        pairs = []
+        for (a, b), s in saddle.items():
+            hi, lo = (a, b) if top[a][0] >= top[b][0] else (b, a)
+            dip = top[lo][0] - s
+            factor = flat_reach if dip < flat else reach
+            apart = ((top[lo][1] - top[hi][1]) ** 2 + (top[lo][2] - top[hi][2]) ** 2) ** 0.5
+            if (dip < depth and apart <= max(factor * top[hi][3], least)) or size[lo] < tiny:
+                pairs.append((-s, lo, hi, factor))
+        parent = {g: g for g in groups}
+
+        def find(g):
+            while parent[g] != g:
+                g = parent[g]
+            return g
+
+        joined = 0
+        for _, lo, hi, factor in sorted(pairs):
+            a, b = find(lo), find(hi)
+            if a == b:
+                continue
+            if top[a][0] > top[b][0]:
+                a, b = b, a
+            apart = ((top[a][1] - top[b][1]) ** 2 + (top[a][2] - top[b][2]) ** 2) ** 0.5
+            if size[a] < tiny or apart <= max(factor * top[b][3], least):
+                parent[a] = b
+                size[b] += size[a]
+                joined += 1
+        root = {n: find(r) for n, r in root.items()}
+        if not joined:
+            break
+    return root
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowns_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    points = []
+    for node in range(24):
+        cx, cy, top = rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(5, 15)
+        for _ in range(rng.choice([1, 2, 12, 30])):
+            dx, dy = rng.gauss(0, 1.6), rng.gauss(0, 1.6)
+            z = round(top - 0.6 * (dx * dx + dy * dy) ** 0.5 + rng.random() / 100, 6)
+            points.append((node, cx + dx, cy + dy, z, z))
+    df = spark.createDataFrame(points, "node long, x double, y double, z double, height double").repartition(3)
+    got = {r.node: r.root for r in G.merge_crowns(df, tiny=5).collect()}
+    want = brute_crowns(points, 1.0, 1.5, 0.5, 0.5, 0.8, 5, 3.0)
+    assert got == want and 1 < len(set(want.values())) < 24
+
+
+def test_paths_of_graphs_too_large_for_a_worker(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), float(rng.randint(1, 9)) + rng.random()) for _ in range(160)], "a long, b long, cost double")
+    pairs = spark.createDataFrame([(a, b) for a in (0, 3, 7) for b in (0, 5, 11, 39, 99)], "source long, target long")
+    rows = lambda df: sorted((r.source, r.target, round(r.dist, 9), tuple(r.nodes)) for r in df.collect())
+    assert rows(G.dijkstra_paths(edges, pairs, max_edges=10)) == rows(G.dijkstra_paths(edges, pairs))
+
+
+def test_wishes_are_granted_in_turn(spark):
+    taken = spark.createDataFrame([(1, 1000.0, 2000.0)], "k long, t0 double, t1 double")
+    wished = spark.createDataFrame([(1, 1, 1900.0, 2100.0), (1, 2, 2200.0, 3000.0), (1, 3, 2900.0, 3500.0), (1, 4, 3200.0, 3300.0), (1, 5, 86_000.0, 86_341.0), (2, 1, 1000.0, 2000.0)], "k long, rank long, t0 double, t1 double")
+    got = {(r.k, r["rank"]): r.ok for r in T.when_free(taken, wished, ["k"]).collect()}
+    assert got == {(1, 1): False, (1, 2): True, (1, 3): False, (1, 4): True, (1, 5): False, (2, 1): True}
