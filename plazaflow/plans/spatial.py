@@ -335,10 +335,10 @@ def _holed(df: DataFrame, key: str, w: float, h: float, inset: float) -> DataFra
 @query(
     "G3 J5 J6 J7 J8 J28",
     f"""WITH a AS {_holed_sql(_CUST, "c_custkey", 160, 120, 30)}, b AS {_holed_sql(_SUPP, "s_suppkey", 700, 500, 90)},
-    o AS (SELECT a.id, b.id AS site, {_common("ao", "bo")} - {_common("ai", "bo")} - {_common("ao", "bi")} + {_common("ai", "bi")} AS both FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
-    k AS (SELECT *, 160 * 120 - 100 * 60 - both AS only, 700 * 500 - 520 * 320 - both AS r_only FROM o WHERE both > 1)
-    SELECT id, CASE WHEN max(both) >= 0.3 * 13200 THEN arg_max(site, (round(both, 3), -site)) END AS best, CAST(count(CASE WHEN both >= 50 AND both >= 0.1 * 13200 THEN 1 END) AS BIGINT) AS matches,
-    bool_or(both >= 0.3 * 13200 AND site % 2 <> id % 2) AS taken, round(sum(both) / 13200, 6) AS share, round(sum(both + only + r_only), 2) AS unions, round(sum(only + r_only), 2) AS differences FROM k GROUP BY 1""",
+    o AS (SELECT a.id, b.id AS site, {_common("ao", "bo")} - {_common("ai", "bo")} - {_common("ao", "bi")} + {_common("ai", "bi")} AS shared FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+    k AS (SELECT *, 160 * 120 - 100 * 60 - shared AS alone, 700 * 500 - 520 * 320 - shared AS r_alone FROM o WHERE shared > 1)
+    SELECT id, CASE WHEN max(shared) >= 0.3 * 13200 THEN arg_max(site, (round(shared, 3), -site)) END AS best, CAST(count(CASE WHEN shared >= 50 AND shared >= 0.1 * 13200 THEN 1 END) AS BIGINT) AS matches,
+    bool_or(shared >= 0.3 * 13200 AND site % 2 <> id % 2) AS taken, round(sum(shared) / 13200, 6) AS share, round(sum(shared + alone + r_alone), 2) AS unions, round(sum(alone + r_alone), 2) AS differences FROM k GROUP BY 1""",
 )
 def region_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best overlap above a share, overlaps above two floors, whether one of another kind covers it, and areas of unions and differences."""
