@@ -4,11 +4,13 @@ The kernel compares two words by the four-letter subsequences that they share, g
 ``s`` letters weighs ``DECAY ** s``, up to ``SPAN`` letters. So a word with inserted or missing letters stays close to the
 insult it hides. Marks inside a word are dropped and letters spelled out one by one are joined before the comparison.
 
-Training takes a bounded, documented sample of labelled documents, cut into sentences. A sentence of a toxic document is
-labelled toxic if it has a word that toxic documents favour; the sentences' words train a squared-hinge machine on Nyström
-features, which then labels the words of toxic documents without any such sentence, and takes the clean words it finds
-hardest as further examples. Landmarks are words of both kinds. A document's score rests on its most toxic word and on how
-many words exceed the margin, turned into a probability with the labels' own shares.
+Training takes a bounded, documented sample of labelled documents, cut into sentences; a sentence has its document's label.
+As an insulting document also has harmless sentences, the machine learns from them as bags. In the first round every word
+has its sentence's label. Then, in rounds, the machine of the round before names the sentence of each toxic document that
+it finds most toxic, and that sentence's words above a margin, if several documents name them, are the toxic examples; the
+words of clean sentences, frequent and hard ones, are the clean examples. The squared-hinge machine on Nyström features is
+trained anew on these. Landmarks are words of both kinds. A document's score rests on its most toxic word and on how many
+words exceed the margin, turned into a probability with the labels' own shares.
 
 In the Nyström space a linear machine's value is a sum over a word's subsequences of one weight each; so scoring looks up
 one table that is as large for any corpus, over whole texts.
@@ -19,7 +21,6 @@ scores; a table without labels of both kinds scores 0 throughout. Other columns
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import in_batches, labelled_sample
 
 SPAN, DECAY, ORDER = 6, 0.6, 4
 #: Offsets of a subsequence's later letters from its first.
@@ -217,65 +218,85 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def _surprise(c1: int, n1: int, c0: int, n0: int) -> float:
-    """Log-likelihood ratio of a word's counts in toxic and clean documents against equal shares."""
-    share = (c1 + c0) / (n1 + n0)
-    return 2 * (c1 * math.log(c1 / (n1 * share)) + (c0 * math.log(c0 / (n0 * share)) if c0 else 0))
+def _word_counts(parsed: list[list[list[str]]], labels: np.ndarray) -> tuple[Counter[str], Counter[str]]:
+    """How many clean and toxic documents have each word; only between neighbours not seen yet, so copies of a document count once."""
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    told: set[int] = set()
+    for sentences, label in zip(parsed, labels.tolist(), strict=True):
+        around = {(w, hash((b, w, c, label))) for s in sentences for b, w, c in zip(["", *s], s, [*s[1:], ""], strict=False) if len(w) > 2}
+        counts[label].update({w for w, place in around if place not in told})
+        told.update(place for _, place in around)
+    return counts
+
+
+def _witnesses(parsed: list[list[list[str]]], labels: np.ndarray, value: dict[str, float], margin: float) -> Counter[str]:
+    """In how many toxic documents each word is in the sentence that ``value`` finds most toxic, and at ``margin`` or the sentence's largest value."""
+    out: Counter[str] = Counter()
+    for sentences, label in zip(parsed, labels.tolist(), strict=True):
+        if label and sentences:
+            most, at = max((max((value.get(w, -9.0) for w in s), default=-9.0), k) for k, s in enumerate(sentences))
+            if most > -9:
+                out.update({w for w in sentences[at] if value.get(w, -9.0) >= min(most, margin)})
+    return out
+
+
+class Machine:
+    """A squared-hinge machine on the Nyström features of landmarks: a weight of each subsequence code, and an offset."""
+
+    def __init__(self, marks: list[str], words: list[str], y: np.ndarray, weight: np.ndarray) -> None:
+        kernel = Kernel(marks)
+        gram = kernel(marks).astype(np.float64)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        kept = values > 1e-4 * values[-1]
+        half = vectors[:, kept] / np.sqrt(values[kept])
+        w = squared_hinge(kernel(words) @ half.astype(np.float32), y, weight, ridge=1e-6)
+        self.table, self.offset = kernel.table(half @ w[:-1]).astype(np.float32), float(w[-1])
 
 
-def train(rows: list[tuple[int, str, int]], share: float, *, landmarks: int = 360, words_a_round: int = 8_000, surprise: float = 24.0) -> dict | None:
+def train(
+    rows: list[tuple[int, str, int]], share: float, *, landmarks: int = 360, words_a_round: int = 8_000, rounds: int = 4, margin: float = 0.7, documents: int = 3
+) -> dict | None:
     """The scoring model from (id, text, label) rows; ``share`` is the share of label 1 among all learning labels.
 
-    A word is one that toxic documents favour if it is eight times as frequent in them and its log-likelihood ratio is
-    ``surprise`` at least, or the most surprising ones where none is.
+    A witness is kept if ``documents`` toxic documents have it, where any has. At most ``landmarks`` words are landmarks, and
+    about ``words_a_round`` clean words are examples of a round, which bounds its matrices.
     """
     labels = np.array([r[2] for r in rows])
     if len(set(labels.tolist())) < 2:
         return None
     parsed = sentence_words([r[1] for r in rows])
-    in_toxic: Counter[str] = Counter()
-    in_clean: Counter[str] = Counter()
-    told: set[int] = set()
-    for sentences, label in zip(parsed, labels, strict=True):
-        # a word counts for a document only between neighbours not seen yet, so copies of a document count once
-        around = {(w, hash((b, w, c, label))) for s in sentences for b, w, c in zip(["", *s], s, [*s[1:], ""], strict=False) if len(w) > 2}
-        (in_toxic if label else in_clean).update({w for w, place in around if place not in told})
-        told.update(place for _, place in around)
-    del told
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    odd = {w: _surprise(c, n1, in_clean[w], n0) for w, c in in_toxic.items() if c / n1 > 8 * in_clean[w] / n0}
-    witnesses = {w: g for w, g in odd.items() if g >= surprise} or {w: g for w, g in odd.items() if g >= 0.7 * max(odd.values())}
-    if not witnesses:
+    in_clean, in_toxic = _word_counts(parsed, labels)
+    words = sorted({*in_clean, *in_toxic})
+    clean = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))]
+    if not in_toxic or not clean:
         return None
-    # labelled sentences: those of toxic documents that hold a witness are toxic, those of clean documents clean
-    positives = sorted({w for s, label in zip(parsed, labels, strict=True) if label for t in s for w in t if w in witnesses}, key=lambda w: (-witnesses[w], w))
-    clean = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if w not in witnesses]
-    negatives = list(dict.fromkeys(clean[: words_a_round // 2] + clean[:: max(1, 2 * len(clean) // words_a_round)]))
-    marks = positives[: landmarks * 2 // 3] + clean[: landmarks // 3]
-    for _ in range(3):
-        kernel = Kernel(marks)
-        gram = kernel(marks).astype(np.float64)
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        kept = values > 1e-4 * values[-1]
-        half = vectors[:, kept] / np.sqrt(values[kept])
-        x = kernel(positives + negatives) @ half.astype(np.float32)
+    # the first round: words with their sentences' labels, those of unequal shares first
+    toxic_share, clean_share = (np.array([c[w] for w in words]) / n for c, n in ((in_toxic, n1), (in_clean, n0)))
+    gap = toxic_share - clean_share
+    used = np.argsort(-np.abs(gap), kind="stable")[:words_a_round]
+    first = [words[k] for k in np.argsort(-gap / np.sqrt(toxic_share + clean_share), kind="stable")[: landmarks * 2 // 3]]
+    examples = 2 * [words[k] for k in used]
+    y, weight = np.r_[np.ones(len(used)), -np.ones(len(used))], np.r_[toxic_share[used], clean_share[used]]
+    marks = list(dict.fromkeys(first + clean[: landmarks // 3]))
+    frequent = clean[: words_a_round // 2] + clean[:: max(1, 2 * len(clean) // words_a_round)]
+    found: Counter[str] = Counter()
+    for _ in range(rounds):
+        machine = Machine(marks, examples, y, weight)
+        value = dict(zip(words, (_values(words, machine.table) + machine.offset).tolist(), strict=True))
+        found |= _witnesses(parsed, labels, value, margin)
+        found = Counter({w: n for w, n in found.items() if n >= documents}) or found
+        hard = sorted(clean, key=lambda w: -value[w])[: words_a_round // 2]
+        positives = sorted(found, key=lambda w: (-found[w], w))
+        negatives = list(dict.fromkeys(frequent + hard))
+        examples = positives + negatives
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-        weight = np.r_[np.full(len(positives), 0.5 / len(positives)), np.full(len(negatives), 0.5 / max(1, len(negatives)))]
-        w = squared_hinge(x, y, weight, ridge=1e-6)
-        alpha, offset = half @ w[:-1], w[-1]
-        table = kernel.table(alpha).astype(np.float32)
-        hard = [clean[k] for k in np.argsort(-_values(clean, table), kind="stable")[: words_a_round // 2]]
-        negatives = list(dict.fromkeys(negatives + hard))
-        for sentences, label in zip(parsed, labels, strict=True):
-            words = sorted({w for t in sentences for w in t if len(w) > 2 and w not in in_clean}) if label and not any(w in witnesses for t in sentences for w in t) else []
-            found = _values(words, table) + offset
-            if len(words) and found.max() > 0.3:
-                positives = list(dict.fromkeys([*positives, words[int(found.argmax())]]))
+        weight = np.r_[np.array([found[w] for w in positives]) / (2 * found.total()), np.full(len(negatives), 0.5 / len(negatives))]
         marks = list(dict.fromkeys(positives[: landmarks * 2 // 3] + hard[: landmarks // 3]))
-    model = {"table": table, "offset": float(offset), "fit": np.zeros(3)}
+    machine = Machine(marks, examples, y, weight)
+    model = {"table": machine.table, "offset": machine.offset, "fit": np.zeros(3)}
     raw = np.concatenate([document_values(model, [t[1] for t in rows[k : k + 200]])[0] for k in range(0, len(rows), 200)])
-    weight = np.where(labels == 1, share / n1, (1 - share) / n0)
-    model["fit"] = logistic(raw, labels, weight, ridge=1e-4)
+    model["fit"] = logistic(raw, labels, np.where(labels == 1, share / n1, (1 - share) / n0), ridge=1e-4)
     return model
 
 
@@ -350,7 +371,7 @@ def toxicity(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", tex
             scores, words = score_texts(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(words, pa.string())], ["doc_id", "score", "worst"])
 
-    return source.mapInArrow(work, "doc_id long, score double, worst string")
+    return in_batches(source, work, "doc_id long, score double, worst string")
 
 
 def without_toxic(docs: DataFrame, model: dict | None, *, limit: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -363,4 +384,4 @@ def without_toxic(docs: DataFrame, model: dict | None, *, limit: float = 0.3, te
             scores, _ = score_texts(held.value, batch.column(column).to_pylist())
             yield batch.take(pa.array([k for k, s in enumerate(scores) if s < limit], pa.int64()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)

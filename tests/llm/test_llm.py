@@ -266,6 +266,46 @@ def test_toxic_words_with_gaps():
     assert min(scores[:5]) >= 0.3 > max(scores[5:])
 
 
+def brute_word_kernel(a, b):
+    """The gapped four-letter subsequences that two words share, by their ends too, over the norms the module documents."""
+    from itertools import combinations
+
+    def weights(word):
+        word, out = f"\0{word}\0", {}
+        for places in combinations(range(len(word)), 4):
+            if places[-1] - places[0] < toxicity.SPAN:
+                key = "".join(word[p] for p in places)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (places[-1] - places[0] + 1)
+        return out
+
+    x, z = weights(a), weights(b)
+    norm = toxicity.norms(np.array([len(a) + 2, len(b) + 2]))
+    return sum(v * z.get(k, 0) for k, v in x.items()) / (norm[0] * norm[1])
+
+
+def test_word_kernel_equals_brute_force():
+    words = ["idiot", "idioot", "i-diot".replace("-", ""), "stupid", "stone", "river", "moron", "worthless"]
+    got = toxicity.Kernel(words)(words)
+    want = np.array([[brute_word_kernel(a, b) for b in words] for a in words])
+    assert np.allclose(got, want, atol=1e-4) and want[0, 1] > 0.4 > 0.1 > want[0, 5]
+
+
+def test_sentences_of_toxic_documents_are_bags():
+    rng = random.Random(9)
+    plain = ["stone", "river", "walk", "bread", "table", "window", "garden", "letter", "number", "summer"]
+    sentence = lambda: " ".join(rng.choice(plain) + rng.choice(["", "s", "ed"]) for _ in range(8)) + "."
+    rows = []
+    for k in range(300):
+        sentences = [sentence() for _ in range(6)]
+        if k % 5 == 0:
+            sentences[rng.randrange(6)] = f"you are such a {rng.choice(['moron', 'idiot', 'scum'])} today."
+        rows.append((k, " ".join(sentences), int(k % 5 == 0)))
+    model = toxicity.train(rows, 0.2)
+    scores, worst = toxicity.score_texts(model, [sentence() + " a mor0on " + sentence(), sentence() * 20, "walk the scum", "an idi.ot"])
+    assert scores[1] < 0.3 <= min(scores[0], scores[2], scores[3]) and worst[2] == "scum"
+    assert toxicity.train([(1, "", 1), (2, "", 0)], 0.5) is None and toxicity.train([(1, "a b", 1)], 1.0) is None
+
+
 def test_language_on_held_out_rows(spark):
     rows = QUERIES["op9_language"](spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) > 0.95 * len(rows)
