@@ -126,14 +126,16 @@ def languages(
 
     ``learn`` says, on the documents' ``doc_id`` and ``lang``, which may be learnt from. The training sample is at most
     ``per_lang`` documents of each language, in the order of a hash of their ids, of the ``most_langs`` most frequent
-    languages, and ``most_chars`` characters in all. Rank limits are applied before the shuffle.
+    languages, and ``most_chars`` characters in all; fewer of a language of which most rows repeat an id.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = source.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(learn, F.lit(False)))
     named = known.where("text is not null").select("doc_id", "lang")
-    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    # by their hash about four times as many as are wanted are kept of each language before they are ranked
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(4.0 * per_lang * (1 << 30)) / F.col("count")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.join(F.broadcast(frequent), "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "lang").distinct()
+    ids = named.join(F.broadcast(frequent), "lang").where(share).select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "lang")
     rows = source.where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
     one = rows.groupBy("doc_id", F.col("lang").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = sorted((lang, doc_id, text) for doc_id, text, lang in bounded_texts(one, per_lang * most_langs, most_chars) if has_letter(text))
