@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,6 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect what is out of use, so that shuffle files of finished steps leave the executors' disks now.
+
+    Spark removes them when the driver's memory is next collected, which may be long after a step that is durable is done.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Lowers the session's Arrow batches to ``rows`` rows and ``size`` bytes, so that long texts don't pile up in one."""
     units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}

@@ -62,7 +62,7 @@ class Windows:
         return dict(zip(self.blob.split(), count()))
 
 
-def build_index(docs: DataFrame, *, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, *, shard_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored postings of all words of ``docs``: one row per shard of about ``shard_words`` words, whole documents each.
 
     Positions count a shard's words, with one place left free between documents, so that no run crosses two of them.
@@ -234,7 +234,7 @@ def contamination(
     window: int = 10,
     slop: int | None = None,
     block_chars: int = 2_000_000,
-    shard_words: int = 1_000_000,
+    shard_words: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     index: DataFrame | None = None,

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches, raw
+from .common import durable, in_batches, raw, release
 
 FEATURES = "doc_id long, n_shingles long, print binary, signature binary, keys array<long>"
 #: Words whose hashes a task keeps, and the longest of them.
@@ -336,6 +336,7 @@ def near_duplicates(
     first = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b")))
     count = first.count()
     links = _settled(durable(_confirmed(first, source, width, percent)), count)
+    release(docs.sparkSession)
     labels = _settled(components(links), count)
 
     def placed(frame: DataFrame) -> DataFrame:
@@ -352,6 +353,7 @@ def near_duplicates(
         texts = source.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
         needed = texts.join(families.select("id"), "id", "left_semi")
         more = _settled(durable(_by_cell(open_.join(needed, "id"), ["signature", "text"], _links(least, width, percent))), count)
+        release(docs.sparkSession)
         if not more.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("a <> b")
             labels = _settled(components(stars.unionByName(more)), count)
@@ -380,6 +382,8 @@ def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **o
     slim = docs.where(spoken).select(*named).groupBy(*place).agg(F.count("*"))
     by_key = slim.groupBy("key").agg(F.min(F.struct("none", "id", "check")).alias("least"), (F.min("check") < F.max("check")).alias("two"))
     known = durable(by_key.join(of_key, "key"))
+    del groups, of_key, by_key
+    release(docs.sparkSession)
     # of a group the row of the smallest id, and all rows of a hash that two texts have
     first = known.groupBy("component").agg(F.min(F.struct("least.none", "least.id", "least.check", "key")).alias("w"))
     stay = first.select(*(f"w.{c}" for c in place)).unionByName(slim.join(known.where("two").select("key"), "key").select(*place)).distinct()

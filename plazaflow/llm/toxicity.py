@@ -22,16 +22,16 @@ scores; a table without labels of both kinds scores 0 throughout. Other columns
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, labelled_sample
+from .common import in_batches, labelled_sample, release
 
 SPAN, DECAY, ORDER = 6, 0.6, 4
 #: Offsets of a subsequence's later letters from its first.
@@ -39,7 +39,7 @@ SHAPES = [shape for shape in combinations(range(1, SPAN), ORDER - 1)]
 #: Subsequences are told apart by a hash of so many bits.
 BITS = 20
 #: Texts are scored in runs of about so many characters, which bounds a task's memory.
-RUN_CHARS = 400_000
+RUN_CHARS = 200_000
 SENTENCE = re.compile(r"[.!?\n]+")
 MARK = 0x10FFFF
 
@@ -177,8 +177,8 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.n), np.float32)
-        for at in range(0, len(words), 1000):
-            owner, code, weight = _features(words[at : at + 1000])
+        for at in range(0, len(words), 200):
+            owner, code, weight = _features(words[at : at + 200])
             row = self.row[code]
             hit = row > 0
             owner, row, weight = owner[hit], row[hit], weight[hit].astype(np.float32)
@@ -194,13 +194,13 @@ class Kernel:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> np.ndarray:
     """A linear machine (last entry: offset) by accelerated gradient steps on the weighted squared hinge loss."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float64)
+    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
     weight = weight / weight.sum()
-    rate = 1 / (2 * np.linalg.norm((x * weight[:, None]).T @ x, 2) + 2 * ridge)
+    rate = 1 / (2 * np.linalg.norm(sum((x[k : k + 2000] * weight[k : k + 2000, None]).T @ x[k : k + 2000] for k in range(0, len(x), 2000)), 2) + 2 * ridge)
     w = ahead = np.zeros(x.shape[1])
     for step in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        grad = -2 * x.T @ (weight * y * slack) + 2 * ridge * np.r_[ahead[:-1], 0]
+        slack = np.maximum(0, 1 - y * (x @ ahead.astype(np.float32)))
+        grad = -2 * x.T @ (weight * y * slack).astype(np.float32) + 2 * ridge * np.r_[ahead[:-1], 0]
         new = ahead - rate * grad
         ahead, w = new + step / (step + 3) * (new - w), new
     return w
@@ -219,14 +219,24 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _word_counts(parsed: list[list[list[str]]], labels: np.ndarray) -> tuple[Counter[str], Counter[str]]:
-    """How many clean and toxic documents have each word; only between neighbours not seen yet, so copies of a document count once."""
-    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    told: set[int] = set()
-    for sentences, label in zip(parsed, labels.tolist(), strict=True):
-        around = {(w, hash((b, w, c, label))) for s in sentences for b, w, c in zip(["", *s], s, [*s[1:], ""], strict=False) if len(w) > 2}
-        counts[label].update({w for w, place in around if place not in told})
-        told.update(place for _, place in around)
-    return counts
+    """How many clean and toxic documents have each word; only between neighbours not seen yet, so copies of a document count once.
+
+    Words are numbers in flat arrays, which are a few bytes a word.
+    """
+    number: defaultdict[str, int] = defaultdict(count(1).__next__)
+    flat = np.fromiter((number[w] for sentences in parsed for s in sentences for w in (*s, "")), np.int64)
+    sizes = [sum(len(s) + 1 for s in sentences) for sentences in parsed]
+    doc = np.repeat(np.arange(len(parsed), dtype=np.int32), sizes)
+    place = (np.r_[0, flat[:-1]] * 0x9E3779B97F4A7C1 ^ np.r_[flat[1:], 0] * 0x42B2AE3D27D4EB4F) * 2 + labels[doc]
+    place = (place ^ (place >> 29)) * 0x165667B19E3779F9 ^ flat * 0x27D4EB2F165667C5
+    names = list(number)
+    long = np.array([False, *(len(w) > 2 for w in names)])
+    kept = np.flatnonzero(long[flat])
+    new = kept[np.unique(place[kept], return_index=True)[1]]
+    pairs = np.unique(doc[new] * np.int64(len(names) + 1) + flat[new])
+    of, word = pairs // (len(names) + 1), pairs % (len(names) + 1)
+    tally = lambda y: np.bincount(word[labels[of] == y], minlength=len(names) + 1)
+    return tuple(Counter({names[k - 1]: int(n) for k, n in enumerate(tally(y)) if n}) for y in (0, 1))
 
 
 def _witnesses(parsed: list[list[list[str]]], labels: np.ndarray, value: dict[str, float], margin: float) -> Counter[str]:
@@ -330,12 +340,13 @@ def document_values(model: dict, texts: list[str]) -> tuple[np.ndarray, list[str
     return out, worst
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, label: str = "toxic") -> dict | None:
-    """The scoring model, learnt from at most ``per_class`` documents of each label among those that ``learn`` admits.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, most_chars: int = 8_000_000, label: str = "toxic") -> dict | None:
+    """The scoring model, learnt from at most ``per_class`` documents of each label, ``most_chars`` characters in all, among those that ``learn`` admits.
 
     ``learn`` is a condition on ``labels``' doc_id. The share of label 1 is counted over all admitted labels.
     """
-    sample = labelled_sample(docs, labels, label, learn, per_class)
+    sample = labelled_sample(docs, labels, label, learn, per_class, most_chars)
+    release(docs.sparkSession)
     share = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     return train(sample, float(share)) if sample else None
 
