@@ -82,12 +82,6 @@ def test_paths_agree_with_relaxation(spark):
     assert paths == far
 
 
-def test_too_many_edges_are_refused(spark):
-    edges = spark.range(5).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cost"))
-    with pytest.raises(ValueError, match="hop_distances"):
-        G.dijkstra_paths(edges, edges, max_edges=3)
-
-
 def test_nearest_matches_brute_force(spark):
     rng = random.Random(4)
     pts = [(i, rng.uniform(0, 5000), rng.uniform(0, 5000)) for i in range(60)]
