@@ -238,12 +238,17 @@ def _links(least: float, width: int, percent: int) -> Callable[..., list[tuple[i
     return pairs
 
 
+def _once(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of ``texts`` whose ids are among ``ids``, repeated rows once."""
+    needed = texts.join(ids, "id", "left_semi").withColumn("hash", F.xxhash64("text"))
+    return needed.groupBy("id", "hash").agg(F.min("text").alias("text")).drop("hash")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold; texts travel only for these pairs."""
-    texts = docs.where("doc_id is not null and text is not null")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = texts.join(ends, "doc_id", "left_semi")
-    both = pairs.select("a", "b").join(needed.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(needed.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
+    texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id")
+    needed = _once(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = pairs.select("a", "b").join(needed.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(needed.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[bytes, np.ndarray] = {}
@@ -311,7 +316,7 @@ def near_duplicates(
     bands: int = 24,
     rows: int = 5,
     cell: int = 1000,
-    text_cell: int = 400,
+    text_cell: int = 150,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -351,7 +356,7 @@ def near_duplicates(
         families = _settled(components(tree), count).select("id", F.col("comp").alias("key"))
         open_ = _cells(placed(families), text_cell).join(signatures, "id")
         texts = source.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-        needed = texts.join(families.select("id"), "id", "left_semi")
+        needed = _once(texts, families.select("id"))
         more = _settled(durable(_by_cell(open_.join(needed, "id"), ["signature", "text"], _links(least, width, percent))), count)
         release(docs.sparkSession)
         if not more.isEmpty():
@@ -369,18 +374,19 @@ def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **o
 
     Rows are compared by their texts, so rows that share an id are not taken for copies and rows without an id are compared
     too; they stay only where no row of the group has an id. Of rows with the same id and text one stays. Rows without a word
-    are linked with nothing and stay all. Texts are known by a 64-bit hash; where a second one tells two texts of one hash
-    apart, both stay.
+    are linked with nothing and stay all. Rows are known by a 64-bit hash of id and text; where a second one tells two rows of
+    one hash apart, both stay.
     """
     spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    key, check = F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("check")
+    # copies with ids of their own have keys of their own, so a group of copies is no hot key
+    key, check = F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text").alias("check")
     place = ["key", "check", "none", "id"]
     named = [key, check, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")]
     groups = near_duplicates(docs.where(spoken).select(key, "text"), width=width, percent=percent, id_col="key", **options)
     of_key = groups.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
     slim = docs.where(spoken).select(*named).groupBy(*place).agg(F.count("*"))
-    by_key = slim.groupBy("key").agg(F.min(F.struct("none", "id", "check")).alias("least"), (F.min("check") < F.max("check")).alias("two"))
+    by_key = slim.groupBy("key").agg(F.min(F.struct("none", "id", "check")).alias("least"), (F.min(F.struct("check", "none", "id")) < F.max(F.struct("check", "none", "id"))).alias("two"))
     known = durable(by_key.join(of_key, "key"))
     del groups, of_key, by_key
     release(docs.sparkSession)

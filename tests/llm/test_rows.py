@@ -53,6 +53,16 @@ def test_one_of_each_group_goes_by_row(spark):
     assert neardup.one_of_each_group(df.where("false")).count() == 0
 
 
+def test_many_repeated_rows_cost_no_pairs(spark):
+    near = LINE.replace("quite", "rather")
+    docs = [(1, LINE)] * 400 + [(2, near)] * 400 + [(k, LINE) for k in range(10, 300)] + [(None, LINE)] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.text) for r in neardup.one_of_each_group(df, percent=50).collect()]
+    assert got == [(1, LINE)]
+    groups = neardup.near_duplicates(df, width=5, percent=50)
+    assert groups.count() == len(docs) and {r.component_id for r in groups.collect()} == {1, None}
+
+
 def test_contaminated_rows_go_whatever_the_columns(spark):
     leak = " ".join(f"w{k}" for k in range(12))
     docs = with_clashes(spark.createDataFrame([(None, f"x {leak} y"), (1, leak), (1, "clean"), (2, None), (3, "")], "doc_id long, text string"))
