@@ -59,7 +59,7 @@ def snap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = f"SELECT CAST(floor(x / 100) AS BIGINT) AS i, CAST(floor(y / 100) AS BIGINT) AS j, max(x) AS hi, min(x) AS lo, count(*) AS n FROM {_CUST} GROUP BY 1, 2"
 
 
-@query("A4 G9 K5", _CELLS)
+@query("A4 G9", _CELLS)
 def raster_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.raster(_customers(Tables(spark, sf_dir)), 100.0, F.max("x").alias("hi"), F.min("x").alias("lo"), F.count("*").alias("n"))
 

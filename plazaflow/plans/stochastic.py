@@ -246,13 +246,13 @@ def portal_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "R9",
-    """WITH whole AS (SELECT CAST(hour(ts) AS INTEGER) AS bin, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2), site AS (SELECT event_type AS g, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2),
+    """WITH whole AS (SELECT CAST(hour(ts) AS INTEGER) AS bin, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2), site AS (SELECT event_type AS g, CAST(hour(ts) AS INTEGER) // 6 AS period, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2),
     s AS (SELECT g, bin, site.w * whole.w / greatest(sum(whole.w) OVER (PARTITION BY g, site.period), 1.0) AS w FROM site JOIN whole USING (period))
     SELECT g, bin, round(w / sum(w) OVER (PARTITION BY g), 9) AS share FROM s""",
 )
 def raked_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals of some users by period, split into hours as all users' are."""
-    e = Tables(spark, sf_dir).events.select("event_type", "user_id", F.hour("ts").alias("bin"), F.floor(F.hour("ts") / 6).cast("int").alias("period"))
+    """Arrivals of each kind by period, split into hours as those of all kinds are."""
+    e = Tables(spark, sf_dir).events.select("event_type", F.hour("ts").alias("bin"), F.floor(F.hour("ts") / 6).cast("int").alias("period"))
     whole = e.groupBy("bin", "period").agg(F.count("*").cast("double").alias("w"))
-    parts = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("g"), "period").agg(F.count("*").cast("double").alias("w"))
+    parts = e.groupBy(F.col("event_type").alias("g"), "period").agg(F.count("*").cast("double").alias("w"))
     return K.raked(parts, whole, ["g"], "bin", "period", "w").withColumn("share", F.round("share", 9))
