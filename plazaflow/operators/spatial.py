@@ -284,6 +284,8 @@ def region_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame
     corners = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
     boxed = lambda d: d.select("id", F.col("rings").cast(ring_type).alias("rings"), *(corners(f, c).alias(f"{c}{k}") for c in ("x", "y") for k, f in ((0, F.array_min), (1, F.array_max)))).where("x0 is not null")
     pairs = box_overlaps(boxed(left), boxed(right), size).select("id", "r_id", "rings", "r_rings")
+    # areas cost far more than their rows' bytes tell, so small pairs are not put together into few tasks
+    pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "r_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = lambda column: [[[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in column.to_pylist()]
