@@ -47,6 +47,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_packing, op8_toxicity, op10_near_duplicates)
 }
@@ -85,6 +91,28 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM reach GROUP B
 """
 
 
+#: Sizes, water level of the capped shares, and the nearest running sum by hash, by sorting.
+ORACLE_SQL["op11_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
+total AS (SELECT CAST(sum(source_size) AS BIGINT) AS t FROM s),
+-- a level without the sources that fill up below it; the first that doesn't pass its own source's bound holds
+level AS (SELECT 2.0 * a.source_size / a.w AS r, 150 * any_value(t) - 100 * coalesce(sum(2 * b.source_size) FILTER (2.0 * b.source_size / b.w < 2.0 * a.source_size / a.w), 0) AS num,
+                 100 * sum(b.w) FILTER (2.0 * b.source_size / b.w >= 2.0 * a.source_size / a.w) AS den FROM s a, s b, total WHERE a.source_size > 0 GROUP BY a.source, a.source_size, a.w),
+held AS (SELECT CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM level WHERE num / den <= r ORDER BY r LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN source_size = 0 OR 2 * source_size * den < w * num THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target
+      FROM s LEFT JOIN held ON TRUE),
+w AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
+p AS (SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) AS size FROM d WHERE size > 0 GROUP BY source, h),
+e AS (SELECT p.source, target - whole * source_size AS rest, min_by(h, upto) AS h, min(upto) AS upto, min_by(size, upto) AS size
+      FROM p JOIN w ON p.source IS NOT DISTINCT FROM w.source WHERE upto > target - whole * source_size AND target - whole * source_size > 0 GROUP BY ALL),
+l AS (SELECT source, h - CASE WHEN CAST(2 * upto - size AS DOUBLE) < 2 * rest THEN 0 ELSE 1 END AS lim FROM e)
+SELECT d.doc_id, d.size, w.source_size, w.target, CAST(d.size * (w.whole + CASE WHEN d.h <= coalesce(l.lim, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, responses
 
@@ -125,7 +153,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
-_LATER = (op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)
+_LATER = (op11_mixing, op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)
 QUERIES = {f.__name__: f for f in sorted((*QUERIES.values(), *_LATER), key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
