@@ -53,6 +53,18 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations, first_of_each
+
+    return first_of_each(collocations(read(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_packing, op8_toxicity, op10_near_duplicates)
 }
@@ -113,6 +125,23 @@ FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN l ON d.source
 """
 
 
+#: Every phrase of every place, counted plainly.
+ORACLE_SQL["op12_collocations"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, w[i:i+m-1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 6) r(m) WHERE i + m - 1 <= len(w)) GROUP BY lang, p HAVING count(*) >= 100),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) >= 2),
+cut AS (SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c JOIN total USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k+1:]),
+s AS (SELECT lang, p, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM cut GROUP BY ALL),
+inner_p AS (SELECT lang, p[i:i+m-1] AS p, max(a) AS outer_a FROM (SELECT lang, p, a, unnest(range(1, len(p) + 1)) AS i FROM c), range(2, 5) r(m) WHERE i + m - 1 <= len(p) AND m < len(p) GROUP BY ALL),
+k AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.b.l, s.b.r, n, s.b.score FROM s JOIN total USING (lang) LEFT JOIN inner_p i ON i.lang = s.lang AND i.p = s.p WHERE coalesce(outer_a, 0) < s.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) WHERE rank <= 2000
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, responses
 
@@ -153,7 +182,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
-_LATER = (op11_mixing, op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)
+_LATER = (op11_mixing, op12_collocations, op13_whitening, op3_warc, op4_quality, op5_personal_data, op6_quality_rules, op7_html_text, op9_language)
 QUERIES = {f.__name__: f for f in sorted((*QUERIES.values(), *_LATER), key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
