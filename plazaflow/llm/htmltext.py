@@ -5,10 +5,11 @@ sentence marks and linked text are summed; the path's ratio is the root of its t
 links, by text that stands bare in a container, and by a class or id that names surroundings. The nodes' ratios in page
 order are smoothed with their neighbours' and fused with the path's own; a heading has that of what follows it. The
 threshold is the split of a page's ratios, by text, into two groups that differ most; where they differ by less than
-``APART`` times, all nodes are content.
+``APART`` times, all nodes are content, save those that a class or id names surroundings and that no other path equals.
 
 The article is the container whose content nodes have most text over that of the others in it. Everything inside it
-belongs to it, short paragraphs, captions and notes too, save menus (blocks of nothing but links) and blocks that a class
+belongs to it, short paragraphs, captions and notes too, save menus (blocks of nothing but links, other than a list that a
+heading or a colon announces after text of the article) and blocks that a class
 or id names surroundings and whose ratio is under the threshold. Headings, paragraphs and lists beside it belong to it up
 to the body. If it is the body itself, its containers are judged one by one. No tag and no class makes an article.
 
@@ -54,10 +55,12 @@ SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 BOILERPLATE_TAGS = frozenset("head nav footer aside form button input label fieldset dialog menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SURROUNDINGS = frozenset(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr"
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments respond reply replies disqus discussion discussions cookie cookies consent gdpr"
     " notice notices popup overlay newsletter subscribe subscription signup login menu nav navbar navigation footer masthead sidebar aside"
     " widget widgets related recommended promo promotion sponsor sponsored share sharing social toolbar pagination pager".split()
 )
+#: Of these, the ones that name a block of readers' words; a paragraph of the article may bear them.
+READERS = frozenset("comment comments respond reply replies disqus discussion discussions".split())
 #: Words that say where such a block stands.
 PLACES = frozenset("site page main primary secondary global top bottom left right".split())
 PROSE = frozenset(("p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", "caption", "summary", *HEADINGS))
@@ -87,13 +90,14 @@ class Block:
         self.end = number + 1
 
 
-def _surrounds(token: str) -> bool:
-    """Whether a class or id token names what surrounds an article."""
+def _surrounds(token: str, tag: str) -> bool:
+    """Whether a class or id token of such an element names what surrounds an article."""
     words = [w for w in re.split(r"[^a-z]+", token) if w]
-    return any(w in SURROUNDINGS for w in words) and all(w in SURROUNDINGS or w in PLACES for w in words)
+    naming = [w for w in words if w in SURROUNDINGS and not (tag == "p" and w in READERS)]
+    return bool(naming) and all(w in SURROUNDINGS or w in PLACES for w in words)
 
 
-def _attributes(text: str) -> tuple[str, bool, bool]:
+def _attributes(text: str, tag: str) -> tuple[str, bool, bool]:
     """A tag's classes for its path, whether its role or style make it boilerplate, and whether its classes or id do."""
     if not text or text.isspace():
         return "", False, False
@@ -104,7 +108,7 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
         if name in ("class", "id"):
             if name == "class":
                 names = "." + ".".join(sorted(value.split()))
-            named = named or any(map(_surrounds, value.split()))
+            named = named or any(_surrounds(t, tag) for t in value.split())
         elif name == "role":
             junk = junk or value in BOILERPLATE_ROLES
         elif name == "style":
@@ -176,7 +180,7 @@ def text_nodes(html: str) -> tuple[list[Block], list[tuple[Block, str, int]]]:
         if tag == "a":
             depth = 1
             continue
-        names, junk, named = _attributes(found[3])
+        names, junk, named = _attributes(found[3], tag)
         if tag in ("html", "body"):
             junk = named = False
         if tag in INLINE and not (junk or named):
@@ -248,7 +252,9 @@ def main_text(html: str | None, *, menu_nodes: int = 3, menu_share: float = 0.9)
         return ""
     values = ratios(nodes)
     limit = threshold(values, [len(t) for _, t, _ in nodes])
-    passes = [v >= limit for v in values]
+    # where no group stands out, what is named surroundings is held against the page's best other path
+    most = limit or max((v for (b, _, _), v in zip(nodes, values, strict=True) if not b.named), default=0.0)
+    passes = [v >= (most if b.named else limit) for (b, _, _), v in zip(nodes, values, strict=True)]
 
     # text of content over that of the rest, and nodes, text and linked text, of each block with all below it
     total, sums = [0] * len(blocks), [[0, 0, 0] for _ in blocks]
@@ -264,10 +270,19 @@ def main_text(html: str | None, *, menu_nodes: int = 3, menu_share: float = 0.9)
             for k, n in enumerate(sums[block.number]):
                 sums[block.parent.number][k] += n
     page = [b.tag in ("", "html", "body") for b in blocks]
+    earlier, last = [-1] * len(blocks), [-1] * len(blocks)  # the block before of the same parent; the last child so far
+    for block in blocks[1:]:
+        earlier[block.number], last[block.parent.number] = last[block.parent.number], block.number
+    lead = [False] * len(blocks)  # blocks that say what the next one lists
+    for block, text, _ in nodes:
+        lead[block.number] = block.tag in HEADINGS or (block.tag in PROSE and text.endswith((":", "：")))
     menu = [False] * len(blocks)
     for block in blocks:
         n, text, linked = sums[block.number]
         own = block.tag not in HEADINGS and n >= menu_nodes and linked >= menu_share * text and not page[block.number]
+        # a list that its heading announces between the article's own blocks is one of references
+        before = earlier[block.number]
+        own = own and not (block.tag in ("ul", "ol", "dl") and before >= 0 and lead[before] and earlier[before] >= 0 and total[earlier[before]] > 0 and not block.named)
         menu[block.number] = own or (block.parent is not None and menu[block.parent.number])
 
     inside = [False] * len(blocks)  # blocks all of whose text belongs to the article
@@ -303,13 +318,13 @@ def main_text(html: str | None, *, menu_nodes: int = 3, menu_share: float = 0.9)
             up = up.parent
         # headings right before it, where it has no title of its own
         if up and page[up.number] and not any(b.tag == "h1" for b in blocks[holder.number : holder.end]):
-            before: list[int] = []
-            at = up.number + 1
-            while at < min(up.end, holder.number) and not blocks[at].end >= holder.end:
-                before.append(at) if blocks[at].tag in HEADINGS else before.clear()
-                at = blocks[at].end
-            for at in before:
-                inside[at] = True
+            at = holder
+            while at.parent is not up:
+                at = at.parent
+            before = earlier[at.number]
+            while before >= 0 and blocks[before].tag in HEADINGS:
+                inside[before] = True
+                before = earlier[before]
 
     select(0, len(blocks))
     kept = []

@@ -77,3 +77,31 @@ def test_rows_of_odd_pages(spark):
     got = sorted(((r.page_id, r.url, r.text) for r in htmltext.extract_main_text(pages).collect()), key=str)
     assert got == sorted([(1, None, ""), (None, "u", ""), (2, "u", "a"), (2, "u", "a"), (3, "v", "\n".join([LINE] * 3000))], key=str)
     assert htmltext.extract_main_text(pages.where("false")).count() == 0
+
+
+def test_sibling_blocks_take_linear_time():
+    import time
+
+    for block in ("<section><div><p>Some words, and more.</p></div></section>", "<div>Words, words and words.</div>", "<div><h2>T</h2><p>Some words.</p></div>"):
+        began = time.time()
+        htmltext.main_text(f"<body>{block * 16_000}</body>")
+        assert time.time() - began < 6
+
+
+PROSE = "<p>This is a paragraph of the article, with some words, and it goes on for a while.</p>"
+
+
+def test_readers_notices_and_references():
+    line = PROSE[3:-4]
+    talk = "<section class='discussion'><p>I think so, too, thanks for this.</p><p>No, never, it is wrong.</p></section>"
+    assert htmltext.main_text(f"<body><article><h1>T</h1>{PROSE * 2}</article>{talk}</body>") == f"T\n{line}\n{line}"
+    notice = "<div class='cookie-notice'><p>We use cookies to make this site better, read more.</p></div>"
+    assert htmltext.main_text(f"<body><div><h1>Hi</h1><p>Short.</p></div>{notice}</body>") == "Hi\nShort."
+    assert htmltext.main_text(f"<body><article><h1>T</h1>{PROSE}<p class='comment'>A remark, by the author.</p>{PROSE}</article></body>") == f"T\n{line}\nA remark, by the author.\n{line}"
+    links = "".join(f"<li><a href='#'>Reference number {k}</a></li>" for k in range(6))
+    for lead in ("<h2>References</h2>", "<p>See also:</p>"):
+        got = htmltext.main_text(f"<body><article><h1>T</h1>{PROSE * 2}{lead}<ul>{links}</ul></article></body>")
+        assert got.endswith("Reference number 5") and got.count("Reference number") == 6
+    # a menu at the top of the same block, and one that is named, still go
+    assert "Reference" not in htmltext.main_text(f"<body><article><ul>{links}</ul><h1>T</h1>{PROSE * 2}</article></body>")
+    assert "Reference" not in htmltext.main_text(f"<body><article><h1>T</h1>{PROSE * 2}<h2>More</h2><ul class='related'>{links}</ul></article></body>")
