@@ -1,10 +1,14 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction.
 
 Fixed patterns find e-mail and IP addresses, card and phone numbers. These are the seeds. Every mention of a seed, and of
-any other token or run of digit groups that looks like an identifier, stands in a lexical pattern: the two words before it. Patterns and values
-form a bipartite graph with counts. Spark scores it in turns: a pattern's confidence for a kind is the share of its
-mentions that are, as far as known, of that kind; a value's is what its patterns leave certain. Patterns of high confidence
-and enough distinct values that are seeds or found with confidence then mark the identifiers that stand in them, if their characters suit the kind. Seeds stay.
+any other token or run of digit groups that looks like an identifier, stands in lexical patterns of several grains: the two
+words before it, the word before it, the word after it, and its own shape (digits and letters told apart, marks kept).
+Patterns and values form a bipartite graph with counts. Spark scores it in turns: a pattern's confidence for a kind is the share of its
+mentions that are, as far as known, of that kind; a value's is what its patterns leave certain, of those that are right more often than wrong.
+Patterns of high confidence and enough distinct values that are seeds or found with confidence then mark the identifiers that stand in them,
+if their characters suit the kind. A shape is judged by seeds alone: values found by one shape would vouch for the next. Seeds stay.
+
+A number that a fixed pattern's own rule refuses (16 to 19 digits that fail Luhn, address parts over 255) suits that kind in no pattern.
 
 Runs join digit groups by up to three spaces, brackets, dots and hyphens, and end at fixed matches. A run with too many
 digits for any kind is cut around the card numbers in it. Tokens inside a run are marked only where the run is not.
@@ -42,13 +46,17 @@ TOKEN = re.compile(rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+")
 # groups are given back whole at a run's end only, so a run is read once
 GROUPS = re.compile(r"(?<![\w@.])\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)+(?![\w@])")
 GROUP = re.compile(r"[0-9]+")
-WORDS_BEFORE = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
 #: Stands for the kind of a token that a run of digit groups covers: it is not learnt from.
 INSIDE = -1
 
-SCAN = "part int, ordinal long, doc_id long, h1 long, h2 long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,before:string,start:long,end:long,run:long>>"
+SCAN = "part int, ordinal long, doc_id long, h1 long, h2 long, base array<struct<kind:int,start:long,end:long>>, mentions array<struct<kind:int,value:string,fits:int,patterns:array<string>,start:long,end:long,run:long>>"
 SPAN_T = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-MENTION_T = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("run", pa.int64())]))
+MENTION_T = pa.list_(
+    pa.struct([("kind", pa.int32()), ("value", pa.string()), ("fits", pa.int32()), ("patterns", pa.list_(pa.string())), ("start", pa.int64()), ("end", pa.int64()), ("run", pa.int64())])
+)
+#: What a pattern's text begins with, by grain.
+BEFORE_TWO, BEFORE_ONE, AFTER, SHAPE = "2 ", "1 ", "+ ", "= "
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -93,12 +101,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def suits(kind: int, value: str) -> bool:
     """Whether a value's characters can be an identifier of the kind, beyond the fixed patterns."""
-    digits = sum(c.isdigit() for c in value)
     if kind == 0:
         return "@" in value and 0 < value.index("@") < len(value) - 1
     if any(c.isalpha() for c in value):
         return False
-    return value.count(".") == 3 if kind == 1 else 12 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == 1:
+        parts = value.split(".")
+        return len(parts) == 4 and not any(p.isdigit() and int(p[-19:]) > 255 for p in parts)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and (len(digits) < 16 or luhn(digits))
+    return 7 <= len(digits) <= 15
+
+
+def fitting(value: str) -> int:
+    """The kinds that a value's characters suit, a bit each."""
+    return sum(1 << kind for kind in range(4) if suits(kind, value))
+
+
+def shape(value: str) -> str:
+    """A value with 9 for each digit and one a for each run of letters."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", value))
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -145,18 +168,37 @@ def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 class Context:
-    """The two words before a place in a text, lower-cased and whole, however far; the text is read once."""
+    """The words around a place in a text, lower-cased and whole, however far; the text is read once."""
 
     def __init__(self, text: str) -> None:
         self.text = text
         self.words: list[tuple[int, int]] | None = None
 
-    def before(self, start: int) -> str:
+    def _place(self, at: int) -> int:
         if self.words is None:
-            self.words = [m.span() for m in WORDS_BEFORE.finditer(self.text)]
-        k = bisect_left(self.words, (start, 0))
+            self.words = [m.span() for m in WORDS.finditer(self.text)]
+        return bisect_left(self.words, (at, 0))
+
+    def before(self, start: int) -> str:
+        """The two words before."""
+        k = self._place(start)
         return " ".join(self.text[a : min(b, start)] for a, b in self.words[max(0, k - 2) : k]).lower()
 
+    def after(self, end: int) -> str:
+        k = self._place(end)
+        return self.text[slice(*self.words[k])].lower() if k < len(self.words) else ""
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The patterns that a mention stands in, those without a word left out."""
+        two, after = self.before(start), self.after(end)
+        grains = [(BEFORE_TWO, two), (BEFORE_ONE, two.split(" ")[-1]), (AFTER, after), (SHAPE, shape(self.text[start:end]))]
+        return [grain + text for grain, text in grains if text]
+
+
+def mention(context: Context, kind: int | None, start: int, end: int, run: int) -> dict:
+    value = context.text[start:end]
+    return {"kind": kind, "value": value, "fits": fitting(value), "patterns": context.patterns(start, end), "start": start, "end": end, "run": run}
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """Each row's fixed spans and identifier-like mentions with their contexts; ``docs`` has doc_id, text, h1 and h2."""
@@ -168,11 +210,11 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 found, context = base_spans(text) if text else [], Context(text or "")
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                rows = [{"kind": k, "value": text[s:e], "before": context.before(s), "start": s, "end": e, "run": s} for k, s, e in found]
+                rows = [mention(context, k, s, e, s) for k, s, e in found]
                 taken = sorted((s, e) for _, s, e in found)
                 next_taken = next_run = 0
                 joined = list(runs(text, taken)) if text and DIGITS.search(text) else []
-                rows += [{"kind": None, "value": text[s:e], "before": context.before(s), "start": s, "end": e, "run": s} for s, e in joined]
+                rows += [mention(context, None, s, e, s) for s, e in joined]
                 for m in TOKEN.finditer(text) if text and (found or DIGITS.search(text) or "@" in text) else ():
                     value = m[0].strip(".-_/\\=+*#$%&")
                     start = m.start() + m[0].find(value) if value else m.start()
@@ -182,8 +224,8 @@ def scan(docs: DataFrame) -> DataFrame:
                     while next_run < len(joined) and joined[next_run][1] <= start:
                         next_run += 1
                     over = joined[next_run] if next_run < len(joined) and joined[next_run][0] < end else None
-                    if value and over != (start, end) and not (next_taken < len(taken) and taken[next_taken][0] < end) and any(suits(k, value) for k in range(4)):
-                        rows.append({"kind": INSIDE if over else None, "value": value, "before": context.before(start), "start": start, "end": end, "run": over[0] if over else start})
+                    if value and over != (start, end) and not (next_taken < len(taken) and taken[next_taken][0] < end) and fitting(value):
+                        rows.append(mention(context, INSIDE if over else None, start, end, over[0] if over else start))
                 mentions.append(rows)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -195,42 +237,37 @@ def scan(docs: DataFrame) -> DataFrame:
     return in_batches(docs, work, SCAN)
 
 
-def _fits(kind: Column) -> Column:
-    """:func:`suits` for the column ``value``."""
-    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    plain = ~F.col("value").rlike(r"\p{L}")
-    return (
-        F.when(kind == 0, F.col("value").rlike("^[^@]+@.*[^@]$"))
-        .when(kind == 1, plain & (F.length(F.regexp_replace("value", "[^.]", "")) == 3))
-        .when(kind == 2, plain & digits.between(12, 19))
-        .otherwise(plain & digits.between(7, 15))
-    )
+def _fits(kind: str) -> Column:
+    """:func:`suits` by the column ``fits``."""
+    return F.col("fits").bitwiseAND(F.expr(f"shiftleft(1, {kind})")) != 0
 
 
 def learn_patterns(mentions: DataFrame, *, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
-    """(before, kind, confidence) of the patterns that the graph of mentions (kind, value, before) supports.
+    """(pattern, kind, confidence) of the patterns that the graph of mentions (kind, value, fits, patterns) supports.
 
-    Mentions without a kind begin unknown; after each round a value belongs to a kind to 1 - Π(1 - confidence) over its patterns.
-    In every round all patterns are admitted anew: seeds count, and values that fit and are believed to ``min_confidence``.
+    Mentions without a kind begin unknown; after each round a value belongs to a kind to 1 - Π(1 - confidence) over its patterns
+    of more than half confidence. In every round all patterns are admitted anew: seeds count, and, but for shapes, values that fit
+    and are believed to ``min_confidence``.
     """
-    edges = durable(mentions.where("before <> ''").groupBy("before", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed")))
-    sizes = edges.groupBy("before").agg(F.sum("n").alias("total"))
-    seeds = edges.where("seed is not null").groupBy("before", F.col("seed").alias("kind")).agg(F.sum("n").cast("double").alias("mass"), F.count("*").alias("seeds"))
+    spread = mentions.select("kind", "value", "fits", F.explode("patterns").alias("pattern"))
+    edges = durable(spread.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed"), F.max("fits").alias("fits")))
+    sizes = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    seeds = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.sum("n").cast("double").alias("mass"), F.count("*").alias("seeds"))
     belief = None
     scored = None
     for step in range(rounds):
         mass = seeds
         if belief is not None:
-            believed = edges.where("seed is null").join(belief, "value")
-            sure = (F.col("p") >= min_confidence) & _fits(F.col("kind"))
-            more = believed.groupBy("before", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("more"), F.sum(sure.cast("long")).alias("found"))
+            believed = edges.where(F.col("seed").isNull() & ~F.col("pattern").startswith(SHAPE)).join(belief, "value")
+            sure = (F.col("p") >= min_confidence) & _fits("kind")
+            more = believed.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("more"), F.sum(sure.cast("long")).alias("found"))
             zero = lambda c: F.coalesce(c, F.lit(0))
-            mass = mass.join(more, ["before", "kind"], "full").select("before", "kind", (zero("seeds") + zero("found")).alias("seeds"), (zero("mass") + zero("more")).alias("mass"))
+            mass = mass.join(more, ["pattern", "kind"], "full").select("pattern", "kind", (zero("seeds") + zero("found")).alias("seeds"), (zero("mass") + zero("more")).alias("mass"))
         mass = mass.where(F.col("seeds") >= min_seeds)
-        scored = durable(mass.join(sizes, "before").select("before", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / F.col("total")).alias("confidence")))
+        scored = durable(mass.join(sizes, "pattern").select("pattern", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / F.col("total")).alias("confidence")))
         if step < rounds - 1:
             doubt = F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))
-            belief = edges.where("seed is null").join(scored, "before").groupBy("value", "kind").agg((1 - doubt).alias("p"))
+            belief = edges.where("seed is null").join(scored.where("confidence > 0.5"), "pattern").groupBy("value", "kind").agg((1 - doubt).alias("p"))
     return scored.where(F.col("confidence") >= min_confidence)
 
 
@@ -243,7 +280,8 @@ def discovered(rows: DataFrame, *, rounds: int = 3, min_seeds: int = 5, min_conf
     mentions = rows.select("part", "ordinal", F.explode("mentions").alias("m")).select("part", "ordinal", "m.*")
     patterns = learn_patterns(mentions.where(f"kind is null or kind <> {INSIDE}"), rounds=rounds, min_seeds=min_seeds, min_confidence=min_confidence)
     fresh = mentions.where(f"kind is null or kind = {INSIDE}").withColumn("inside", F.col("kind").isNotNull()).drop("kind")
-    new = fresh.join(patterns.select("before", F.col("kind").alias("k"), "confidence"), "before").where(_fits(F.col("k")))
+    in_patterns = fresh.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    new = in_patterns.join(patterns.select("pattern", F.col("kind").alias("k"), "confidence"), "pattern").where(_fits("k"))
     one = new.groupBy("part", "ordinal", "run", "inside", "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind"))
     span = F.struct("kind", "start", "end")
     whole = F.collect_list(F.when(~F.col("inside"), span))
