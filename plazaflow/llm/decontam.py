@@ -121,8 +121,12 @@ def _intersect(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 def _within(lists: list[np.ndarray], span: int) -> np.ndarray:
     """Positions of the rarest list around which every other list has a position, all within ``span`` words."""
-    out = []
-    for p in lists[0].tolist():
+    out, likely = [], lists[0]
+    for x in lists[1:]:
+        # one look-up a list leaves the few places where all lists have something near
+        at = np.searchsorted(x, likely - span + 1)
+        likely = likely[(at < len(x)) & (x[np.minimum(at, len(x) - 1)] < likely + span)]
+    for p in likely.tolist():
         near = sorted((int(q), k) for k, x in enumerate(lists) for q in x[bisect_left(x, p - span + 1) : bisect_left(x, p + span)])
         held: dict[int, int] = {}
         for q, k in near:
@@ -275,8 +279,9 @@ def contamination(
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from :func:`contamination`'s rows."""
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and near_items from :func:`contamination`'s rows."""
+    listed = lambda c: F.array_join(F.array_sort(F.transform(c, lambda i: i.cast("string"))), ",")
+    names = listed("items")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",
@@ -285,6 +290,8 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
+        listed("near").alias("near_items"),
     )
 
 

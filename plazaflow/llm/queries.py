@@ -23,7 +23,7 @@ def _vocabulary() -> tuple[str, str]:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, digest
 
-    return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
+    return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10, slop=5))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,19 @@ lens AS (SELECT DISTINCT len(win) AS n FROM bw),
 dw AS (SELECT doc_id, n, i, w[i:i+n-1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
 hits AS (SELECT DISTINCT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id),
+-- all words of a window, in any order, within its length and five words more: looked for around its rarest word
+dp AS (SELECT doc_id, w, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+freq AS (SELECT t, count(*) AS c FROM dp GROUP BY t),
+wins AS (SELECT item_id, list_distinct(win) AS terms, len(win) + 5 AS span FROM bw),
+rare AS (SELECT item_id, terms, span, min_by(freq.t, (c, freq.t)) AS t FROM (SELECT *, unnest(terms) AS t FROM wins) x JOIN freq ON freq.t = x.t GROUP BY ALL HAVING count(*) = len(terms)),
+around AS (SELECT doc_id, item_id, terms, span, w[greatest(i - span + 1, 1):i + span - 1] AS part FROM rare JOIN dp USING (t)),
+near AS (SELECT DISTINCT doc_id, item_id FROM (SELECT * FROM around WHERE list_has_all(part, terms)) WHERE len(list_filter(range(1, len(part) + 1), lambda s: list_has_all(part[s:s+span-1], terms))) > 0),
+near_ids AS (SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS near_items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM near) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_ids USING (doc_id)
 """
 
 #: All pairs of documents that share a shingle, then reachability: the plain definition, affordable at the test scale.
