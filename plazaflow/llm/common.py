@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Rows are taken in the order of a hash of doc_id, so the sample is the same on every run. Rows without an id, a
     text or a label, and labels that contradict each other, are left out. Of rows that share an id one counts. The bounds,
-    also of ``most_chars`` characters in all, keep what comes to the driver small.
+    also of ``most_chars`` characters in all (:func:`bounded_texts`), keep what comes to the driver small.
     """
     clean = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
@@ -101,16 +101,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     # of the rows that share an id one is taken, before anything comes to the driver
     one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
-    return bounded_texts(one, per_class * 2, most_chars)
+    return bounded_texts(one, most_chars)
 
 
-def bounded_texts(chosen: DataFrame, rows: int, most_chars: int) -> list[tuple]:
-    """The rows (doc_id, text, label) in the order of a hash of their ids, as many as have ``most_chars`` characters together.
+def bounded_texts(chosen: DataFrame, most_chars: int, part: int = 20) -> list[tuple]:
+    """Rows (doc_id, text, label) that have ``most_chars`` characters together at most, an equal share of them for each label.
 
-    Lengths are added up first (``chosen`` has ``rows`` rows at most), so texts beyond the bound don't reach the driver.
+    A label's rows are gone through in the order of a hash of their ids. Left out are texts of more than a ``part``-th of the
+    label's share, and those that no longer fit into it; the others stay, however long a text among them is. If all texts of
+    a label are that long, its shortest ones that fit into the share are taken. ``chosen`` is a bounded table: its ids and lengths come to the
+    driver, and then the texts that are taken.
     """
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = durable(chosen.withColumn("_size", F.length("text")))
-    kept = sizes.select("doc_id", "_size").withColumn("_sum", F.sum("_size").over(order)).where((F.col("_sum") <= most_chars) | (F.col("_sum") == F.col("_size")))
-    found = sizes.join(F.broadcast(kept.select("doc_id")), "doc_id").select("doc_id", "text", "label").collect()
-    return sorted((r.doc_id, r.text, r.label) for r in found[:rows])
+    sizes = durable(chosen.withColumn("_size", F.length("text")).withColumn("_order", F.xxhash64("doc_id")))
+    by_label: dict = {}
+    for r in sizes.select("doc_id", "label", "_size", "_order").collect():
+        by_label.setdefault(r.label, []).append((r["_order"], r.doc_id, r["_size"]))
+    share = most_chars // max(1, len(by_label))
+    taken = []
+    for label, rows in by_label.items():
+        short = sorted(r for r in rows if r[2] <= share // part) or sorted(rows, key=lambda r: (r[2], r))
+        left = share
+        for _, doc_id, size in short:
+            if size <= left:
+                taken.append((doc_id, label))
+                left -= size
+    if not taken:
+        return []
+    ids = sizes.sparkSession.createDataFrame(taken, sizes.select("doc_id", "label").schema)
+    found = sizes.join(F.broadcast(ids), ["doc_id", "label"]).select("doc_id", "text", "label").collect()
+    return sorted((r.doc_id, r.text, r.label) for r in found)

@@ -126,7 +126,8 @@ def languages(
 
     ``learn`` says, on the documents' ``doc_id`` and ``lang``, which may be learnt from. The training sample is at most
     ``per_lang`` documents of each language, in the order of a hash of their ids, of the ``most_langs`` most frequent
-    languages, and ``most_chars`` characters in all; fewer of a language of which most rows repeat an id.
+    languages, and ``most_chars`` characters in all, an equal share a language; fewer of a language of which most rows repeat an id.
+    A text of more than a twentieth of its language's share is not learnt from (it is scored whole, as all are).
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = source.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(learn, F.lit(False)))
@@ -138,7 +139,7 @@ def languages(
     ids = named.join(F.broadcast(frequent), "lang").where(share).select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "lang")
     rows = source.where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
     one = rows.groupBy("doc_id", F.col("lang").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = sorted((lang, doc_id, text) for doc_id, text, lang in bounded_texts(one, per_lang * most_langs, most_chars) if has_letter(text))
+    sample = sorted((lang, doc_id, text) for doc_id, text, lang in bounded_texts(one, most_chars) if has_letter(text))
     model = Regression([t for _, _, t in sample], [lang for lang, _, _ in sample], landmarks, ridge) if sample else None
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, in_batches, raw, release
@@ -369,6 +369,12 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def columns_hashed(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` as what can be hashed: a column that has a map or a variant in it as its text."""
+    plain = lambda kind: not any(w in kind.lower() for w in ("map<", "variant", "interval"))
+    return [F.col(f"`{f.name}`") if plain(f.dataType.simpleString()) else F.col(f"`{f.name}`").cast("string") for f in docs.schema]
+
+
 def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **options: int) -> DataFrame:
     """``docs``, all columns whatever their names, with one row of each near-duplicate group: that of the smallest id.
 
@@ -394,5 +400,5 @@ def one_of_each_group(docs: DataFrame, *, width: int = 5, percent: int = 80, **o
     first = known.groupBy("component").agg(F.min(F.struct("least.none", "least.id", "least.check", "key")).alias("w"))
     stay = first.select(*(f"w.{c}" for c in place)).unionByName(slim.join(known.where("two").select("key"), "key").select(*place)).distinct()
     # repeated rows meet in their tasks before they travel
-    one = docs.where(spoken).select(*named, F.struct(*columns).alias("row")).groupBy(*place).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    one = docs.where(spoken).select(*named, F.xxhash64(*columns_hashed(docs)).alias("tie"), F.struct(*columns).alias("row")).groupBy(*place).agg(F.min_by("row", "tie").alias("row"))
     return docs.where(~spoken).unionByName(one.join(stay, place, "left_semi").select("row.*"))
