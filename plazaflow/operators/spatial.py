@@ -7,14 +7,14 @@ pair is looked at that is further apart than two cells. A crowded cell is a skew
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regions import RINGS, region_areas
+
 
 def cell(x: Column | str, size: float) -> Column:
     return F.floor((F.col(x) if isinstance(x, str) else x) / size).cast("long")
@@ -234,56 +234,23 @@ def clip_area(subject: list[tuple[float, float]], convex: list[tuple[float, floa
     return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1], strict=True))) / 2
 
 
-Rings = list[list[tuple[float, float]]]
-
-
-def _segments(rings: Rings) -> np.ndarray:
-    """The edges (x0, y0, x1, y1) of some rings, upwards, without level ones."""
-    parts = [np.c_[r, np.roll(r, -1, axis=0)] for r in (np.asarray(ring, float).reshape(-1, 2) for ring in rings) if len(r) > 2]
-    edges = np.concatenate(parts) if parts else np.empty((0, 4))
-    edges = edges[edges[:, 1] != edges[:, 3]]
-    return np.where((edges[:, 1] > edges[:, 3])[:, None], edges[:, [2, 3, 0, 1]], edges)
-
+def region_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """(id, r_id, rings, r_rings) of polygons (id, rings: arrays of rings of x and y) whose bounding boxes overlap.
 
-def region_areas(a: Rings, b: Rings) -> tuple[float, float, float]:
-    """Areas of what two polygons have in common, and of either alone. Rings are joined by the even-odd rule, so inner ones are holes.
-
-    Exact for any simple or self-crossing rings: the plane is cut at every corner and crossing into level strips, in which no
-    two edges cross, and in a strip each gap between neighbouring edges is a trapezium inside or outside of either.
+    Candidates come by cells of ``size``, each pair in one cell; a polygon's rings travel to the cells that it touches.
+    Polygons without a corner are left out.
     """
-    sa, sb = _segments(a), _segments(b)
-    edges, first = np.concatenate([sa, sb]), np.r_[np.ones(len(sa), bool), np.zeros(len(sb), bool)]
-    if not len(edges):
-        return 0.0, 0.0, 0.0
-    slope = (edges[:, 2] - edges[:, 0]) / (edges[:, 3] - edges[:, 1])
-    base = edges[:, 0] - slope * edges[:, 1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        y = (base[None] - base[:, None]) / (slope[:, None] - slope[None])
-    low, high = np.maximum(edges[:, None, 1], edges[None, :, 1]), np.minimum(edges[:, None, 3], edges[None, :, 3])
-    levels = np.unique(np.r_[edges[:, 1], edges[:, 3], y[np.isfinite(y) & (y > low) & (y < high)]])
-    out = [0.0, 0.0, 0.0]
-    for lo, hi in pairwise(levels.tolist()):
-        mid = (lo + hi) / 2
-        here = np.flatnonzero((edges[:, 1] <= lo) & (edges[:, 3] >= hi))
-        x = slope[here] * mid + base[here]
-        order = np.argsort(x, kind="stable")
-        in_a, in_b = np.cumsum(first[here][order]) % 2 == 1, np.cumsum(~first[here][order]) % 2 == 1
-        gaps = np.diff(x[order]) * (hi - lo)
-        for k, inside in enumerate((in_a & in_b, in_a & ~in_b, ~in_a & in_b)):
-            out[k] += float(gaps[inside[:-1]].sum())
-    return out[0], out[1], out[2]
+    corners = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
+    boxed = lambda d: d.select("id", F.col("rings").cast(RINGS).alias("rings"), *(corners(f, c).alias(f"{c}{k}") for c in ("x", "y") for k, f in ((0, F.array_min), (1, F.array_max)))).where("x0 is not null")
+    return box_overlaps(boxed(left), boxed(right), size).select("id", "r_id", "rings", "r_rings")
 
 
 def region_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of polygons (id, rings: arrays of rings of x and y) whose bounding boxes overlap, with the areas ``both``, ``only`` and ``r_only``.
+    """:func:`region_pairs` with the areas ``both``, ``only`` and ``r_only``. Rings are joined by the even-odd rule, so inner ones are holes.
 
-    Candidates come by cells of ``size``, each pair in one cell; a polygon's rings travel to the cells that it touches. The union's
-    area is the sum of the three, the symmetric difference's that of the last two. Polygons without a corner are left out.
+    The union's area is the sum of the three, the symmetric difference's that of the last two.
     """
-    ring_type = "array<array<struct<x:double,y:double>>>"
-    corners = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
-    boxed = lambda d: d.select("id", F.col("rings").cast(ring_type).alias("rings"), *(corners(f, c).alias(f"{c}{k}") for c in ("x", "y") for k, f in ((0, F.array_min), (1, F.array_max)))).where("x0 is not null")
-    pairs = box_overlaps(boxed(left), boxed(right), size).select("id", "r_id", "rings", "r_rings")
+    pairs = region_pairs(left, right, size)
     # areas cost far more than their rows' bytes tell, so small pairs are not put together into few tasks
     pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "r_id")
 

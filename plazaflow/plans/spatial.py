@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import regions as R
 from ..operators import spatial as P
 from ..operators.common import settle
 from .registry import Tables, query
@@ -353,3 +354,52 @@ def region_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(F.col("both") + F.col("only") + F.col("r_only")), 2).alias("unions"),
         F.round(F.sum(F.col("only") + F.col("r_only")), 2).alias("differences"),
     )
+
+
+@query(
+    "G3 J5",
+    f"""WITH a AS {_holed_sql(_CUST, "c_custkey", 160, 120, 30)}, b AS {_holed_sql(_SUPP, "s_suppkey", 700, 500, 90)},
+    o AS (SELECT a.id, b.id AS site, {_common("ao", "bo")} - {_common("ai", "bo")} - {_common("ao", "bi")} + {_common("ai", "bi")} AS shared FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+    SELECT id, site, round(shared, 2) AS both, round(13200 + 183600 - shared, 2) AS united, round(13200 - shared, 2) AS outside, round(13200 + 183600 - 2 * shared, 2) AS either FROM o WHERE shared > 1""",
+)
+def united_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of what two overlapping polygons with holes have in common, of their union and of their differences, by their areas."""
+    t = Tables(spark, sf_dir)
+    pairs = P.region_pairs(_holed(_customers(t), "c_custkey", 160, 120, 30), _holed(_suppliers(t), "s_suppkey", 700, 500, 90), 400.0)
+    rules = {"both": R.all_of(2), "united": R.UNION, "outside": R.FIRST_ONLY, "either": R.EITHER}
+    made = R.ring_results(pairs.withColumnRenamed("r_id", "site"), ["rings", "r_rings"], {n: lambda a, b, rule=rule: R.combined([a, b], rule) for n, rule in rules.items()})
+    return made.select("id", "site", *(F.round(R.rings_area(F.col(n)), 2).alias(n) for n in rules)).where("both > 1")
+
+
+@query(
+    "G3",
+    """SELECT c_custkey AS id, round((w - 3) * (h - 3) - ((w - 60) * (h - 60) + 3 * (w + h - 120) + 32 * 2.25 * sin(2 * pi() / 64)), 2) AS floor_area, round(2 * (w + h - 6) + 2 * (w + h - 120) + 64 * 2 * 1.5 * sin(pi() / 64), 2) AS wall
+    FROM (SELECT c_custkey, CAST(100 + 4 * c_nationkey AS DOUBLE) AS w, CAST(90 + c_custkey % 30 AS DOUBLE) AS h FROM customer)""",
+)
+def inner_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floors with a yard, 1.5 m in from all walls: area and length of the resulting rings."""
+    c = Tables(spark, sf_dir).customer.select("c_custkey", (100 + 4 * F.col("c_nationkey")).cast("double").alias("w"), (90 + F.col("c_custkey") % 30).cast("double").alias("h"))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    box = lambda d: F.array(at(F.lit(d), F.lit(d)), at(F.col("w") - d, F.lit(d)), at(F.col("w") - d, F.col("h") - d), at(F.lit(d), F.col("h") - d))
+    made = R.ring_results(c.select(F.col("c_custkey").alias("id"), F.array(box(0.0), box(30.0)).alias("rings")), ["rings"], {"inner": lambda rings: R.inset(rings, 1.5)})
+    return made.select("id", F.round(R.rings_area(F.col("inner")), 2).alias("floor_area"), F.round(R.rings_length(F.col("inner")), 2).alias("wall"))
+
+
+_SLICES = f"(SELECT DISTINCT c_custkey // 50 AS k, CAST(floor(x / 600) AS BIGINT) AS level, CAST(floor(y / 400) AS BIGINT) % 4 AS i, c_custkey % 5 AS j FROM {_CUST})"
+
+
+@query(
+    "W14 W15 G16",
+    f"""WITH RECURSIVE s AS {_SLICES}, top AS (SELECT k, i, j, max(level) AS level FROM s GROUP BY ALL), levels AS (SELECT k, level, row_number() OVER (PARTITION BY k ORDER BY level) AS n FROM (SELECT DISTINCT k, level FROM s)),
+    held AS (SELECT l.k, l.n, l.level, i, j FROM levels l JOIN top t ON t.k = l.k AND t.level >= l.level),
+    side AS (SELECT h.k, h.n, count(*) AS free FROM held h CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(a, b) LEFT JOIN held o ON o.k = h.k AND o.n = h.n AND o.i = h.i + a AND o.j = h.j + b WHERE o.k IS NULL GROUP BY ALL),
+    sized AS (SELECT k, n, level, count(*) AS cells FROM held GROUP BY ALL),
+    tier(k, n, base, cells) AS (SELECT k, n, n, cells FROM sized WHERE n = 1 UNION ALL SELECT s.k, s.n, CASE WHEN t.cells - s.cells < 0.05 * t.cells THEN t.base ELSE s.n END, CASE WHEN t.cells - s.cells < 0.05 * t.cells THEN t.cells ELSE s.cells END FROM tier t JOIN sized s ON s.k = t.k AND s.n = t.n + 1)
+    SELECT t.k, min(s.level) AS low, max(s.level) AS high, CAST(any_value(t.cells) * 4 AS DOUBLE) AS area, CAST(any_value(free) * 2 AS DOUBLE) AS wall FROM tier t JOIN sized s ON s.k = t.k AND s.n = t.n JOIN side ON side.k = t.k AND side.n = t.base GROUP BY t.k, t.base""",
+)
+def carried_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the cells of each slice of an object, carried down from the top and merged where they hardly differ, as rings."""
+    c = _customers(Tables(spark, sf_dir))
+    slices = c.select(F.floor(F.col("c_custkey") / 50).cast("long").alias("k"), F.floor(F.col("x") / 600).cast("long").alias("level"), (P.cell("y", 400) % 4).alias("i"), (F.col("c_custkey") % 5).alias("j"))
+    tiers = R.carried_regions(R.cell_outlines(slices, ["k", "level"], 2.0), "k", same=0.05)
+    return tiers.select("k", "low", "high", F.round(R.rings_area(F.col("rings")), 6).alias("area"), F.round(R.rings_length(F.col("rings")), 6).alias("wall"))
