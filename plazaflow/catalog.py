@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import graph, objects, relational, spatial, stochastic, temporal, text  # noqa: F401
+from .plans import graph, grids, objects, relational, spatial, stochastic, temporal, text  # noqa: F401
 from .plans.registry import COVERS, ORACLE_SQL, QUERIES
 
 FLAGSHIP = "occupancy_curve"

@@ -313,22 +313,3 @@ def replicated_chunks(points: DataFrame, size: float, buffer: float) -> DataFram
     s = lambda c: F.sequence(F.floor((F.col(c) - buffer) / size).cast("long"), F.floor((F.col(c) + buffer) / size).cast("long"))
     out = points.withColumn("ci", F.explode(s("x"))).withColumn("cj", F.explode(s("y")))
     return out.withColumn("is_core", (F.col("ci") == cell("x", size)) & (F.col("cj") == cell("y", size)))
-
-
-def spaced(df: DataFrame, key: str, order: str, distance: float) -> DataFrame:
-    """Rows of each group kept greedily in order if further than ``distance`` from all kept before; order decides."""
-    schema = df.schema
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
-        for x, y in zip(pdf.x, pdf.y, strict=True):
-            i, j = int(x // distance), int(y // distance)
-            free = all((x - a) ** 2 + (y - b) ** 2 > distance**2 for di in (-1, 0, 1) for dj in (-1, 0, 1) for a, b in grid.get((i + di, j + dj), ()))
-            if free:
-                grid.setdefault((i, j), []).append((x, y))
-            keep.append(free)
-        return pdf[keep]
-
-    return df.groupBy(key).applyInPandas(work, schema)

@@ -286,13 +286,6 @@ def tree_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("s_s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.round(F.min("g"), 6).alias("ground"))
 
 
-@query("W12", None)
-def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points kept in key order if far enough from all kept ones of their nation."""
-    c = _customers(Tables(spark, sf_dir)).select("c_nationkey", "c_custkey", "x", "y")
-    return P.spaced(c, "c_nationkey", "c_custkey", 900.0).select("c_nationkey", "c_custkey")
-
-
 @query("F11 F12 F14", f"SELECT s_suppkey, round(b, 6) AS bearing, list_extract(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'], CAST(floor(b / 45 + 0.5) AS INTEGER) % 8 + 1) AS octant, round(((b - 200 + 540) % 360) - 180, 6) AS turn, round(exp(2.0 * (cos(radians(b - 200)) - 1)), 9) AS weight FROM (SELECT s_suppkey, (degrees(atan2(x - 4500, y - 5000)) + 360) % 360 AS b FROM {_SUPP})")
 def bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("b")
