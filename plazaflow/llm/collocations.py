@@ -5,9 +5,10 @@ bounded size; of a shard's words it builds a trie of limited depth, level by lev
 writes it as rows (lang, phrase, count) in sorted order. The sorted rows of all shards are merged by ranges of phrases:
 Spark deals them by sampled ranges, sorts each, and adjacent equal phrases are summed; rare ones go.
 
-Counts fall from a phrase to a longer one. So the first pass counts words, the second word pairs of frequent words, and the
-third lets a trie grow along frequent pairs only; all counts of frequent phrases stay exact. What is frequent comes to the tasks as a bit
-table of fixed size (``BITS``); a collision there lets a rare phrase be counted and dropped later, and never loses one.
+Counts fall from a phrase to a longer one, so tries grow along frequent pairs only; all counts of frequent phrases stay
+exact. The first pass counts words. The second adds up pairs of frequent words by a number of 40 bits each, written in
+sorted slices of a few bytes a pair, and merges those slice by slice. The third builds the tries. What is frequent comes to
+the tasks as a bit table of fixed size (``BITS``); a collision of numbers or bits lets a rare phrase be counted and dropped later, and never loses one.
 
 In the sorted order of phrases a phrase's first parts, its ancestors in the trie, stand before it: one walk gives the
 counts of all left parts. Suffix links lead from a phrase to the same without its first word; they form the trie of the
@@ -23,18 +24,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, in_batches, raw, release
 
-#: Positions of a bit table, a prime: 16 MB.
-BITS = 134_217_689
+#: Positions of a bit table, a prime: 16 MB. Numbers of pairs, a prime under 2**40.
+BITS, PAIRS = 134_217_689, 1_099_511_627_689
+#: Pairs that a slice holds of all shards together, about.
+SLICE = 8_000_000
 #: Words, and different words, of which a shard has about so many at most; bytes that are cut into words at once.
 SHARD, VOCABULARY, CHUNK = 2_000_000, 500_000, 1 << 20
 #: Stands for the end of a piece, and never in a text; between words of a stored phrase, with what escapes it in a word.
@@ -85,9 +90,9 @@ class Bits:
     def holds(self, at: np.ndarray) -> np.ndarray:
         return (self.table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-    @staticmethod
-    def place(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
-        return (first if second is None else first * 1_000_003 + second) % BITS
+
+def pair_number(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first * 1_000_003 + second) % PAIRS
 
 
 def word_hash(lang: str, words: list[bytes]) -> np.ndarray:
@@ -104,10 +109,10 @@ def trie(lang: str, words: list[bytes], ids: np.ndarray, begins: np.ndarray, low
     if bits is not None:
         hashes = word_hash(lang, words)
         if pairs:
-            follows = bits.holds(Bits.place(hashes[ids[:-1]], hashes[ids[1:]]))
+            follows = bits.holds(pair_number(hashes[ids[:-1]], hashes[ids[1:]]) % BITS)
             at = at[follows[at]]
         else:
-            frequent = bits.holds(Bits.place(hashes, None))
+            frequent = bits.holds(hashes % BITS)
             at = at[frequent[ids[at]]]
     node, parent_of, word_of = ids[at].astype(np.int64), None, None
     names = words
@@ -130,51 +135,134 @@ def trie(lang: str, words: list[bytes], ids: np.ndarray, begins: np.ndarray, low
             yield [names[k] for k in some.tolist()], counts[some]
 
 
-def shards(docs: DataFrame, lowest: int, highest: int, table: Broadcast | None, pairs: bool) -> DataFrame:
-    """(lang, phrase, n) rows of every shard's trie, sorted in the shard; ``docs`` has text and lang."""
+Shard = dict[str, tuple[list[bytes], np.ndarray, np.ndarray]]
+
+
+def read_shards(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Shard]:
+    """A task's texts in shards: by language the words, their numbers in text order, and where phrases of ``reach`` words may begin."""
+    numbers: dict[str, _Numbers] = {}
+    parts: dict[str, list[tuple[np.ndarray, int]]] = {}
+    size = 0
+
+    def shard() -> Shard:
+        out = {}
+        for lang in sorted(parts):
+            ids = np.concatenate([np.append(i, np.int32(0)) for i, _ in parts[lang]])
+            out[lang] = list(numbers[lang]), ids, np.concatenate([np.arange(len(i) + 1) < own for i, own in parts[lang]])
+        parts.clear()
+        return out
+
+    for batch in batches:
+        streams: dict[str, list[bytes]] = {}
+        for text, lang in zip(raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            if text:
+                streams.setdefault("und" if lang is None else lang, []).append(text)
+        for lang, texts in streams.items():
+            for part in numbered(END.join(texts), numbers.setdefault(lang, _Numbers()), reach):
+                parts.setdefault(lang, []).append(part)
+                size += len(part[0])
+                if size >= SHARD:
+                    yield shard()
+                    size = 0
+        if sum(map(len, numbers.values())) >= VOCABULARY:
+            yield shard()
+            numbers.clear()
+            size = 0
+    yield shard()
+
+
+def tries(docs: DataFrame, lowest: int, highest: int, table: Broadcast | None) -> DataFrame:
+    """(lang, phrase, n) rows of every shard's trie along frequent pairs, sorted in the shard; its root, the empty phrase, has the count of all words.
+
+    ``docs`` has text and lang.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Bits(table.value, pairs) if table is not None else None
-        numbers: dict[str, _Numbers] = {}
-        parts: dict[str, list[tuple[np.ndarray, int]]] = {}
-        size = 0
-
-        def written() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(parts):
-                ids = np.concatenate([np.append(i, np.int32(0)) for i, _ in parts[lang]])
-                begins = np.concatenate([np.arange(len(i) + 1) < own for i, own in parts[lang]])
-                rows: list[tuple[bytes, int]] = []
-                for phrases, counts in trie(lang, list(numbers[lang]), ids, begins, lowest, highest, bits):
+        bits = Bits(table.value, True) if table is not None else None
+        for shard in read_shards(batches, highest):
+            for lang, (words, ids, begins) in shard.items():
+                rows: list[tuple[bytes, int]] = [(b"", int((begins & (ids != 0)).sum()))] if lowest == 1 else []
+                for phrases, counts in trie(lang, words, ids, begins, lowest, highest, bits):
                     rows += zip(phrases, counts.tolist(), strict=True)
                 rows.sort()
                 for k in range(0, len(rows), 20_000):
                     some = rows[k : k + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([p for p, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "n"])
-            parts.clear()
-
-        for batch in batches:
-            streams: dict[str, list[bytes]] = {}
-            for text, lang in zip(raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    streams.setdefault("und" if lang is None else lang, []).append(text)
-            for lang, texts in streams.items():
-                for part in numbered(END.join(texts), numbers.setdefault(lang, _Numbers()), highest):
-                    parts.setdefault(lang, []).append(part)
-                    size += len(part[0])
-                    if size >= SHARD:
-                        yield from written()
-                        size = 0
-            if sum(map(len, numbers.values())) >= VOCABULARY:
-                yield from written()
-                numbers.clear()
-                size = 0
-        yield from written()
 
     return in_batches(docs, work, COUNTS)
 
 
+def packed(numbers: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending numbers and their counts; steps between numbers are stored byte by byte, so that high bytes take no room."""
+    steps = np.diff(numbers, prepend=0)
+    return zstandard.ZstdCompressor(1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.int64).ravel()), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
+
+
+def summed(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(numbers, kind="stable")
+    numbers, counts = numbers[order], counts[order]
+    first = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def frequent_pairs(docs: DataFrame, words: Broadcast, slices: int, min_count: int) -> DataFrame:
+    """(place): the places in a bit table of the pairs of neighbouring words that occur ``min_count`` times, and of what shares a number with them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bits(words.value, False)
+        for shard in read_shards(batches, 2):
+            found = []
+            for lang, (known, ids, begins) in shard.items():
+                hashes = word_hash(lang, known)
+                frequent = bits.holds(hashes % BITS) & (np.arange(len(known)) > 0)
+                at = np.flatnonzero((begins & frequent[ids])[:-1] & frequent[ids[1:]])
+                found.append(pair_number(hashes[ids[at]], hashes[ids[at + 1]]))
+            if not found:
+                continue
+            numbers, counts = np.unique(np.concatenate(found), return_counts=True)
+            order = np.argsort(numbers % slices, kind="stable")
+            numbers, counts = numbers[order], counts[order]
+            which, first = np.unique(numbers % slices, return_index=True)
+            blobs = [packed(numbers[a:b], counts[a:b]) for a, b in pairwise([*first.tolist(), len(numbers)])]
+            for k in range(0, len(blobs), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(which[k : k + 500], pa.int64()), pa.array(blobs[k : k + 500], pa.binary())], ["slice", "pairs"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, size = None, [], 0
+
+        def places() -> pa.RecordBatch:
+            numbers, counts = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(numbers[counts >= min_count] % BITS))], ["place"])
+
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number != here and held:
+                    yield places()
+                    held, size = [], 0
+                here = number
+                held.append(unpacked(blob))
+                size += len(held[-1][0])
+                if size > 2 * SLICE and len(held) > 1:
+                    # repeated pairs of a slice are added up before it has all its parts
+                    held = [summed(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield places()
+
+    parts = in_batches(docs, work, "slice long, pairs binary")
+    return in_batches(parts.repartition("slice").sortWithinPartitions("slice"), merge, "place long")
+
+
 def merged(runs: DataFrame, min_count: int) -> DataFrame:
-    """Sorted runs (lang, phrase, n) merged by ranges of phrases: sums of at least ``min_count``."""
+    """Sorted runs (lang, phrase, n), dealt by phrases, merged: sums of at least ``min_count``, and those of roots."""
+
+    def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pc.or_(pc.greater_equal(rows.column(2), min_count), pc.equal(pc.binary_length(rows.column(1)), 0)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -193,27 +281,28 @@ def merged(runs: DataFrame, min_count: int) -> DataFrame:
             every = pa.RecordBatch.from_arrays([lang.take(pa.array(first)), phrase.take(pa.array(first)), pa.array(sums)], ["lang", "phrase", "n"])
             # the last may go on in the next batch
             held = every.slice(len(first) - 1)
-            done = every.slice(0, len(first) - 1)
-            yield done.filter(pc.greater_equal(done.column(2), min_count))
+            yield kept(every.slice(0, len(first) - 1))
         if held is not None:
-            yield held.filter(pc.greater_equal(held.column(2), min_count))
+            yield kept(held)
 
-    return in_batches(runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase"), work, COUNTS)
+    return in_batches(runs.sortWithinPartitions("lang", "phrase"), work, COUNTS)
 
 
-def bit_table(frequent: DataFrame, pairs: bool) -> np.ndarray:
-    """The bits of frequent words or pairs; at most ``BITS`` / 64 numbers come to the driver."""
+def word_places(frequent: DataFrame) -> DataFrame:
+    """(place): the places of words in a bit table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = word_hash(lang, phrase.split(SEP))
-                places.append(int(Bits.place(h[0], h[1] if pairs else None)))
+            places = [int(word_hash(lang, [w])[0]) % BITS for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], ["place"])
 
-    places = in_batches(frequent.select("lang", "phrase"), work, "place long")
-    rows = places.select(F.shiftright("place", 6).alias("slot"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return in_batches(frequent.select("lang", "phrase"), work, "place long")
+
+
+def bit_table(places: DataFrame) -> np.ndarray:
+    """A table with the bits at these places set; at most ``BITS`` / 64 numbers come to the driver."""
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    rows = places.select(F.shiftright("place", 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(BITS // 64 + 1, np.uint64)
     table[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return table
@@ -222,20 +311,19 @@ def bit_table(frequent: DataFrame, pairs: bool) -> np.ndarray:
 def counted(docs: DataFrame, longest: int, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases up to ``longest`` words that occur ``min_count`` times, and (lang, total) of all words."""
     spark = docs.sparkSession
-    runs = durable(shards(docs, 1, 1, None, False))
-    totals = durable(runs.groupBy("lang").agg(F.sum("n").alias("total")))
-    tables = [durable(merged(runs, min_count))]
-    for lowest, highest in ((2, 2), (3, longest)):
-        if lowest <= longest:
-            bits = spark.sparkContext.broadcast(bit_table(tables[-1], pairs=lowest > 2))
-            runs = durable(shards(docs, lowest, highest, bits, pairs=lowest > 2))
-            bits.unpersist()
-            tables.append(durable(merged(runs, min_count)))
-        release(spark)
-    every = tables[0]
-    for more in tables[1:]:
-        every = every.unionByName(more)
-    return every, totals
+    words = durable(merged(tries(docs, 1, 1, None).repartition("lang", "phrase"), min_count))
+    totals = words.where(F.length("phrase") == 0).select("lang", F.col("n").alias("total"))
+    words = words.where(F.length("phrase") > 0)
+    slices = int((totals.agg(F.sum("total")).first()[0] or 0) // SLICE) + 64
+    frequent = spark.sparkContext.broadcast(bit_table(word_places(words)))
+    pairs = spark.sparkContext.broadcast(bit_table(frequent_pairs(docs, frequent, slices, min_count)))
+    release(spark)
+    # the ranges are sampled from a first reading; that costs less than to store all runs between the two
+    phrases = durable(merged(tries(docs, 2, longest, pairs).repartitionByRange("lang", "phrase"), min_count))
+    for table in (frequent, pairs):
+        table.unpersist()
+    release(spark)
+    return words.unionByName(phrases), totals
 
 
 def with_parts(phrases: DataFrame, key: str, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,31 +78,50 @@ def test_shards_and_parts_are_cut_anywhere(spark, monkeypatch):
 
 
 def test_small_shards_give_the_same(spark, monkeypatch):
-    rows = rows_of(5)
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(5, "doc_id").select("text", "lang")
-
-    def counts(df):
-        out = Counter()
-        for r in df.collect():
-            out[r.lang, bytes(r.phrase)] += r.n
-        return out
-
-    whole = counts(c.shards(docs, 1, 5, None, False))
-    code = {"SHARD": 40, "VOCABULARY": 6, "CHUNK": 30}
-    before = {k: getattr(c, k) for k in code}
-    local = [(t, g) for t, g in ((r.text, r.lang) for r in docs.collect())]
+    local = [(t, g) for _, t, g in rows_of(5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in local[k : k + 9]], pa.string()), pa.array([g for _, g in local[k : k + 9]], pa.string())], ["text", "lang"]) for k in range(0, len(local), 9)]
     monkeypatch.setattr(c, "in_batches", lambda df, work, schema: work)
-    for k, v in code.items():
-        monkeypatch.setattr(c, k, v)
-    import pyarrow as pa
 
-    work = c.shards(docs, 1, 5, None, False)
-    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in local[k : k + 9]], pa.string()), pa.array([g for _, g in local[k : k + 9]], pa.string())], ["text", "lang"]) for k in range(0, len(local), 9)]
-    cut = Counter()
-    for b in work(iter(batches)):
-        for lang, phrase, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            cut[lang, phrase] += n
-    assert cut == whole and before["SHARD"] > 40
+    def counts():
+        out, shards = Counter(), 0
+        for b in c.tries(None, 1, 5, None)(iter(batches)):
+            shards += 1
+            for lang, phrase, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                out[lang, phrase] += n
+        return out, shards
+
+    whole, few = counts()
+    for k, v in {"SHARD": 40, "VOCABULARY": 6, "CHUNK": 30}.items():
+        monkeypatch.setattr(c, k, v)
+    cut, many = counts()
+    assert cut == whole and many > 10 * few
+
+
+def test_pairs_by_slices(spark, monkeypatch):
+    rows = rows_of(6)
+    docs = spark.createDataFrame([(t, g) for _, t, g in rows], "text string, lang string")
+    every = spark.sparkContext.broadcast(np.full(c.BITS // 64 + 1, np.uint64(0xFFFFFFFFFFFFFFFF)))
+    got = {r.place for r in c.frequent_pairs(docs, every, 5, 4).collect()}
+    counts = Counter({(lang, p): n for lang, p, n in map(tuple, c.tries(docs, 2, 2, None).collect()) for p in [bytes(p)]})
+    total = Counter()
+    for r in c.tries(docs, 2, 2, None).collect():
+        total[r.lang, bytes(r.phrase)] += r.n
+    want = set()
+    for (lang, p), n in total.items():
+        h = c.word_hash(lang, p.split(c.SEP))
+        if n >= 4:
+            want.add(int(c.pair_number(h[:1], h[1:])[0]) % c.BITS)
+    assert got == want and len(counts) > 20
+
+
+def test_packing_of_numbers():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 1000):
+        numbers, counts = np.unique(rng.integers(0, c.PAIRS, n)), rng.integers(1, 2**31, n)
+        a, b = c.unpacked(c.packed(numbers, counts[: len(numbers)]))
+        assert a.tolist() == numbers.tolist() and b.tolist() == counts[: len(numbers)].tolist()
+    numbers, counts = c.summed(np.array([5, 3, 5, 9, 3]), np.array([1, 2, 3, 4, 5]))
+    assert numbers.tolist() == [3, 5, 9] and counts.tolist() == [7, 4, 4]
 
 
 def test_collisions_lose_nothing():
