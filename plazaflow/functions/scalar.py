@@ -124,21 +124,56 @@ def point_u(x: Column, y: Column, z: Column) -> Column:
     return product.bitwiseXOR(F.shiftright(product, 15)).bitwiseAND(0xFFFFFF) / F.lit(float(1 << 24))
 
 
+_UTM_A, _UTM_F = 6378137.0, 1 / 298.257223563
+_UTM_N = _UTM_F / (2 - _UTM_F)
+#: Metres of grid a unit of Krüger's plane: the scale on the central meridian times the rectifying radius.
+UTM_UNIT = 0.9996 * _UTM_A / (1 + _UTM_N) * (1 + _UTM_N**2 / 4 + _UTM_N**4 / 64)
+#: Krüger's series to third order: from the sphere to the plane, back, and from conformal to geographic latitude.
+UTM_ALPHA = [_UTM_N / 2 - 2 * _UTM_N**2 / 3 + 5 * _UTM_N**3 / 16, 13 * _UTM_N**2 / 48 - 3 * _UTM_N**3 / 5, 61 * _UTM_N**3 / 240]
+UTM_BETA = [_UTM_N / 2 - 2 * _UTM_N**2 / 3 + 37 * _UTM_N**3 / 96, _UTM_N**2 / 48 + _UTM_N**3 / 15, 17 * _UTM_N**3 / 480]
+UTM_DELTA = [2 * _UTM_N - 2 * _UTM_N**2 / 3 - 2 * _UTM_N**3, 7 * _UTM_N**2 / 3 - 8 * _UTM_N**3 / 5, 56 * _UTM_N**3 / 15]
+UTM_C = 2 * _UTM_N**0.5 / (1 + _UTM_N)
+
+
+def _utm_sphere(lat: Column, lon: Column, zone: int) -> tuple[Column, Column, Column, Column]:
+    phi, lam = F.radians(lat), F.radians(lon - F.lit(zone * 6 - 183.0))
+    t = F.sinh(F.atanh(F.sin(phi)) - UTM_C * F.atanh(UTM_C * F.sin(phi)))
+    return t, lam, F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+
 def utm(lat: Column, lon: Column, zone: int = 11) -> tuple[Column, Column]:
     """Easting and northing of WGS84 degrees by Krüger's series to third order."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    c = 2 * n**0.5 / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(zone * 6 - 183.0))
-    t = F.sinh(F.atanh(F.sin(phi)) - c * F.atanh(c * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    _, _, xi, eta = _utm_sphere(lat, lon, zone)
     east, north = eta, xi
-    for j, k in enumerate(alpha, 1):
+    for j, k in enumerate(UTM_ALPHA, 1):
         east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.lit(500000.0) + 0.9996 * radius * east, 0.9996 * radius * north
+    return F.lit(500000.0) + UTM_UNIT * east, UTM_UNIT * north
+
+
+def utm_convergence(lat: Column, lon: Column, zone: int = 11) -> Column:
+    """The angle, in degrees clockwise, from true north to the grid's north at a place."""
+    t, lam, xi, eta = _utm_sphere(lat, lon, zone)
+    sigma, tau = F.lit(1.0), F.lit(0.0)
+    for j, k in enumerate(UTM_ALPHA, 1):
+        sigma = sigma + 2 * j * k * F.cos(2 * j * xi) * F.cosh(2 * j * eta)
+        tau = tau + 2 * j * k * F.sin(2 * j * xi) * F.sinh(2 * j * eta)
+    root, tilt = F.sqrt(1 + t * t), t * F.tan(lam)
+    return F.degrees(F.atan2(tau * root + sigma * tilt, sigma * root - tau * tilt))
+
+
+def utm_inverse(east: Column, north: Column, zone: int = 11) -> tuple[Column, Column]:
+    """WGS84 degrees (lat, lon) of a grid's place: the inverse series, which returns to :func:`utm`'s place within a tenth of a millimetre in the zone."""
+    xi, eta = north / UTM_UNIT, (east - 500000.0) / UTM_UNIT
+    back_xi, back_eta = xi, eta
+    for j, k in enumerate(UTM_BETA, 1):
+        back_xi = back_xi - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        back_eta = back_eta - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(back_xi) / F.cosh(back_eta))
+    lat = chi
+    for j, k in enumerate(UTM_DELTA, 1):
+        lat = lat + k * F.sin(2 * j * chi)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(back_eta), F.cos(back_xi))) + F.lit(zone * 6 - 183.0)
 
 
 def value_noise(x: Column, y: Column, scale: float, seed: int, side: int = 63) -> Column:

@@ -91,11 +91,11 @@ def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int | None = Non
     return best
 
 
-def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 2_000_000) -> DataFrame:
-    """(source, target, dist, nodes) of wanted pairs by a heap search in each task, for graphs that a worker can hold.
+def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 200_000) -> DataFrame:
+    """(source, target, dist, nodes) of wanted pairs; of paths of one length that of fewer nodes, and of those the smaller sequence of nodes.
 
-    The graph is counted first and sent to the workers only up to ``max_edges``; for a larger one :func:`paths_by_rounds`
-    does the same on tables of any size. Of paths of one length either may be found.
+    A graph of at most ``max_edges`` edges is sent to the tasks, each of which searches from its sources by a heap; for a larger one
+    :func:`paths_by_rounds` gives the same rows by joins.
     """
     if edges.limit(max_edges + 1).count() > max_edges:
         return paths_by_rounds(edges, pairs)
@@ -105,23 +105,20 @@ def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 2_000
     held = edges.sparkSession.sparkContext.broadcast(near)
 
     def search(source: int, targets: set[int]) -> dict[int, tuple[float, list[int]]]:
-        dist, prev, done = {source: 0.0}, {source: source}, set()
-        heap, found = [(0.0, source)], {}
+        done: set[int] = set()
+        heap: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 1, (source,))]
+        found = {}
         while heap and len(found) < len(targets):
-            d, node = heapq.heappop(heap)
+            d, n, path = heapq.heappop(heap)
+            node = path[-1]
             if node in done:
                 continue
             done.add(node)
             if node in targets:
-                path, walk = [node], node
-                while walk != source:
-                    walk = prev[walk]
-                    path.append(walk)
-                found[node] = (d, path[::-1])
-            for other, cost in sorted(held.value.get(node, ())):
-                if d + cost < dist.get(other, float("inf")):
-                    dist[other], prev[other] = d + cost, node
-                    heapq.heappush(heap, (d + cost, other))
+                found[node] = (d, list(path))
+            for other, cost in held.value.get(node, ()):
+                if other not in done:
+                    heapq.heappush(heap, (d + cost, n + 1, (*path, other)))
         return found
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,29 +133,21 @@ def dijkstra_paths(edges: DataFrame, pairs: DataFrame, *, max_edges: int = 2_000
 def paths_by_rounds(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, dist, nodes) of wanted pairs, as :func:`dijkstra_paths`, by rounds of joins over all sources at once.
 
-    Each round relaxes the edges of the nodes that came nearer to their source; then the paths are walked back, a step a round.
+    Each round relaxes the edges of the nodes that came nearer to their source, with their paths.
     """
     wanted = settle(pairs.select("source", "target").distinct())
-    best = settle(wanted.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.col("source").alias("prev")).distinct())
+    way = lambda dist, nodes: F.struct(dist.alias("dist"), F.size(nodes).alias("n"), nodes.alias("nodes"))
+    start = F.array(F.col("source").cast("long"))
+    best = settle(wanted.select("source").distinct().select("source", F.col("source").alias("node"), way(F.lit(0.0), start).alias("w")))
     front = best
     while not front.isEmpty():
-        near = front.join(edges.select("a", "b", "cost"), F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("a").alias("prev"))
-        least = near.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("n"))
-        joined = best.join(least, ["source", "node"], "full")
-        better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist")))
-        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
-        new = settle(joined.select("source", "node", pick("dist"), pick("prev"), better.alias("moved")))
-        best, front = new.drop("moved"), new.where("moved").drop("moved")
-    ends = best.withColumnRenamed("node", "target").select("source", "target", "dist")
-    open_ = settle(wanted.join(ends, ["source", "target"]).select("source", "target", "dist", F.array("target").alias("nodes")))
-    back, done = best.select("source", F.col("node").alias("at"), "prev"), None
-    while True:
-        here = open_.where(F.col("nodes")[0] == F.col("source"))
-        done = here if done is None else done.unionByName(here)
-        rest = open_.where(F.col("nodes")[0] != F.col("source"))
-        if rest.isEmpty():
-            return done
-        open_ = settle(rest.withColumn("at", F.col("nodes")[0]).join(back, ["source", "at"]).select("source", "target", "dist", F.concat(F.array("prev"), "nodes").alias("nodes")))
+        near = front.join(edges.select("a", "b", "cost"), F.col("node") == F.col("a"))
+        longer = way(F.col("w.dist") + F.col("cost"), F.concat("w.nodes", F.array(F.col("b").cast("long"))))
+        least = near.select("source", F.col("b").alias("node"), longer.alias("w")).groupBy("source", "node").agg(F.min("w").alias("new"))
+        better = F.col("new").isNotNull() & (F.col("w").isNull() | (F.col("new") < F.col("w")))
+        joined = settle(best.join(least, ["source", "node"], "full").select("source", "node", F.when(better, F.col("new")).otherwise(F.col("w")).alias("w"), better.alias("moved")))
+        best, front = joined.drop("moved"), joined.where("moved").drop("moved")
+    return wanted.join(best.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "w.dist", "w.nodes")
 
 
 def ordered_merges(tops: DataFrame, pairs: DataFrame, *, tiny: int, least_reach: float) -> DataFrame:

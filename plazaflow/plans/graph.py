@@ -73,7 +73,13 @@ def shortest_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hop_distances(_ring(t), t.nation.where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("node"))).select("node", "dist")
 
 
-@query("N2 N3 N8", None)
+@query(
+    "N2 N3 N8",
+    f"""WITH RECURSIVE p(s, n, d, path) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0.0::DOUBLE, [n_nationkey::BIGINT] FROM nation
+      UNION ALL SELECT p.s, e.b, p.d + e.cost, list_append(p.path, e.b) FROM p JOIN {_RING} e ON e.a = p.n WHERE len(p.path) < 12 AND NOT list_contains(p.path, e.b)),
+    b AS (SELECT s AS source, n AS target, min(d) AS dist, arg_min(path, (d, len(path), path)) AS path FROM p WHERE n = (s * 11 + 5) % 25 GROUP BY 1, 2)
+    SELECT source, target, dist, array_to_string(path, '>') AS path, len(list_filter(range(1, len(path)), lambda k: path[k] % 5 = path[k + 1] % 5)) > 0 AS along FROM b""",
+)
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole paths of wanted pairs, and whether two consecutive nodes lie in one region."""
     t = Tables(spark, sf_dir)

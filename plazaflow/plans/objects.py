@@ -11,6 +11,7 @@ from ..functions import scalar as S
 from ..operators import learn as L
 from ..operators import solids as D
 from ..operators import spatial as P
+from ..operators.common import settle
 from ..sources import readers
 from ..streaming import events as E
 from .registry import Tables, query
@@ -65,7 +66,13 @@ def surface_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.plane(p, "k").select("k", "n", F.round("b", 4).alias("b"))
 
 
-@query("A21 G22 A6", None)
+@query(
+    "A21 G22 A6",
+    """WITH p AS (SELECT l_suppkey AS k, l_quantity AS x, l_discount * 100 AS y, l_extendedprice AS z FROM lineitem),
+    m AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM p GROUP BY 1),
+    f AS (SELECT k, n, mx, my, mz, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM m)
+    SELECT k, n, round(quantile_cont(z - mz - b * (x - mx) - c * (y - my), 0.95) - quantile_cont(z - mz - b * (x - mx) - c * (y - my), 0.05), 3) AS thick FROM p JOIN f USING (k) GROUP BY 1, 2""",
+)
 def deck_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How thin each group is about its own plane."""
     p = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.col("l_extendedprice").alias("z"))
@@ -120,6 +127,45 @@ def gbt_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.out_of_fold(rows, ["n", "q", "s", "price"], "label", "fold", 3, trees=4, depth=3).select("p_partkey", F.round("p", 6).alias("p"))
 
 
+_PIECES = f"(SELECT c_custkey // 40 AS k, x / 400 AS x, y / 700 AS y, c_custkey * 101 % 499 / 20.0 AS h, CAST(c_custkey * 31 % 200 AS DOUBLE) AS it FROM {_CUST})"
+
+
+def _pieces(t: Tables) -> DataFrame:
+    c = _customers(t)
+    return c.select(F.floor(F.col("c_custkey") / 40).cast("long").alias("k"), (F.col("x") / 400).alias("x"), (F.col("y") / 700).alias("y"), ((F.col("c_custkey") * 101 % 499) / 20.0).alias("h"), (F.col("c_custkey") * 31 % 200).cast("double").alias("it"))
+
+
+@query(
+    "M3",
+    f"""WITH p AS {_PIECES}, c AS (SELECT k, avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS turn, quantile_cont(h, 0.05) AS h05, quantile_cont(h, 0.5) AS h50, quantile_cont(h, 0.7) AS h70, quantile_cont(h, 0.95) AS h95 FROM p GROUP BY 1),
+    q AS (SELECT p.k, h, it, cx, cy, h05, h50, h70, h95, (x - cx) * cos(turn) + (y - cy) * sin(turn) AS u, (y - cy) * cos(turn) - (x - cx) * sin(turn) AS v FROM p JOIN c USING (k)),
+    w AS (SELECT k, any_value(cx) AS cx, any_value(cy) AS cy, any_value(h05) AS h05, any_value(h50) AS h50, any_value(h95) AS h95, count(*) AS n, min(u) AS u0, max(u) - min(u) AS length, max(v) - min(v) AS width, stddev_pop(h) AS hstd,
+      CASE WHEN count(*) FILTER (h >= h70) > 2 THEN stddev_pop(h) FILTER (h >= h70) ELSE 0 END AS roof_std, avg(CASE WHEN h >= h95 - 0.3 THEN 1 ELSE 0 END) AS roof_frac, avg(it) AS i_mean, stddev_pop(it) AS i_std, quantile_cont(it, 0.9) AS i_p90 FROM q GROUP BY 1),
+    a AS (SELECT k, count(*) * 0.25 AS area FROM (SELECT DISTINCT k, floor(u / 0.5) AS i, floor(v / 0.5) AS j FROM q) GROUP BY 1),
+    r AS (SELECT q.k, length, least(floor((u - u0) / 0.4), 999) AS s, max(h) AS roof FROM q JOIN w USING (k) GROUP BY 1, 2, 3), t AS (SELECT k, roof, (s * 0.4 + 0.2) / greatest(length, 0.1) AS pos FROM r),
+    b AS (SELECT k, median(roof) FILTER (pos > 0.3 AND pos < 0.7) - greatest(median(roof) FILTER (pos <= 0.2), median(roof) FILTER (pos >= 0.8)) AS bump FROM t GROUP BY 1)
+    SELECT k, n, {", ".join(f"round(CAST({e} AS DOUBLE), 5) AS {n}" for n, e in (("bump", "bump"), ("roof_frac", "roof_frac"), ("length", "length"), ("width", "width"), ("ratio", "length / greatest(width, 0.1)"), ("area", "area"), ("fill", "area / greatest(length * width, 0.25)"), ("h95", "h95"), ("h50", "h50"), ("h05", "h05"), ("hstd", "hstd"), ("roof_std", "roof_std"), ("dens", "n / greatest(area, 0.25)"), ("i_mean", "i_mean"), ("i_std", "i_std"), ("i_p90", "i_p90"), ("cx", "cx"), ("cy", "cy")))}
+    FROM w JOIN a USING (k) JOIN b USING (k)""",
+)
+def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shape features of objects of points."""
+    f = L.shape_features(_pieces(Tables(spark, sf_dir)), "k")
+    return f.select("k", "n", *(F.round(c, 5).alias(c) for c in f.columns if c not in ("k", "n")))
+
+
+@query("M1", None)
+def trained_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of 25 trees of depth 8 over shape features: scores by its flat arrays, and by forests that have not seen a row's block."""
+    t = Tables(spark, sf_dir)
+    f = t.lineitem.groupBy("l_partkey").agg(F.count("*").cast("double").alias("n"), F.avg("l_quantity").alias("q"), F.stddev_pop("l_extendedprice").alias("s"), F.max("l_discount").alias("d"), F.avg("l_tax").alias("tax"))
+    rows = settle(t.part.join(f, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", (F.col("p_size") + F.coalesce("q", F.lit(0.0)) > 50).cast("int").alias("label"), "n", "q", "s", "d", "tax", F.col("p_retailprice").alias("price"), (F.floor(F.col("p_partkey") / 50) % 5).alias("block")))
+    names = ["n", "q", "s", "d", "tax", "price"]
+    arrays = L.forest_arrays(L.trained_forest(rows, names, "label"))
+    unseen = L.out_of_fold(rows, names, "label", "block", 5, forest=True, trees=25, depth=8)
+    seen = L.flat_forest(L.completed(rows, names), names, arrays, "score")
+    return unseen.select("p_partkey", "block", F.round("p", 6).alias("unseen")).join(seen.select("p_partkey", F.round("score", 6).alias("score")), "p_partkey")
+
+
 @query(
     "M1",
     "SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN l_quantity > 25 THEN CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END + CASE WHEN l_tax > 0.04 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) / 2 AS score FROM lineitem",

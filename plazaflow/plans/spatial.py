@@ -102,7 +102,16 @@ def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where("i between 0 and 89 and j between 0 and 89")
 
 
-@query("G11", None)
+_ALONG = "coalesce((coalesce({n}, z) - coalesce({p}, z)) / nullif((CASE WHEN {p} IS NULL THEN 0 ELSE 1 END + CASE WHEN {n} IS NULL THEN 0 ELSE 1 END) * 200.0, 0), 0)"
+
+
+@query(
+    "G11",
+    f"""WITH g AS (SELECT CAST(floor(x / 200) AS BIGINT) AS i, CAST(floor(y / 200) AS BIGINT) AS j, avg(x) AS z FROM {_CUST} GROUP BY 1, 2),
+    n AS (SELECT g.i, g.j, g.z, w.z AS west, e.z AS east, s.z AS south, n.z AS north FROM g LEFT JOIN g w ON w.i = g.i - 1 AND w.j = g.j LEFT JOIN g e ON e.i = g.i + 1 AND e.j = g.j LEFT JOIN g s ON s.i = g.i AND s.j = g.j - 1 LEFT JOIN g n ON n.i = g.i AND n.j = g.j + 1),
+    d AS (SELECT i, j, {_ALONG.format(n="east", p="west")} AS dx, {_ALONG.format(n="north", p="south")} AS dy FROM n)
+    SELECT i, j, round(255 * greatest(0, sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(315) - atan2(-dx, dy))), 4) AS shade FROM d""",
+)
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = P.raster(_customers(Tables(spark, sf_dir)), 200.0, F.avg("x").alias("z"))
     return P.slopes(g, "z", 200.0).select("i", "j", F.round(P.shade(F.col("dx"), F.col("dy")), 4).alias("shade"))
@@ -299,11 +308,31 @@ def slope_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suppliers(Tables(spark, sf_dir)).select("s_suppkey", F.round(S.tobler((x - 4500) / 30000), 9).alias("slope"), F.round(x * S.FOOT, 6).alias("metres"), F.round(x / S.SQFT_PER_M2, 6).alias("m2"))
 
 
-@query("F18", None)
+def _series(terms: list[float], xi: str, eta: str, f: str, g: str, factor: str = "{k!r}") -> str:
+    """A sum of k f(2 j xi) g(2 j eta) over a series' terms k, as SQL."""
+    return " + ".join(f"{factor.format(k=k, j=j)} * {f}({2 * j} * {xi}) * {g}({2 * j} * {eta})" for j, k in enumerate(terms, 1))
+
+
+_UTM_SQL = f"""WITH p AS (SELECT s_suppkey, 34 + x / 100000 AS lat, -118 - y / 100000 AS lon FROM {_SUPP}),
+    s AS (SELECT *, radians(lon + 117.0) AS lam, sinh(atanh(sin(radians(lat))) - {S.UTM_C!r} * atanh({S.UTM_C!r} * sin(radians(lat)))) AS t FROM p),
+    w AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM s),
+    g AS (SELECT *, 500000.0 + {S.UTM_UNIT!r} * (eta + {_series(S.UTM_ALPHA, "xi", "eta", "cos", "sinh")}) AS east, {S.UTM_UNIT!r} * (xi + {_series(S.UTM_ALPHA, "xi", "eta", "sin", "cosh")}) AS north,
+      1.0 + {_series(S.UTM_ALPHA, "xi", "eta", "cos", "cosh", "{j} * 2 * {k!r}")} AS sigma, {_series(S.UTM_ALPHA, "xi", "eta", "sin", "sinh", "{j} * 2 * {k!r}")} AS tau FROM w),
+    i AS (SELECT *, north / {S.UTM_UNIT!r} AS a, (east - 500000.0) / {S.UTM_UNIT!r} AS b FROM g),
+    j AS (SELECT *, a - ({_series(S.UTM_BETA, "a", "b", "sin", "cosh")}) AS a2, b - ({_series(S.UTM_BETA, "a", "b", "cos", "sinh")}) AS b2 FROM i),
+    k AS (SELECT *, asin(sin(a2) / cosh(b2)) AS chi FROM j)
+    SELECT s_suppkey, round(east, 3) AS east, round(north, 3) AS north, round(degrees(atan2(tau * sqrt(1 + t * t) + sigma * t * tan(lam), sigma * sqrt(1 + t * t) - tau * t * tan(lam))), 7) AS convergence,
+      round(degrees(chi + {" + ".join(f"{k!r} * sin({2 * j} * chi)" for j, k in enumerate(S.UTM_DELTA, 1))}), 8) AS lat, round(degrees(atan2(sinh(b2), cos(a2))) - 117.0, 8) AS lon FROM k"""
+
+
+@query("F18", _UTM_SQL)
 def utm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid coordinates of places around 34 N, 118 W."""
-    east, north = S.utm(34 + F.col("x") / 100_000, -118 - F.col("y") / 100_000)
-    return _suppliers(Tables(spark, sf_dir)).select("s_suppkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+    """Grid coordinates of places around 34 N, 118 W, the grid's turn there, and the degrees found back from the grid."""
+    lat, lon = 34 + F.col("x") / 100_000, -118 - F.col("y") / 100_000
+    east, north = S.utm(lat, lon)
+    placed = _suppliers(Tables(spark, sf_dir)).select("s_suppkey", east.alias("east"), north.alias("north"), S.utm_convergence(lat, lon).alias("turn"))
+    back = S.utm_inverse(F.col("east"), F.col("north"))
+    return placed.select("s_suppkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round("turn", 7).alias("convergence"), F.round(back[0], 8).alias("lat"), F.round(back[1], 8).alias("lon"))
 
 
 def _holed_sql(table: str, key: str, w: int, h: int, inset: int) -> str:
