@@ -103,3 +103,37 @@ def when_free(taken: DataFrame, wished: DataFrame, key: list[str], *, margin: fl
     told = asked.join(busy, key, "left").withColumn("_ok", F.aggregate("_asked", start, decide)["ok"])
     rows = told.select(*key, F.explode(F.arrays_zip(F.col("_asked").alias("w"), F.col("_ok").alias("ok"))).alias("r"))
     return rows.select(*key, "r.w.rank", "r.w.t0", "r.w.t1", "r.ok")
+
+
+STOPS = "array<struct<purpose:string,x:double,y:double,dwell:double,arrive:double,until:double>>"
+
+
+def chained_trips(people: DataFrame, key: str, *, speed: float, last_start: float = 84_600.0) -> DataFrame:
+    """The trips of people who go from stop to stop: (key, leg, purpose, t0, t1, fx, fy, tx, ty), legs from 1.
+
+    ``people`` have a place (x, y), a ``start`` in seconds, ``stops`` (:data:`STOPS`) and ``back``, a struct of purpose, x and y
+    or null. Each trip starts where and when the stop before has ended. A stop with ``arrive`` is reached then, if the one
+    before ends in time; a stop ends after ``dwell``, and not before ``until``, which a whole audience may share. The way back
+    is only begun before ``last_start``. One fold over a person's stops; null stops, dwells and people without a start give no trip.
+    """
+    trip = "struct<leg:int,purpose:string,t0:double,t1:double,fx:double,fy:double,tx:double,ty:double>"
+    empty = F.struct(F.col("start").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).alias("n"), F.expr(f"cast(array() as array<{trip}>)").alias("trips"))
+
+    def going(a: Column, x: Column, y: Column, purpose: Column, leave: Column, end: Column) -> Column:
+        return F.concat(a["trips"], F.array(F.struct((a["n"] + 1).alias("leg"), purpose.alias("purpose"), leave.alias("t0"), end.alias("t1"), a["x"].alias("fx"), a["y"].alias("fy"), x.alias("tx"), y.alias("ty"))))
+
+    def step(a: Column, s: Column) -> Column:
+        takes = F.hypot(s["x"] - a["x"], s["y"] - a["y"]) / speed
+        leave = F.greatest(a["t"], F.coalesce(s["arrive"] - takes, a["t"]))
+        end = leave + takes
+        free = F.greatest(end + F.coalesce(s["dwell"], F.lit(0.0)), F.coalesce(s["until"], end))
+        return F.struct(free.alias("t"), s["x"].alias("x"), s["y"].alias("y"), (a["n"] + 1).alias("n"), going(a, s["x"], s["y"], s["purpose"], leave, end).alias("trips"))
+
+    def home(a: Column) -> Column:
+        x, y = F.col("back.x").cast("double"), F.col("back.y").cast("double")
+        end = a["t"] + F.hypot(x - a["x"], y - a["y"]) / speed
+        return F.when(F.col("back").isNotNull() & (a["t"] < last_start), going(a, x, y, F.col("back.purpose"), a["t"], end)).otherwise(a["trips"])
+
+    known = F.filter(F.coalesce(F.col("stops").cast(STOPS), F.expr(f"cast(array() as {STOPS})")), lambda s: s.isNotNull() & s["x"].isNotNull() & s["y"].isNotNull())
+    walked = people.where("start is not null and x is not null and y is not null").select(key, F.aggregate(known, empty, step, home).alias("trips"))
+    return walked.select(key, F.explode("trips").alias("t")).select(key, "t.*")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import relational as R
 from ..operators import temporal as T
 from .registry import Tables, query
+from .stochastic import _u
 
 _SEC = "(extract(epoch FROM ts) - extract(epoch FROM date_trunc('day', ts)))"
 
@@ -229,3 +230,49 @@ def outings_when_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = e.where(fixed).select("user_id", "day", F.col("t").alias("t0"), (F.col("t") + 900).alias("t1"))
     wished = e.where(~fixed).select("user_id", "day", F.col("event_id").alias("rank"), F.col("t").alias("t0"), (F.col("t") + 600 + F.col("dwell")).alias("t1"))
     return T.when_free(taken, wished, ["user_id", "day"]).select("user_id", F.col("rank").alias("event_id"), "t0", "t1", "ok")
+
+
+def _stop(purpose: str, x: str, y: str, dwell: str = "0", arrive: str = "NULL", until: str = "NULL") -> str:
+    return f"{{'purpose': '{purpose}', 'x': CAST({x} AS DOUBLE), 'y': CAST({y} AS DOUBLE), 'dwell': CAST({dwell} AS DOUBLE), 'arrive': CAST({arrive} AS DOUBLE), 'until': CAST({until} AS DOUBLE)}}"
+
+
+_DRAWS = [f"u{k}" for k in range(4)]
+
+
+@query(
+    "T8",
+    f"""WITH RECURSIVE c AS (SELECT c_custkey AS id, c_nationkey AS n, c_acctbal AS x, CAST(c_custkey * 37 % 9973 AS DOUBLE) AS y, {", ".join(f"{_u(81, 'c_custkey', draw=k)} AS {u}" for k, u in enumerate(_DRAWS))} FROM customer),
+    p AS (SELECT id, CAST(CASE id % 4 WHEN 1 THEN x WHEN 3 THEN x ELSE n * 400 END AS DOUBLE) AS x, CAST(CASE id % 4 WHEN 1 THEN y WHEN 3 THEN y ELSE 0 END AS DOUBLE) AS y,
+      CASE id % 4 WHEN 0 THEN 25200 + u0 * 36000 WHEN 1 THEN 43200 WHEN 2 THEN 21600 + u0 * 57600 ELSE 27000 + u0 * 12600 END AS t,
+      CASE id % 4 WHEN 0 THEN CASE WHEN u1 < 0.4 THEN [{_stop("visit", "x", "y", "1800 + u2 * 3600")}, {_stop("visit", "y", "x", "600 + u3 * 1800")}] ELSE [{_stop("visit", "x", "y", "1800 + u2 * 3600")}] END
+        WHEN 1 THEN [{_stop("event", "n * 350", "n * 270", "0", "64800 + n % 3 * 3600 - u1 * 1800", "72000 + n % 3 * 3600")}] WHEN 2 THEN [{_stop("pass", "n * 100", "9000")}]
+        ELSE [{_stop("outing", "y", "x", "2400 + u1 * 3000")}, {_stop("leave the site", "n * 400", "0", "0", "NULL", "59400 + u2 * 21600")}] END AS stops,
+      CASE id % 4 WHEN 0 THEN 'leave the site' WHEN 2 THEN NULL ELSE 'come home' END AS purpose FROM c),
+    r(id, k, free, x, y, purpose, t0, t1, fx, fy) AS (SELECT id, 0, CAST(t AS DOUBLE), x, y, '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), x, y FROM p UNION ALL
+      SELECT id, k + 1, greatest(leave + takes + s.dwell, coalesce(s.until, leave + takes)), s.x, s.y, s.purpose, leave, leave + takes, fx, fy
+      FROM (SELECT *, greatest(free, coalesce(s.arrive - takes, free)) AS leave FROM (SELECT r.id, r.k, r.free, r.x AS fx, r.y AS fy, stops[k + 1] AS s, sqrt((stops[k + 1].x - r.x) * (stops[k + 1].x - r.x) + (stops[k + 1].y - r.y) * (stops[k + 1].y - r.y)) / 1.3 AS takes FROM r JOIN p ON p.id = r.id WHERE k < len(stops)))),
+    h AS (SELECT r.id, k + 1 AS leg, p.purpose, free AS t0, free + sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) / 1.3 AS t1, r.x AS fx, r.y AS fy, p.x AS tx, p.y AS ty FROM r JOIN p ON p.id = r.id AND r.k = len(stops) WHERE p.purpose IS NOT NULL AND free < 84600)
+    SELECT id, leg, purpose, round(t0, 4) AS t0, round(t1, 4) AS t1, round(fx, 4) AS fx, round(fy, 4) AS fy, round(tx, 4) AS tx, round(ty, 4) AS ty FROM (SELECT id, k AS leg, purpose, t0, t1, fx, fy, x AS tx, y AS ty FROM r WHERE k > 0 UNION ALL SELECT * FROM h)""",
+)
+def visit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of visitors (one stop or two), an event's audience, passers-by and hotel guests, each trip from where the one before ended."""
+    c = Tables(spark, sf_dir).customer
+    n, x, y, kind = F.col("c_nationkey"), F.col("c_acctbal"), (F.col("c_custkey") * 37 % 9973).cast("double"), F.col("c_custkey") % 4
+    u = [S.uniform(81, "c_custkey", draw=k) for k in range(4)]
+    d = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("double")
+    stop = lambda purpose, x, y, dwell=0.0, arrive=None, until=None: F.struct(F.lit(purpose).alias("purpose"), d(x).alias("x"), d(y).alias("y"), d(dwell).alias("dwell"), d(arrive).alias("arrive"), d(until).alias("until"))
+    visit = stop("visit", x, y, 1800 + u[2] * 3600)
+    event = 64_800 + n % 3 * 3600
+    stops = (
+        F.when(kind == 0, F.when(u[1] < 0.4, F.array(visit, stop("visit", y, x, 600 + u[3] * 1800))).otherwise(F.array(visit)))
+        .when(kind == 1, F.array(stop("event", n * 350, n * 270, 0.0, event - u[1] * 1800, event + 7200)))
+        .when(kind == 2, F.array(stop("pass", n * 100, 9000.0)))
+        .otherwise(F.array(stop("outing", y, x, 2400 + u[1] * 3000), stop("leave the site", n * 400, 0.0, 0.0, None, 59_400 + u[2] * 21_600)))
+    )
+    own = (kind == 1) | (kind == 3)
+    at = F.when(own, x).otherwise(n * 400).cast("double"), F.when(own, y).otherwise(0.0)
+    start = F.when(kind == 0, 25_200 + u[0] * 36_000).when(kind == 1, 43_200.0).when(kind == 2, 21_600 + u[0] * 57_600).otherwise(27_000 + u[0] * 12_600)
+    back = F.when(kind != 2, F.struct(F.when(kind == 0, "leave the site").otherwise("come home").alias("purpose"), at[0].alias("x"), at[1].alias("y")))
+    people = c.select(F.col("c_custkey").alias("id"), at[0].alias("x"), at[1].alias("y"), start.alias("start"), stops.alias("stops"), back.alias("back"))
+    trips = T.chained_trips(people, "id", speed=1.3)
+    return trips.select("id", "leg", "purpose", *(F.round(v, 4).alias(v) for v in ("t0", "t1", "fx", "fy", "tx", "ty")))
