@@ -6,6 +6,7 @@ pair is looked at that is further apart than two cells. A crowded cell is a skew
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -280,8 +281,44 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half
 
 
-def hulls(points: DataFrame, key: str) -> DataFrame:
-    """Each group's convex hull. Every task hulls its own rows first, so a group of any size comes down to corners."""
+def reduced_hull(hull: list[tuple[float, float]], most: int) -> list[tuple[float, float]]:
+    """A convex polygon with at most ``most`` corners (three at least): the corner whose triangle with its neighbours is least goes first.
+
+    Its neighbours' triangles change with it, and are measured anew; ties go to the corner that comes first.
+    """
+    n, most = len(hull), max(3, most)
+    before, after = [(k - 1) % n for k in range(n)], [(k + 1) % n for k in range(n)]
+
+    def triangle(k: int) -> float:
+        (ax, ay), (bx, by), (cx, cy) = hull[before[k]], hull[k], hull[after[k]]
+        return abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2
+
+    size = [triangle(k) for k in range(n)] if n > most else []
+    heap = [(s, k) for k, s in enumerate(size)]
+    heapq.heapify(heap)
+    left, gone = n, set()
+    while left > most:
+        s, k = heapq.heappop(heap)
+        if k in gone or s != size[k]:
+            continue  # measured anew since
+        gone.add(k)
+        left -= 1
+        before[after[k]], after[before[k]] = before[k], after[k]
+        for other in (before[k], after[k]):
+            size[other] = triangle(other)
+            heapq.heappush(heap, (size[other], other))
+    return [p for k, p in enumerate(hull) if k not in gone]
+
+
+def _ring_size(corners: list[tuple[float, float]]) -> float:
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
+
+
+def hulls(points: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """Each group's convex hull: its corners and area, and those of the hull reduced to ``most`` corners.
+
+    Every task hulls its own rows first, so a group of any size comes down to corners.
+    """
     schema = f"{key} long, x double, y double"
 
     def partial(batches):  # noqa: ANN001, ANN202
@@ -291,11 +328,11 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         corners = convex_hull(list(zip(pdf.x, pdf.y, strict=True)))
-        area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
-        return pd.DataFrame([(pdf[key][0], len(corners), area)], columns=[key, "corners", "area"])
+        few = reduced_hull(corners, most)
+        return pd.DataFrame([(pdf[key][0], len(corners), _ring_size(corners), len(few), _ring_size(few))], columns=[key, "corners", "area", "kept", "kept_area"])
 
     source = points.select(F.col(key).cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
-    return source.mapInPandas(partial, schema).groupBy(key).applyInPandas(final, f"{key} long, corners int, area double")
+    return source.mapInPandas(partial, schema).groupBy(key).applyInPandas(final, f"{key} long, corners int, area double, kept int, kept_area double")
 
 
 def principal_extent(df: DataFrame, key: str) -> DataFrame:

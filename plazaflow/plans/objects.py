@@ -35,7 +35,15 @@ def height_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.height_tiers(cells.where("z is not null"), "k", 2.0, 4)
 
 
-@query("W14 W15 G16", None)
+@query(
+    "W14 W15 G16",
+    f"""WITH s AS (SELECT DISTINCT c_nationkey::BIGINT AS k, CAST(floor(x / 600) AS BIGINT) AS level, CAST(floor(y / 400) AS BIGINT) AS i, c_custkey % 5 AS j FROM {_CUST}),
+    top AS (SELECT k, i, j, max(level) AS level FROM s GROUP BY ALL), l AS (SELECT DISTINCT k, level FROM s),
+    n AS (SELECT l.k, l.level, count(*) AS n FROM l JOIN top ON top.k = l.k AND top.level >= l.level GROUP BY 1, 2),
+    d AS (SELECT *, coalesce(n - lag(n) OVER w < 0.03 * n, FALSE) AS joins FROM n WINDOW w AS (PARTITION BY k ORDER BY level DESC)),
+    g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY level DESC) AS run FROM d)
+    SELECT k, min(level) AS low, max(level) AS high, arg_max(n, level) AS cells FROM g GROUP BY k, run""",
+)
 def carried_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines from the top down, each with all that stands above."""
     c = _customers(Tables(spark, sf_dir))
@@ -43,7 +51,13 @@ def carried_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.carried_outlines(slices, "k", 0.03)
 
 
-@query("G17", None)
+@query(
+    "G17",
+    f"""WITH p AS (SELECT c_nationkey::BIGINT AS k, CAST(floor(x / 150) AS BIGINT) AS pos, CAST(count(*) AS DOUBLE) AS v FROM {_CUST} GROUP BY 1, 2),
+    m AS (SELECT k, list(v ORDER BY pos) AS v, avg(v) AS mean FROM p GROUP BY 1), c AS (SELECT k, list_transform(v, lambda x: x - mean) AS v FROM m),
+    l AS (SELECT k, lag, list_sum(list_transform(range(1, len(v) - lag + 1), lambda n: v[n] * v[n + lag])) / nullif(list_sum(list_transform(v, lambda x: x * x)), 0) AS s FROM c, range(2, 21) r(lag) WHERE lag <= len(v) - 1)
+    SELECT c.k, CAST(arg_max(lag, (round(s, 9), -lag)) AS INTEGER) AS period, round(arg_max(s, (round(s, 9), -lag)), 6) AS strength FROM c LEFT JOIN l USING (k) GROUP BY 1""",
+)
 def storey_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(Tables(spark, sf_dir)).groupBy(F.col("c_nationkey").cast("long").alias("k"), F.floor(F.col("x") / 150).cast("long").alias("pos")).agg(F.count("*").cast("double").alias("v"))
     return D.repeat_period(c, "k", 2, 20).withColumn("strength", F.round("strength", 6))

@@ -250,9 +250,24 @@ def principal_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("c_nationkey", "n", F.round("length", 4).alias("length"), F.round("width", 4).alias("width"))
 
 
-@query("G4", None)
+_TURN = "(({q}.x - {p}.x) * ({r}.y - {p}.y) - ({q}.y - {p}.y) * ({r}.x - {p}.x))"
+_RING_SQL = "round(abs(list_sum(list_transform(range(1, len({r}) + 1), lambda n: {r}[n].x * {r}[n % len({r}) + 1].y - {r}[n % len({r}) + 1].x * {r}[n].y))) / 2, 3)"
+
+
+@query(
+    "G4",
+    f"""WITH RECURSIVE p AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS k, x, y FROM {_CUST}),
+    e AS (SELECT a.k, a.x, a.y FROM p a JOIN p b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.k = a.k GROUP BY a.k, a.x, a.y, b.x, b.y
+      HAVING bool_and({_TURN.format(p="a", q="b", r="c")} > 0 OR ({_TURN.format(p="a", q="b", r="c")} = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0))),
+    ends AS (SELECT k, min({{'x': x, 'y': y}}) AS a, max({{'x': x, 'y': y}}) AS b FROM e GROUP BY k), s AS (SELECT e.k, e.x, e.y, {_TURN.format(p="ends.a", q="ends.b", r="e")} > 0 AS upper FROM e JOIN ends USING (k)),
+    ring AS (SELECT k, list({{'x': x, 'y': y}} ORDER BY upper, CASE WHEN upper THEN -x ELSE x END, CASE WHEN upper THEN -y ELSE y END) AS r FROM s GROUP BY k),
+    cut(k, r) AS (SELECT k, r FROM ring UNION ALL SELECT k, list_filter(r, lambda p, n: n <> worst) FROM (SELECT k, r, list_sort(list_transform(range(1, len(r) + 1), lambda n: {{'a': abs({_TURN.format(p="r[(n + len(r) - 2) % len(r) + 1]", q="r[n]", r="r[n % len(r) + 1]")}), 'n': n}}))[1].n AS worst FROM cut WHERE len(r) > 12))
+    SELECT ring.k, CAST(len(ring.r) AS INTEGER) AS corners, {_RING_SQL.format(r="ring.r")} AS area, CAST(len(last.r) AS INTEGER) AS kept, {_RING_SQL.format(r="last.r")} AS kept_area FROM ring JOIN (SELECT k, arg_min(r, len(r)) AS r FROM cut GROUP BY k) last USING (k)""",
+)
 def convex_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.hulls(_customers(Tables(spark, sf_dir)).withColumnRenamed("c_nationkey", "k"), "k").withColumn("area", F.round("area", 4))
+    """Each nation's hull, and what is left of it with twelve corners at most."""
+    found = P.hulls(_customers(Tables(spark, sf_dir)).withColumnRenamed("c_nationkey", "k"), "k")
+    return found.withColumns({c: F.round(c, 3) for c in ("area", "kept_area")})
 
 
 @query("G6 G7", f"SELECT CAST(floor(h / 50) AS BIGINT) AS slice, round(median(z), 6) AS ground, count(*) AS n FROM (SELECT (x - 4500) * 0.6 + (y - 5000) * 0.8 AS h, (y - 5000) * 0.6 - (x - 4500) * 0.8 AS depth, x AS z FROM {_CUST}) WHERE abs(depth) <= 900 GROUP BY 1 HAVING count(*) >= 3")
