@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import in_ring
+
 
 def height_tiers(cells: DataFrame, key: str, gap: float, least_area: int) -> DataFrame:
     """Cells of each object cut into tiers at height gaps; tiers of fewer cells join the next lower one, the lowest the next higher."""
@@ -109,3 +111,47 @@ def grown(seeds: DataFrame, cells: DataFrame, rounds: int, step: Column) -> Data
         front = new.select("i", "j", "h", F.lit(ring).alias("ring"))
         reached = reached.unionByName(front)
     return reached
+
+
+def walls(tiers: DataFrame, key: str, *, least_length: float = 0.5, least_height: float = 1.0, inward: float = 0.3, outward: float = 0.6) -> DataFrame:
+    """The walls of objects' tiers (``key``, tier, rings, base, top): (key, tier, wall, ax, ay, bx, by, nx, ny, z0, z1).
+
+    A wall is an edge of a ring, numbered from 0, with the normal (nx, ny) that points away from the tier. It begins at the
+    tier's base, or at the top of the highest other tier of the object that stands right outside of it, and is dropped where
+    less than ``least_height`` is left. Rings are joined by the even-odd rule; edges shorter than ``least_length`` are no walls.
+    """
+    def inside(rings: Column, x: Column, y: Column) -> Column:
+        return F.aggregate(F.transform(rings, lambda r: in_ring(x, y, r).cast("int")), F.lit(0), lambda a, v: a + v) % 2 == 1
+
+    ends = F.flatten(F.transform("rings", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.struct(F.get(r, k).alias("a"), F.get(r, F.pmod(k + 1, F.size(r))).alias("b")))))
+    e = tiers.where("rings is not null").select(key, "tier", "rings", "base", "top", F.posexplode(ends).alias("wall", "e")).select(key, "tier", "rings", "base", "top", "wall", *(F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"))
+    long = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    e = e.withColumn("_l", long).where(F.col("_l") >= least_length).withColumns({"nx": (F.col("by") - F.col("ay")) / F.col("_l"), "ny": (F.col("ax") - F.col("bx")) / F.col("_l"), "mx": (F.col("ax") + F.col("bx")) / 2, "my": (F.col("ay") + F.col("by")) / 2})
+    turn = F.when(inside(F.col("rings"), F.col("mx") + inward * F.col("nx"), F.col("my") + inward * F.col("ny")), -1.0).otherwise(1.0)
+    e = e.withColumn("_s", turn).withColumns({"nx": F.col("_s") * F.col("nx"), "ny": F.col("_s") * F.col("ny")}).drop("rings", "_s", "_l")
+    others = tiers.select(F.col(key).alias("_k"), F.col("tier").alias("_t"), F.col("rings").alias("_r"), F.col("top").alias("_top"))
+    beside = (F.col(key) == F.col("_k")) & (F.col("tier") != F.col("_t")) & inside(F.col("_r"), F.col("mx") + outward * F.col("nx"), F.col("my") + outward * F.col("ny"))
+    names = [key, "tier", "wall", "ax", "ay", "bx", "by", "nx", "ny"]
+    stood = e.join(others, beside, "left").groupBy(*names, "base", "top").agg(F.max("_top").alias("_m"))
+    return stood.select(*names, F.coalesce("_m", "base").alias("z0"), F.col("top").alias("z1")).where(F.col("z1") - F.col("z0") > least_height)
+
+
+def snapped_walls(walls_: DataFrame, points: DataFrame, key: str, *, most: float = 2.5, ends: float = 0.5, under: float = 1.5, least_points: int = 8, size: float = 5.0) -> DataFrame:
+    """``walls_`` with ``near``, the measured points (key, x, y, z) beside each, and ``shift``, how far outward it moves onto them.
+
+    A point counts if it stands within ``most`` of the wall's line, no more than ``ends`` past its ends, above its foot and
+    ``under`` its top. The shift is the median of the points' distances, 0 for fewer than ``least_points``. Walls are sent to
+    the cells that they pass by, points to their own; so an object of many points is many keys.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - most - ends) / size).cast("long"), F.floor((F.greatest(a, b) + most + ends) / size).cast("long")))
+    sent = walls_.select("*", span("ax", "bx").alias("_i")).select("*", span("ay", "by").alias("_j"))
+    here = points.select(key, F.floor(F.col("x") / size).cast("long").alias("_i"), F.floor(F.col("y") / size).cast("long").alias("_j"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"))
+    long = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    dx, dy = F.col("_x") - F.col("ax"), F.col("_y") - F.col("ay")
+    along = (dx * (F.col("bx") - F.col("ax")) + dy * (F.col("by") - F.col("ay"))) / long
+    off = dx * F.col("nx") + dy * F.col("ny")
+    pairs = sent.join(here, [key, "_i", "_j"]).withColumns({"_along": along, "_off": off, "_long": long})
+    found = pairs.where((F.col("_along") > -ends) & (F.col("_along") < F.col("_long") + ends) & (F.abs("_off") < most) & (F.col("_z") > F.col("z0")) & (F.col("_z") < F.col("z1") - under))
+    counted = found.groupBy(key, "tier", "wall").agg(F.count("*").alias("near"), F.median("_off").alias("_m"))
+    joined = walls_.join(counted, [key, "tier", "wall"], "left")
+    return joined.select(*walls_.columns, F.coalesce("near", F.lit(0)).alias("near"), F.when(F.col("near") >= least_points, F.col("_m")).otherwise(0.0).alias("shift"))

@@ -51,6 +51,35 @@ def carried_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.carried_outlines(slices, "k", 0.03)
 
 
+_TIERS = f"(SELECT s_suppkey AS k, t AS tier, x + 12 * t AS x0, y + 8 * t AS y0, x + 60 - 15 * t AS x1, y + 40 - 8 * t AS y1, t * 30.0 AS base, (t + 1) * 30.0 AS top FROM {_SUPP}, range(0, 2) r(t) UNION ALL SELECT s_suppkey, 2, x + 60, y, x + 75, y + 20, 0.0, 12.0 + s_suppkey % 30 FROM {_SUPP})"
+_WALL_POINTS = "(SELECT l_suppkey AS k, s.x + CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 1.2 WHEN 1 THEN 60 + o WHEN 2 THEN l_quantity * 1.2 ELSE -o END AS x, s.y + CASE l_linenumber % 4 WHEN 0 THEN -o WHEN 1 THEN l_quantity * 0.8 WHEN 2 THEN 40 + o ELSE l_quantity * 0.8 END AS y, l_extendedprice % 55 AS z FROM (SELECT *, l_discount * 10 + l_suppkey % 3 - 1 AS o FROM lineitem) l JOIN {s} s ON s.s_suppkey = l_suppkey)"
+
+
+@query(
+    "G17",
+    f"""WITH t AS {_TIERS}, p AS {_WALL_POINTS.replace("{s}", _SUPP)},
+    e AS (SELECT *, 0 AS wall, x0 AS ax_, y0 AS ay_, x1 AS bx_, y0 AS by_, 0 AS nx, -1 AS ny FROM t UNION ALL SELECT *, 1, x1, y0, x1, y1, 1, 0 FROM t UNION ALL SELECT *, 2, x1, y1, x0, y1, 0, 1 FROM t UNION ALL SELECT *, 3, x0, y1, x0, y0, -1, 0 FROM t),
+    f AS (SELECT e.k, e.tier, e.wall, e.ax_, e.ay_, e.bx_, e.by_, e.nx, e.ny, coalesce(max(o.top), e.base) AS z0, e.top AS z1 FROM e LEFT JOIN t o ON o.k = e.k AND o.tier <> e.tier AND (e.ax_ + e.bx_) / 2 + 0.6 * e.nx > o.x0 AND (e.ax_ + e.bx_) / 2 + 0.6 * e.nx < o.x1 AND (e.ay_ + e.by_) / 2 + 0.6 * e.ny > o.y0 AND (e.ay_ + e.by_) / 2 + 0.6 * e.ny < o.y1 GROUP BY e.k, e.tier, e.wall, e.ax_, e.ay_, e.bx_, e.by_, e.nx, e.ny, e.base, e.top),
+    w AS (SELECT *, sqrt((bx_ - ax_) * (bx_ - ax_) + (by_ - ay_) * (by_ - ay_)) AS len FROM f WHERE z1 - z0 > 1),
+    n AS (SELECT w.k, tier, wall, count(*) AS near, median((p.x - ax_) * nx + (p.y - ay_) * ny) AS m FROM w JOIN p ON p.k = w.k AND ((p.x - ax_) * (bx_ - ax_) + (p.y - ay_) * (by_ - ay_)) / len > -0.5 AND ((p.x - ax_) * (bx_ - ax_) + (p.y - ay_) * (by_ - ay_)) / len < len + 0.5 AND abs((p.x - ax_) * nx + (p.y - ay_) * ny) < 2.5 AND z > z0 AND z < z1 - 1.5 GROUP BY 1, 2, 3)
+    SELECT w.k, CAST(w.tier AS INTEGER) AS tier, w.wall, CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny, CAST(z0 AS DOUBLE) AS z0, CAST(z1 AS DOUBLE) AS z1, coalesce(near, 0) AS near, round(CASE WHEN near >= 8 THEN m ELSE 0 END, 4) + 0.0 AS shift FROM w LEFT JOIN n USING (k, tier, wall)""",
+)
+def facade_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls of stepped buildings with an annex, from the roofs that they stand on, and how far they move onto measured points."""
+    t = Tables(spark, sf_dir)
+    s = _suppliers(t)
+    x, y, k = F.col("x"), F.col("y"), F.col("s_suppkey")
+    ring = lambda x0, y0, x1, y1: F.array(F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1)))))
+    tier = lambda n, rings, base, top: s.select(k.alias("k"), F.lit(n).alias("tier"), rings.alias("rings"), base.cast("double").alias("base"), top.cast("double").alias("top"))
+    tiers = tier(0, ring(x, y, x + 60, y + 40), F.lit(0), F.lit(30)).unionByName(tier(1, ring(x + 12, y + 8, x + 45, y + 32), F.lit(30), F.lit(60))).unionByName(tier(2, ring(x + 60, y + 0, x + 75, y + 20), F.lit(0), 12 + k % 30))
+    side, q, o = F.col("l_linenumber") % 4, F.col("l_quantity"), F.col("l_discount") * 10 + F.col("l_suppkey") % 3 - 1
+    px = F.when((side == 0) | (side == 2), q * 1.2).when(side == 1, 60 + o).otherwise(-o)
+    py = F.when(side == 0, -o).when(side == 2, 40 + o).otherwise(q * 0.8)
+    points = t.lineitem.join(s, F.col("l_suppkey") == k).select(F.col("l_suppkey").alias("k"), (x + px).alias("x"), (y + py).alias("y"), (F.col("l_extendedprice") % 55).alias("z"))
+    found = D.snapped_walls(D.walls(tiers, "k"), points, "k")
+    return found.select("k", "tier", "wall", *((F.col(c) + 0.0).alias(c) for c in ("nx", "ny", "z0", "z1")), "near", (F.round("shift", 4) + 0.0).alias("shift"))
+
+
 @query(
     "G17",
     f"""WITH p AS (SELECT c_nationkey::BIGINT AS k, CAST(floor(x / 150) AS BIGINT) AS pos, CAST(count(*) AS DOUBLE) AS v FROM {_CUST} GROUP BY 1, 2),
