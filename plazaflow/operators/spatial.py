@@ -154,7 +154,7 @@ def ring_length(ring: Column) -> Column:
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test of a point against an array of (x, y) structs."""
+    """Even-odd test of a point against an array of (x, y) structs. Left and lower sides belong to a ring, right and upper ones don't."""
     n = F.size(ring)
 
     def crosses(k: Column) -> Column:

@@ -24,7 +24,9 @@ def sentence_with(text: Column, word: Column, clip: int = 200) -> Column:
 def word_pairs(text: Column) -> Column:
     """The set of pairs of neighbouring words, lower-cased."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda k: F.concat_ws(" ", F.get(words, k), F.get(words, k + 1)))))
+    # two runs over the words, as looking each up by its place would split the text anew
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, F.array_distinct(pairs))
 
 
 def mentions(docs: DataFrame, doc: str, names: DataFrame, name: str) -> DataFrame:
