@@ -85,7 +85,7 @@ def facade_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH p AS (SELECT c_nationkey::BIGINT AS k, CAST(floor(x / 150) AS BIGINT) AS pos, CAST(count(*) AS DOUBLE) AS v FROM {_CUST} GROUP BY 1, 2),
     m AS (SELECT k, list(v ORDER BY pos) AS v, avg(v) AS mean FROM p GROUP BY 1), c AS (SELECT k, list_transform(v, lambda x: x - mean) AS v FROM m),
     l AS (SELECT k, lag, list_sum(list_transform(range(1, len(v) - lag + 1), lambda n: v[n] * v[n + lag])) / nullif(list_sum(list_transform(v, lambda x: x * x)), 0) AS s FROM c, range(2, 21) r(lag) WHERE lag <= len(v) - 1)
-    SELECT c.k, CAST(arg_max(lag, (round(s, 9), -lag)) AS INTEGER) AS period, round(arg_max(s, (round(s, 9), -lag)), 6) AS strength FROM c LEFT JOIN l USING (k) GROUP BY 1""",
+    SELECT c.k, CAST(arg_max(lag, (round(s, 9), -lag)) AS INTEGER) AS period, round(arg_max(s, (round(s, 9), -lag)), 6) AS strength FROM c LEFT JOIN (SELECT * FROM l WHERE s IS NOT NULL) l USING (k) GROUP BY 1""",
 )
 def storey_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(Tables(spark, sf_dir)).groupBy(F.col("c_nationkey").cast("long").alias("k"), F.floor(F.col("x") / 150).cast("long").alias("pos")).agg(F.count("*").cast("double").alias("v"))
