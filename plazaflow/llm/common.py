@@ -80,12 +80,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_chars: int = 48_000_000) -> list[tuple[int, str, int]]:
-    """At most ``per_class`` learning rows of each label with their whole texts, as (doc_id, text, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_chars: int = 48_000_000) -> DataFrame:
+    """At most ``per_class`` learning rows of each label with their whole texts: doc_id, text, label.
 
     Rows are taken in the order of a hash of doc_id, so the sample is the same on every run. Rows without an id, a
     text or a label, and labels that contradict each other, are left out. Of rows that share an id one counts. The bounds,
-    also of ``most_chars`` characters in all (:func:`bounded_texts`), keep what comes to the driver small.
+    also of ``most_chars`` characters in all (:func:`bounded_sample`), keep the sample small enough for one task or the driver.
     """
     clean = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
@@ -101,16 +101,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     # of the rows that share an id one is taken, before anything comes to the driver
     one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
-    return bounded_texts(one, most_chars)
+    return bounded_sample(one, most_chars)
 
 
 def bounded_texts(chosen: DataFrame, most_chars: int, part: int = 20) -> list[tuple]:
+    """:func:`bounded_sample`'s rows, sorted."""
+    return sorted((r.doc_id, r.text, r.label) for r in bounded_sample(chosen, most_chars, part).collect())
+
+
+def bounded_sample(chosen: DataFrame, most_chars: int, part: int = 20) -> DataFrame:
     """Rows (doc_id, text, label) that have ``most_chars`` characters together at most, an equal share of them for each label.
 
     A label's rows are gone through in the order of a hash of their ids. Left out are texts of more than a ``part``-th of the
     label's share, and those that no longer fit into it; the others stay, however long a text among them is. If all texts of
     a label are that long, its shortest ones that fit into the share are taken. ``chosen`` is a bounded table: its ids and lengths come to the
-    driver, and then the texts that are taken.
+    driver, no texts.
     """
     sizes = durable(chosen.withColumn("_size", F.length("text")).withColumn("_order", F.xxhash64("doc_id")))
     by_label: dict = {}
@@ -125,8 +130,5 @@ def bounded_texts(chosen: DataFrame, most_chars: int, part: int = 20) -> list[tu
             if size <= left:
                 taken.append((doc_id, label))
                 left -= size
-    if not taken:
-        return []
     ids = sizes.sparkSession.createDataFrame(taken, sizes.select("doc_id", "label").schema)
-    found = sizes.join(F.broadcast(ids), ["doc_id", "label"]).select("doc_id", "text", "label").collect()
-    return sorted((r.doc_id, r.text, r.label) for r in found)
+    return sizes.join(F.broadcast(ids), ["doc_id", "label"]).select("doc_id", "text", "label")

@@ -21,6 +21,7 @@ scores; a table without labels of both kinds scores 0 throughout. Other columns
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -343,12 +344,23 @@ def document_values(model: dict, texts: list[str]) -> tuple[np.ndarray, list[str
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, most_chars: int = 8_000_000, label: str = "toxic") -> dict | None:
     """The scoring model, learnt from at most ``per_class`` documents of each label, ``most_chars`` characters in all, among those that ``learn`` admits.
 
-    ``learn`` is a condition on ``labels``' doc_id. The share of label 1 is counted over all admitted labels.
+    ``learn`` is a condition on ``labels``' doc_id. The share of label 1 is counted over all admitted labels. A text of more
+    than a twentieth of its label's half of ``most_chars`` is not learnt from (it is scored whole, as all are). One task
+    trains, as the sample is bounded; only the model comes to the driver.
     """
+    share = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    if share is None:
+        return None
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = train(rows, float(share)) if rows else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
     sample = labelled_sample(docs, labels, label, learn, per_class, most_chars)
+    found = in_batches(sample.repartition(1), trained, "model binary").first()
     release(docs.sparkSession)
-    share = labels.where(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    return train(sample, float(share)) if sample else None
+    return pickle.loads(found.model) if found else None
 
 
 def score_texts(model: dict | None, texts: list[str | None]) -> tuple[list[float], list[str]]:
