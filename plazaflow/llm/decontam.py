@@ -278,8 +278,8 @@ def contamination(
     return joined.withColumn("spans", fold).drop("part", "ordinal")
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and near_items from :func:`contamination`'s rows."""
+def digest(found: DataFrame, *, near: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from :func:`contamination`'s rows; with ``near`` also n_near and near_items."""
     listed = lambda c: F.array_join(F.array_sort(F.transform(c, lambda i: i.cast("string"))), ",")
     names = listed("items")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -290,8 +290,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
-        F.size("near").cast("long").alias("n_near"),
-        listed("near").alias("near_items"),
+        *((F.size("near").cast("long").alias("n_near"), listed("near").alias("near_items")) if near else ()),
     )
 
 

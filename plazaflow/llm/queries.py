@@ -23,7 +23,7 @@ def _vocabulary() -> tuple[str, str]:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, digest
 
-    return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10, slop=5))
+    return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10, slop=5), near=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,27 @@ def test_proximity_finds_what_phrases_miss(spark):
     assert got == {1: ([], [9]), 2: ([], []), 3: ([9], [9])}
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = ["a", "b", "c", "d", "e", "f", "g"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))) for i in range(25)]
+    for window, slop in ((4, 2), (10, 0), (6, 5)):
+        want = {}
+        for doc, text in docs:
+            w, near = text.split(), set()
+            for item, other in items:
+                o = other.split()
+                for at in range(max(1, len(o) - window + 1)):
+                    terms = o[at : at + window]
+                    near |= {item for k in range(len(w)) if set(terms) <= set(w[k : k + len(terms) + slop])}
+            want[doc] = sorted(near)
+        found = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=window, slop=slop, shard_words=300)
+        assert {r.doc_id: sorted(r.near) for r in found.collect()} == want
+        digest = decontam.digest(found, near=True).first()
+        assert digest.n_near == len(want[digest.doc_id]) and digest.near_items == ",".join(sorted(map(str, want[digest.doc_id])))
+
+
 # --- packing
 
 
