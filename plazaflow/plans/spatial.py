@@ -53,9 +53,15 @@ def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest site at about the same level to which there is no edge yet."""
     t = Tables(spark, sf_dir)
-    edges = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_s_suppkey")).distinct()
-    pairs = P.within(_customers(t), _suppliers(t), 700.0).where("abs(c_nationkey - s_s_nationkey) < 8").join(edges, ["c_custkey", "s_s_suppkey"], "left_anti")
-    return pairs.groupBy("c_custkey").agg(F.min_by("s_s_suppkey", F.struct("dist", "s_s_suppkey")).alias("s_suppkey"))
+    keys = ["c_custkey", "s_s_suppkey"]
+    edges = settle(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_s_suppkey")))
+
+    def allowed(pairs):  # noqa: ANN001, ANN202
+        level = settle(pairs.where("abs(c_nationkey - s_s_nationkey) < 8").select(*keys, "dist"))
+        # edges of pairs, which are few, not pairs without any of the edges
+        return level.join(edges.join(level.select(*keys), keys, "left_semi"), keys, "left_anti")
+
+    return P.nearest(_customers(t), _suppliers(t), "c_custkey", "s_suppkey", None, settle, most=700.0, allowed=allowed).select("c_custkey", "s_suppkey")
 
 
 _CELLS = f"SELECT CAST(floor(x / 100) AS BIGINT) AS i, CAST(floor(y / 100) AS BIGINT) AS j, max(x) AS hi, min(x) AS lo, count(*) AS n FROM {_CUST} GROUP BY 1, 2"
