@@ -41,8 +41,13 @@ def nearest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J11", f"SELECT a.c_custkey, count(*) AS near FROM {_CUST} a JOIN {_CUST} b ON a.c_custkey <> b.c_custkey AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 150 GROUP BY 1")
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many others stand within a radius."""
-    c = _customers(Tables(spark, sf_dir)).select("c_custkey", "x", "y")
-    return P.within(c, c, 150.0).where("c_custkey <> s_c_custkey").groupBy("c_custkey").agg(F.count("*").alias("near"))
+    c = _customers(Tables(spark, sf_dir)).select(F.col("c_custkey").alias("id"), "x", "y")
+
+    def others(id_, r_id, x, y, squares, starts):  # noqa: ANN001, ANN202
+        return {"c_custkey": id_[starts], "near": np.add.reduceat((id_ != r_id).astype(np.int64), starts)}
+
+    counts = P.circle_folds(c, c, 150.0, others, "c_custkey long, near long")
+    return counts.groupBy("c_custkey").agg(F.sum("near").alias("near")).where("near > 0")
 
 
 @query(
