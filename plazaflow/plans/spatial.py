@@ -188,9 +188,9 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best overlap above a share, all overlaps above a floor, and the covered share of each box."""
     t = Tables(spark, sf_dir)
     box = lambda d, k, l, b, r, u: d.select(F.col(k).alias("id"), (F.col("x") + l).alias("x0"), (F.col("y") + b).alias("y0"), (F.col("x") + r).alias("x1"), (F.col("y") + u).alias("y1"))  # noqa: E731, E741
-    o = P.box_overlaps(box(_customers(t), "c_custkey", 0, 0, 150, 80), box(_suppliers(t), "s_suppkey", -300, -300, 300, 300), 300.0)
-    best = F.when(F.max("area") >= 3600, F.max_by("r_id", F.struct(F.round("area", 4), -F.col("r_id"))))
-    return o.groupBy("id").agg(best.alias("best"), F.count(F.when(F.col("area") >= 1200, 1)).alias("parts"), F.round(F.sum("area") / 12000, 6).alias("share"))
+    o = P.box_folds(box(_customers(t), "c_custkey", 0, 0, 150, 80), box(_suppliers(t), "s_suppkey", -300, -300, 300, 300), 300.0, _best_overlap(4, 1200.0), "id long, top double, rounded long, best long, parts long, total double")
+    best = F.when(F.max("top") >= 3600, F.max_by("best", F.struct("rounded", -F.col("best"))))
+    return o.groupBy("id").agg(best.alias("best"), F.sum("parts").alias("parts"), F.round(F.sum("total") / 12000, 6).alias("share"))
 
 
 @query("G3 J5", None)
