@@ -35,7 +35,7 @@ def knn_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest at any distance, by a growing radius instead of a cross join."""
     t = Tables(spark, sf_dir)
-    return P.nearest(_customers(t), _suppliers(t), "c_custkey", "s_suppkey", 400.0, settle).withColumn("dist", F.round("dist", 6))
+    return P.nearest(_customers(t), _suppliers(t), "c_custkey", "s_suppkey", None, settle).withColumn("dist", F.round("dist", 6))
 
 
 @query("J11", f"SELECT a.c_custkey, count(*) AS near FROM {_CUST} a JOIN {_CUST} b ON a.c_custkey <> b.c_custkey AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 150 GROUP BY 1")
