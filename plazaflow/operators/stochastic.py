@@ -32,6 +32,28 @@ def softmin_choice(pairs: DataFrame, chooser: list[str], candidate: str, cost: C
     return pairs.groupBy(*chooser).agg(F.min_by(candidate, F.struct(gumbel(cost / scale, u), candidate)).alias(candidate))
 
 
+def least_options(options: Column, cost: Callable[[Column], Column], candidate: str) -> Column:
+    """The struct (k, s) of the least cost and its candidate (ties: smaller id) in an array of structs; null costs don't count."""
+    every = F.transform(options, lambda o: F.struct(cost(o).alias("k"), o[candidate].alias("s")))
+    return F.array_min(F.filter(every, lambda c: c["k"].isNotNull()))
+
+
+def with_options(people: DataFrame, options: DataFrame, key: str, match: tuple[str, str], block: int = 512) -> DataFrame:
+    """``people`` with the options whose ``match`` column equals theirs, as arrays ``options`` of some ``block`` structs: a row a block, not a pair.
+
+    Choices are made in a row by :func:`least_options`, so that only a block's winner is aggregated and no pair is sorted or
+    shuffled. The few values of ``match`` don't limit the tasks: people are dealt by their key too, options go to each deal.
+    """
+    own, other = match
+    tasks = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = options.groupBy(other).count().select(F.col(other).alias("_of"), F.ceil(F.col("count") / block).alias("_n"))
+    dealt = options.join(size, F.col(other) == F.col("_of")).withColumn("_block", F.pmod(F.xxhash64(*options.columns), F.col("_n")))
+    blocks = dealt.groupBy(F.col(other).alias("_of"), "_block").agg(F.collect_list(F.struct(*options.columns)).alias("options"))
+    sent = blocks.select("_of", "options", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_to"))
+    asked = people.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(tasks)).cast("int")).repartition(tasks, own, "_deal")
+    return asked.join(sent.repartition(tasks, "_of", "_to"), (F.col(own) == F.col("_of")) & (F.col("_deal") == F.col("_to"))).drop("_deal", "_to", "_of")
+
+
 def inverse_cdf(weights: DataFrame, group: list[str], bin_: str, weight: str) -> DataFrame:
     """Each bin's range [lo, hi) of cumulative shares in its group."""
     total = F.sum(weight).over(Window.partitionBy(*group))
