@@ -35,9 +35,11 @@ def apportion_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def softmin_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier of the own nation for each customer, by cost less a weight's logarithm."""
     t = Tables(spark, sf_dir)
-    pairs = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey"))
-    cost = F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 900.0 - F.log(1.0 + F.col("s_suppkey") % 3)
-    return K.softmin_choice(pairs, ["c_custkey"], "s_suppkey", cost, 1.0, S.uniform(7, "c_custkey", "s_suppkey"))
+    people, sites = t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
+    cost = lambda o: F.abs(F.col("c_acctbal") - o["s_acctbal"]) / 900.0 - F.log(1.0 + o["s_suppkey"] % 3)
+    drawn = lambda o: K.gumbel(cost(o), S.uniform(7, "c_custkey", o["s_suppkey"]))
+    best = K.with_options(people, sites, "c_custkey", ("c_nationkey", "s_nationkey")).select("c_custkey", K.least_options(F.col("options"), drawn, "s_suppkey").alias("b"))
+    return best.groupBy("c_custkey").agg(F.min("b")["s"].alias("s_suppkey"))
 
 
 @query(
