@@ -242,13 +242,18 @@ def portal_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(key % 4 == 0, "rail").when(key % 4 == 1, "bus").when(key % 4 == 2, "drive").otherwise("walk")
     people = t.customer.select("c_custkey", mode.alias("mode"), "c_acctbal", (key * 7 % 360).alias("bearing"))
     kinds = F.when(F.col("n_nationkey") % 4 == 0, "rail").when(F.col("n_nationkey") % 4 == 1, "bus").when(F.col("n_nationkey") % 4 == 2, "drive").otherwise("walk")
-    portals = F.broadcast(t.nation.select(F.col("n_nationkey").alias("portal"), kinds.alias("mode")))  # a fixed list of 25
-    far = F.abs(F.col("c_acctbal") / 10 - F.col("portal") * 40)
-    miss = F.abs((F.col("portal") * 15 - F.col("bearing") + 540) % 360 - 180)
-    cost = F.when(F.col("mode") == "walk", miss / 25.0).when(F.col("mode") == "bus", far / 90.0).when(F.col("mode") == "drive", far / 120.0).otherwise(far / 60.0)
-    pairs = people.where("not (mode = 'drive' and c_acctbal >= 6000)").join(portals, "mode")
-    best = K.softmin_choice(pairs, ["c_custkey"], "portal", cost, 1.0, S.uniform(32, "c_custkey", "portal"))
-    return people.select("c_custkey", "mode").join(best, "c_custkey", "left")
+    # a fixed list of 25, an array for each mode: a person's choice is made in its own row
+    portals = F.broadcast(t.nation.groupBy(kinds.alias("mode")).agg(F.collect_list(F.struct(F.col("n_nationkey").alias("portal"))).alias("options")))
+
+    def drawn(o):  # noqa: ANN001, ANN202
+        far = F.abs(F.col("c_acctbal") / 10 - o["portal"] * 40)
+        miss = F.abs((o["portal"] * 15 - F.col("bearing") + 540) % 360 - 180)
+        cost = F.when(F.col("mode") == "walk", miss / 25.0).when(F.col("mode") == "bus", far / 90.0).when(F.col("mode") == "drive", far / 120.0).otherwise(far / 60.0)
+        return K.gumbel(cost, S.uniform(32, "c_custkey", o["portal"]))
+
+    garage = (F.col("mode") == "drive") & (F.col("c_acctbal") >= 6000)
+    own = people.join(portals, "mode", "left").withColumn("b", F.when(~F.coalesce(garage, F.col("mode") == "drive"), K.least_options(F.col("options"), drawn, "portal")))
+    return own.select("c_custkey", "mode", F.col("b.s").alias("portal"))
 
 
 @query(
