@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +83,27 @@ def unique_on(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs once, by an aggregate instead of a window."""
     once = df.groupBy(*key).agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row")).where("_n = 1")
     return once.select("_row.*")
+
+
+def shared_by_pairs(rows: DataFrame, key: str, member: str, *, least: int = 2, first: int = 3) -> DataFrame:
+    """(a, b, n, firsts): pairs a < b of members that share at least ``least`` keys, how many, and the ``first`` least of them, comma-joined.
+
+    ``key`` and ``member`` are longs. A key's members stay one array: each goes with those after it to where its pairs are
+    counted, so not pairs but arrays travel. A member's pairs must fit into a task.
+    """
+    known = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.array_sort(F.collect_set(F.col(member).cast("long"))).alias("_m"))
+    sent = known.select("k", "_m", F.posexplode("_m").alias("_at", "a")).where("_at + 1 < size(_m)").select("a", "k", F.slice("_m", F.col("_at") + 2, F.size("_m")).alias("others"))
+
+    def count(group: pa.Table) -> pa.Table:
+        lists = group.column("others").combine_chunks()
+        b, k = lists.flatten().to_numpy(), np.repeat(group.column("k").to_numpy(), lists.value_lengths().to_numpy())
+        order = np.lexsort((k, b))
+        b, k = b[order], k[order]
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        n = np.diff(np.r_[starts, len(b)])
+        starts, n = starts[n >= least], n[n >= least]
+        firsts = [pa.array(k[np.minimum(starts + m, len(k) - 1)], mask=n <= m).cast(pa.string()) for m in range(first)]
+        joined = pc.binary_join_element_wise(*firsts, ",", null_handling="skip")
+        return pa.table({"a": pa.array(np.full(len(n), group.column("a")[0].as_py()), pa.int64()), "b": b[starts], "n": n, "firsts": joined})
+
+    return sent.groupBy("a").applyInArrow(count, "a long, b long, n long, firsts string")

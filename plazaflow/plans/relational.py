@@ -196,10 +196,7 @@ def priority_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs that share keys, with a count and the first shared ones. The side of a key is its distinct members."""
-    s = Tables(spark, sf_dir).lineitem.select("l_partkey", "l_suppkey").distinct()
-    pairs = s.withColumnRenamed("l_suppkey", "a").join(s.withColumnRenamed("l_suppkey", "b"), "l_partkey").where("a < b")
-    first = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 3), lambda p: p.cast("string")), ",")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), first.alias("first_parts")).where("n >= 2")
+    return R.shared_by_pairs(Tables(spark, sf_dir).lineitem, "l_partkey", "l_suppkey").withColumnRenamed("firsts", "first_parts")
 
 
 @query(

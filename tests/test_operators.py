@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plazaflow.functions import scalar as S
 from plazaflow.operators import graph as G
+from plazaflow.operators import relational as L
 from plazaflow.operators import solids as D
 from plazaflow.operators import spatial as P
 from plazaflow.operators import stochastic as K
@@ -295,3 +296,18 @@ def test_wishes_are_granted_in_turn(spark):
     wished = spark.createDataFrame([(1, 1, 1900.0, 2100.0), (1, 2, 2200.0, 3000.0), (1, 3, 2900.0, 3500.0), (1, 4, 3200.0, 3300.0), (1, 5, 86_000.0, 86_341.0), (2, 1, 1000.0, 2000.0)], "k long, rank long, t0 double, t1 double")
     got = {(r.k, r["rank"]): r.ok for r in T.when_free(taken, wished, ["k"]).collect()}
     assert got == {(1, 1): False, (1, 2): True, (1, 3): False, (1, 4): True, (1, 5): False, (2, 1): True}
+
+
+def test_pairs_that_share_keys(spark):
+    """Repeated rows and nulls, members that share one key, two and many; no pair is a row before it is counted."""
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 40) if rng.random() < 0.95 else None, rng.randint(-3, 9) if rng.random() < 0.95 else None) for _ in range(220)] + [(100, 50), (101, 50), (100, 51), (101, 51), (102, 52), (102, 53)]
+    keys = {}
+    for k, m in rows:
+        if k is not None and m is not None:
+            keys.setdefault(m, set()).add(k)
+    want = {(a, b, len(c), ",".join(map(str, sorted(c)[:3]))) for a in keys for b in keys if a < b and len(c := keys[a] & keys[b]) > 1}
+    got = L.shared_by_pairs(spark.createDataFrame(rows, "k long, m long"), "k", "m")
+    assert {tuple(r) for r in got.collect()} == want and (50, 51, 2, "100,101") in want
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    assert L.shared_by_pairs(spark.createDataFrame([], "k long, m long"), "k", "m").count() == 0
