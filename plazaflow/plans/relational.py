@@ -413,7 +413,7 @@ def percentile_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value's place between its group's low and high percentile; another scaled by the global 99th."""
     t = Tables(spark, sf_dir).lineitem
     q = t.groupBy("l_suppkey").agg(F.percentile("l_quantity", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    top = t.agg(F.percentile("l_extendedprice", 0.99)).first()[0]
+    top = R.exact_percentile(t, "l_extendedprice", 0.99)
     lo, hi = F.col("q")[0], F.col("q")[1]
     rise = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("l_quantity") - lo) / F.nullif(hi - lo, F.lit(0.0))))
     inten = F.least(F.lit(255), F.floor(F.col("l_extendedprice") / F.lit(top) * 255)).cast("int")

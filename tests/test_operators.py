@@ -311,3 +311,12 @@ def test_pairs_that_share_keys(spark):
     assert {tuple(r) for r in got.collect()} == want and (50, 51, 2, "100,101") in want
     assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
     assert L.shared_by_pairs(spark.createDataFrame([], "k long, m long"), "k", "m").count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.99, 1.0])
+def test_exact_percentile(spark, share):
+    rng = random.Random(6)
+    inf = float("inf")
+    for values in ([None], [2.5, None], [1.0] * 50 + [2.0] * 3, [rng.choice([rng.gauss(0, 1e4), -inf, inf, 7.0]) for _ in range(20)], [round(rng.gauss(0, 100), 1) for _ in range(9000)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert str(L.exact_percentile(df, "v", share, accuracy=200)) == str(df.agg(F.percentile("v", share)).first()[0])
