@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import settle, shared_folder
 
 
 def completed(df: DataFrame, features: list[str]) -> DataFrame:
@@ -36,9 +36,19 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_w", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
 
 
+def ready_rows(df: DataFrame, features: list[str], label: str, most: int = 50_000) -> DataFrame:
+    """:func:`complete` and :func:`balanced` rows, computed once and dealt by their values to tasks of some ``most`` rows at most.
+
+    Every pass of a training reads all of them, so they are neither computed again nor left in the few parts that a small shuffle is put together to.
+    """
+    known = settle(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // most))
+    return settle(balanced(complete(known, features), label).repartition(parts, *df.columns).sortWithinPartitions(*df.columns))
+
+
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, *, forest: bool = False, trees: int = 10, depth: int = 4, least_rows: int = 1) -> DataFrame:
     """Each row's probability of label 1 by a model that has not seen its fold; classes are weighted to balance. No row is left out."""
-    ready = balanced(complete(df, features), label)
+    ready = ready_rows(df, features, label)
     out = None
     for k in range(folds):
         kind = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, minInstancesPerNode=least_rows) if forest else GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, minInstancesPerNode=least_rows)
@@ -52,7 +62,7 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds
 def trained_forest(df: DataFrame, features: list[str], label: str, *, trees: int = 25, depth: int = 8, least_rows: int = 1) -> RandomForestClassificationModel:
     """A random forest over balanced classes."""
     kind = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, minInstancesPerNode=least_rows, featuresCol="_x", labelCol=label, weightCol="_w")
-    return kind.fit(balanced(complete(df, features), label))
+    return kind.fit(ready_rows(df, features, label))
 
 
 def forest_arrays(model: RandomForestClassificationModel) -> dict[str, list]:

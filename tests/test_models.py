@@ -95,3 +95,20 @@ def test_ties_of_paths(spark):
         assert sum(got[k] == (d, p) for k, (d, _, p) in best.items()) > len(best) * 0.8
         kept = got if most == 0 else kept  # noqa: F821
         assert got == kept
+
+
+def test_training_rows_are_computed_once_in_bounded_tasks(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            asked.add(len(f))
+            yield f
+
+    rows = spark.range(0, 900, 1, 1).selectExpr("id", "cast(id % 7 as double) x", "cast(id % 2 as int) label", "id % 3 fold").coalesce(1).mapInPandas(seen, "id long, x double, label int, fold long")
+    ready = L.ready_rows(rows, ["x"], "label", most=100)
+    sizes = ready.groupBy(F.spark_partition_id()).count().collect()
+    assert ready.rdd.getNumPartitions() == 9 and max(r["count"] for r in sizes) < 200 and sum(r["count"] for r in sizes) == 900
+    asked_before = asked.value
+    assert L.out_of_fold(rows, ["x"], "label", "fold", 3, trees=2, depth=2).count() == 900
+    assert asked_before == 900 and asked.value == 1800
