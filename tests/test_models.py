@@ -112,3 +112,5 @@ def test_training_rows_are_computed_once_in_bounded_tasks(spark):
     asked_before = asked.value
     assert L.out_of_fold(rows, ["x"], "label", "fold", 3, trees=2, depth=2).count() == 900
     assert asked_before == 900 and asked.value == 1800
+    assert L.ready_rows(ready, ["x"], "label") is ready and L.trained_forest(ready, ["x"], "label", trees=2, depth=2).getNumTrees == 2
+    assert asked.value == 1800
