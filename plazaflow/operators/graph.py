@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Joins of iterations are by shuffles: a broadcast in every round sends its table to the driver each time, whatever its size.
+_SHUFFLED = "shuffle_merge"
+
 
 def path_edges(steps: DataFrame, path: str, order: list[str], node: str) -> DataFrame:
     """Consecutive nodes of each path as (a, b)."""
@@ -37,10 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     ways = settle(both_ways(edges.select("a", "b")).distinct())
     labels = settle(ways.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
     while True:
-        near = ways.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("comp", "near").alias("c"), F.col("comp").alias("old"))
+        near = ways.join(labels.select(F.col("node").alias("b"), "comp").hint(_SHUFFLED), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        hooked = labels.join(near.hint(_SHUFFLED), "node").select("node", F.least("comp", "near").alias("c"), F.col("comp").alias("old"))
         jump = hooked.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = settle(hooked.join(jump, "c").select("node", F.least("c", "cc").alias("comp"), "old"))
+        new = settle(hooked.join(jump.hint(_SHUFFLED), "c").select("node", F.least("c", "cc").alias("comp"), "old"))
         labels = new.select("node", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
@@ -158,8 +161,8 @@ def ordered_merges(tops: DataFrame, pairs: DataFrame, *, tiny: int, least_reach:
     merge depends on those before it, but only within a connected part of the candidates: the parts go to tasks.
     """
     parts = components(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"{side}_top"))
-    rows = pairs.join(parts.select(F.col("node").alias("lo"), "comp"), "lo").join(end("lo"), "lo").join(end("hi"), "hi")
+    end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"{side}_top")).hint(_SHUFFLED)
+    rows = pairs.join(parts.select(F.col("node").alias("lo"), "comp").hint(_SHUFFLED), "lo").join(end("lo"), "lo").join(end("hi"), "hi")
     rows = rows.select("comp", "lo", "hi", "saddle", "factor", *(F.col(f"{s}_top.{c}").alias(f"{s}_{c}") for s in ("lo", "hi") for c in ("x", "y", "z", "height", "n")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,13 +206,13 @@ def merge_crowns(
     alias = settle(points.select("node").distinct().withColumn("root", F.col("node")))
     steps = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     for _ in range(passes):
-        grouped = points.join(alias, "node").select("root", "x", "y", "z", "height")
+        grouped = points.join(alias.hint(_SHUFFLED), "node").select("root", "x", "y", "z", "height")
         best = F.max(F.struct("z", "x", "y", "height")).alias("t")
         tops = settle(grouped.groupBy("root").agg(best, F.count("*").alias("n")).select(F.col("root").alias("node"), "t.x", "t.y", "t.z", "t.height", "n"))
         cells = grouped.groupBy(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j"), "root").agg(F.max("z").alias("z"))
         sent = cells.select("i", "j", F.col("root").alias("other"), F.col("z").alias("oz"), F.explode(steps).alias("d")).select((F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "other", "oz")
-        touching = cells.join(sent, ["i", "j"]).where("root < other").groupBy(F.col("root").alias("a"), F.col("other").alias("b")).agg(F.max(F.least("z", "oz")).alias("saddle"))
-        end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"t{side}"))  # noqa: B023, E731
+        touching = cells.join(sent.hint(_SHUFFLED), ["i", "j"]).where("root < other").groupBy(F.col("root").alias("a"), F.col("other").alias("b")).agg(F.max(F.least("z", "oz")).alias("saddle"))
+        end = lambda side: tops.select(F.col("node").alias(side), F.struct("x", "y", "z", "height", "n").alias(f"t{side}")).hint(_SHUFFLED)  # noqa: B023, E731
         both = touching.join(end("a"), "a").join(end("b"), "b")
         first = F.col("ta.z") >= F.col("tb.z")
         pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))  # noqa: B023, E731
@@ -224,5 +227,5 @@ def merge_crowns(
         moved = settle(ordered_merges(tops, pairs, tiny=tiny, least_reach=least_reach))
         if moved.isEmpty():
             break
-        alias = settle(alias.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        alias = settle(alias.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")).hint(_SHUFFLED), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     return alias

@@ -320,3 +320,18 @@ def test_exact_percentile(spark, share):
     for values in ([None], [2.5, None], [1.0] * 50 + [2.0] * 3, [rng.choice([rng.gauss(0, 1e4), -inf, inf, 7.0]) for _ in range(20)], [round(rng.gauss(0, 100), 1) for _ in range(9000)]):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         assert str(L.exact_percentile(df, "v", share, accuracy=200)) == str(df.agg(F.percentile("v", share)).first()[0])
+
+
+def test_rounds_of_merges_send_no_table_to_the_driver(spark, monkeypatch):
+    """Each round's joins are by shuffles, also of tables small enough to be broadcast."""
+    plans, settle = [], G.settle
+
+    def seen(df):
+        out = settle(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(G, "settle", seen)
+    points = spark.range(40).selectExpr("id % 20 node", "cast(id % 20 as double) x", "0.0D y", "cast(id as double) z", "cast(id + 5 as double) height")
+    assert G.merge_crowns(points, cell=1.0, depth=50.0, reach=2.0, flat_reach=2.0, tiny=1, least_reach=5.0).count() == 20
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
