@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
+
+_NONE = np.iinfo(np.int64).max
+
 
 def apportion(df: DataFrame, group: list[str], key: str, weight: str, total: Column) -> DataFrame:
     """Whole shares of each group's ``total`` by largest remainder; ties go to the smaller key, zero shares are dropped.
@@ -54,6 +61,80 @@ def with_options(people: DataFrame, options: DataFrame, key: str, match: tuple[s
     return asked.join(sent.repartition(tasks, "_of", "_to"), (F.col(own) == F.col("_of")) & (F.col("_deal") == F.col("_to"))).drop("_deal", "_to", "_of")
 
 
+def least_draws(
+    people: DataFrame, options: DataFrame, keys: tuple[str, str], match: tuple[str, str], values: tuple[str, str], seed: int, cost: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], within: float | None = None, pairs: int = 1 << 15
+) -> DataFrame:
+    """Each person's option (key, ``k``, ``s``, ``near``) of the least :func:`gumbel` cost among those whose ``match`` equals theirs; ties go to the smaller id.
+
+    ``cost(value, other, ids)`` gets a column of people's values, a row of options' and their ids. With ``within`` only
+    options whose value differs by no more count where there is one (``near``), else all. Keys are whole numbers; where a
+    value is null nothing is drawn, and a person without any draw has a null ``s``. Every pair's draw is made, some ``pairs``
+    at once (:mod:`..functions.draws`): people are dealt by their key to groups, options go to each, and no pair leaves its group.
+    """
+    deals = 2 * int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = lambda d, n: d.select(F.col(match[n]).alias("_of"), F.col(keys[n]).cast("long").alias("_id"), F.col(values[n]).cast("double").alias("_v"))
+    asked = named(people, 0).where("_of is not null").withColumns({"_head": F.concat_ws("|", F.lit(str(seed)), F.col("_id").cast("string"), F.lit("")), "_deal": F.pmod(F.xxhash64("_id"), F.lit(deals)).cast("int")})
+    sent = named(options, 1).where("_of is not null and _id is not null").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("_id")
+        k, s, near = np.full(len(left), np.inf), np.full(len(left), _NONE), np.zeros(len(left), bool)
+        real = lambda t: t.filter(pc.is_valid(t.column("_v")))
+        right = real(right).sort_by("_v")
+        other, names = right.column("_v").to_numpy(), right.column("_id").to_numpy()
+        value = pc.fill_null(left.column("_v"), float("nan")).to_numpy()
+        texts = names.astype("S")
+        long = np.char.str_len(texts)
+        size = pc.binary_length(left.column("_head")).to_numpy()
+        head = left.column("_head").to_numpy().astype("S") if len(left) else np.empty(0, "S1")
+        known = np.flatnonzero(pc.is_valid(left.column("_v")).to_numpy())
+        known = known[np.argsort(value[known], kind="stable")]
+        groups = [(np.flatnonzero(long == n), n) for n in np.unique(long).tolist()]
+        if within is not None and len(other):
+            # the two options on either side of a person's place are the nearest
+            at = np.searchsorted(other, value)
+            near = np.minimum(np.abs(value - other[np.maximum(at - 1, 0)]), np.abs(value - other[np.minimum(at, len(other) - 1)])) <= within
+
+        def choose(own: np.ndarray, limit: float | None) -> None:
+            for n in np.unique(size[own]).tolist():
+                mine = own[size[own] == n]
+                front = D.heads(head[mine].astype(f"S{n}"))
+                for of, m in groups:
+                    back, y, name = D.tails(texts[of].astype(f"S{m}"), n, b"|0"), other[of], names[of]
+                    step = max(1, pairs // max(1, len(of) if limit is None else int(np.searchsorted(y, value[mine[len(mine) // 2]] + limit) - np.searchsorted(y, value[mine[len(mine) // 2]] - limit))))
+                    for p in range(0, len(mine), step):
+                        rows = mine[p : p + step]
+                        slack = 0.0 if limit is None else limit * (1 + 1e-9) + 1e-9 * np.abs(value[rows]).max()
+                        low, high = (0, len(of)) if limit is None else (int(np.searchsorted(y, value[rows[0]] - slack)), int(np.searchsorted(y, value[rows[-1]] + slack, side="right")))
+                        for q in range(low, high, pairs):
+                            part = slice(q, min(high, q + pairs))
+                            x, z = value[rows, None], y[None, part]
+                            drawn = cost(x, z, name[None, part]) + np.log(-np.log(D.uniforms(front[p : p + step], back[part])))
+                            if limit is not None:
+                                drawn[np.abs(x - z) > limit] = np.nan
+                            drawn[np.isnan(drawn)] = np.inf
+                            least = drawn.min(axis=1)
+                            best = np.where(drawn == least[:, None], name[None, part], _NONE).min(axis=1)
+                            if limit is not None:
+                                best[np.isinf(least)] = _NONE
+                            less = (least < k[rows]) | ((least == k[rows]) & (best < s[rows]))
+                            k[rows[less]], s[rows[less]] = least[less], best[less]
+
+        choose(known[near[known]] if within is not None else known, within)
+        if within is not None:
+            choose(known[~near[known]], None)
+        none = s == _NONE
+        return pa.table({keys[0]: ids, "k": pa.array(k, mask=none), "s": pa.array(s, mask=none), "near": near})
+
+    deal = lambda d: d.repartition(deals, "_of", "_deal").groupBy("_of", "_deal")
+    schema = f"`{keys[0]}` long, k double, s long, near boolean"
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return work(left, right if len(left) else right.slice(0, 0)) if len(right) else work(left.slice(0, 0), right)
+
+    return deal(asked).cogroup(deal(sent)).applyInArrow(both, schema)
+
+
 def inverse_cdf(weights: DataFrame, group: list[str], bin_: str, weight: str) -> DataFrame:
     """Each bin's range [lo, hi) of cumulative shares in its group."""
     total = F.sum(weight).over(Window.partitionBy(*group))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,9 @@ def apportion_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def softmin_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier of the own nation for each customer, by cost less a weight's logarithm."""
     t = Tables(spark, sf_dir)
-    people, sites = t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-    cost = lambda o: F.abs(F.col("c_acctbal") - o["s_acctbal"]) / 900.0 - F.log(1.0 + o["s_suppkey"] % 3)
-    drawn = lambda o: K.gumbel(cost(o), S.uniform(7, "c_custkey", o["s_suppkey"]))
-    best = K.with_options(people, sites, "c_custkey", ("c_nationkey", "s_nationkey")).select("c_custkey", K.least_options(F.col("options"), drawn, "s_suppkey").alias("b"))
-    return best.groupBy("c_custkey").agg(F.min("b")["s"].alias("s_suppkey"))
+    cost = lambda x, y, site: np.abs(x - y) / 900.0 - np.log(1.0 + np.fmod(site, 3))
+    best = K.least_draws(t.customer, t.supplier, ("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), 7, cost)
+    return best.groupBy("c_custkey").agg(F.min_by("s", F.struct(F.col("s").isNull(), "k", "s")).alias("s_suppkey"))
 
 
 @query(
