@@ -50,15 +50,10 @@ def softmin_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gravity_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight falling with distance, within a radius where anything is, else among all."""
     t = Tables(spark, sf_dir)
-    people, sites = t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-    far = lambda o: F.abs(F.col("c_acctbal") - o["s_acctbal"])
-    drawn = lambda o: K.gumbel(far(o) / 2500.0, S.uniform(8, "c_custkey", o["s_suppkey"]))
-    met = K.with_options(people, sites, "c_custkey", ("c_nationkey", "s_nationkey"))
-    near = met.withColumn("a", K.least_options(F.filter("options", lambda o: far(o) <= 1500), drawn, "s_suppkey"))
-    # draws of a block's far ones are needed only where it has no near one: with any near one in another block they don't count
-    every = near.withColumn("b", F.when(F.col("a").isNull(), K.least_options(F.col("options"), drawn, "s_suppkey")))
-    best = every.groupBy("c_custkey").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    return best.select("c_custkey", F.coalesce("a", "b")["s"].alias("s_suppkey"), F.col("a").isNotNull().alias("near"))
+    cost = lambda x, y, site: np.abs(x - y) / 2500.0
+    best = K.least_draws(t.customer, t.supplier, ("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), 8, cost, within=1500.0)
+    # of rows that share a key those with a near one count first
+    return best.groupBy("c_custkey").agg(F.min_by("s", F.struct(~F.col("near"), F.col("s").isNull(), "k", "s")).alias("s_suppkey"), F.max("near").alias("near"))
 
 
 @query(

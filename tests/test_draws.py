@@ -57,7 +57,7 @@ def test_equal_costs_go_to_the_smaller_id(spark):
     assert {r.s for r in K.least_draws(people, options, ("c", "s"), ("g", "h"), ("x", "y"), 7, even, pairs=64).collect()} == {0}
 
 
-@pytest.mark.parametrize("name", ["softmin_choice"])
+@pytest.mark.parametrize("name", ["softmin_choice", "gravity_choice"])
 def test_choices_draw_without_texts_of_pairs(spark, name):
     """A text, a hash and a number from its digits for each pair were some 5 CPU microseconds."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
